@@ -7,7 +7,8 @@ shingles that fill many of these cells last: counts over all documents find them
 that the new order brings in. Cells meet by column in hashed blocks.
 
 The product is taken in two steps, so that a group of near copies costs no pair for each two members:
-  1. in each column every row meets its neighbour by size; each row's most frequent partner is verified, and links make components;
+  1. in each column every row meets its neighbour by size; each row's most frequent partner, if it is one in a third of
+     the row's cells, is verified, and links make components;
   2. columns that still hold several components give their cross-component pairs of fitting sizes, with overlap counts
      added up; pairs whose count plus all that can follow stays below the size-derived bound are discarded, the
      rest verified.
@@ -26,54 +27,77 @@ from .common import cut
 from .components import components
 
 WORDS, BOUND = 5, 80  # words of a shingle; per cent of the union
-HOT, HINTS, ROUNDS = 24, 1 << 18, 3
+HOT, HINTS, ROUNDS = 24, 1 << 18, 2
+BROADCAST = 1_000_000  # rows of a few longs
 NO_ID = 1 << 62
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> list[int]:
-    import xxhash
+class Words(dict):
+    """Words and their 64-bit hashes."""
 
-    out = []
-    for w in words:
-        x = known.get(w)
-        if x is None:
-            x = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(x)
-    return out
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
+        x = self[word] = xxhash.xxh3_64_intdigest(word)
+        return x
 
-def shingles(text: str | None, known: dict[bytes, int], words: int = WORDS):
+
+def shingles(text: str | None, known: Words, words: int = WORDS):
     """Sorted distinct 64-bit hashes of the shingles of a text; bytes.lower() and split() are ASCII's."""
     import numpy as np
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
         return np.empty(0, "int64")
-    ids = np.array(word_hashes(parts, known), "uint64")
+    ids = np.fromiter(map(known.__getitem__, parts), "uint64", len(parts))
     n = max(1, len(ids) - words + 1)
-    out = np.full(n, len(ids) if len(ids) < words else words, "uint64")
+    out = np.full(n, min(len(ids), words), "uint64")
     for i in range(min(words, len(ids))):
-        out = (out ^ ids[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= ids[i : i + n]
+        out *= np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(out.view("int64"))
+    out = out.view("int64")
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+class Order:
+    """Hot shingles, sorted, with how many cells each fills. All others come before them, by hash."""
+
+    def __init__(self, hot, times):
+        import numpy as np
+
+        self.hot, self.times = hot, times
+        self.maybe = np.zeros(1 << 22, bool)  # by the lowest bits: most shingles are told apart without a search
+        self.maybe[hot & ((1 << 22) - 1)] = True
+
+    def weights(self, own):
+        """How many cells each shingle fills if it is hot, else 0; None if none is."""
+        import numpy as np
 
+        at = np.flatnonzero(self.maybe[own & ((1 << 22) - 1)])
+        if not len(at):
+            return None
+        some = own[at]
+        place = np.minimum(np.searchsorted(self.hot, some), len(self.hot) - 1)
+        out = np.zeros(len(own), "int64")
+        out[at] = np.where(self.hot[place] == some, self.times[place], 0)
+        return out
 
-def prefix(own, hot, times, bound: int = BOUND):
-    """The cells of a sorted set that enter the product: those first in the order (times if hot, hash)."""
+
+def prefix(own, order: Order, bound: int = BOUND):
+    """The cells of a sorted set that enter the product: the first in the order."""
     import numpy as np
 
     n = len(own)
     p = n - -(-bound * n // 100) + 1 if n else 0
-    if not len(hot) or not n:
-        return own[:p]
-    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-    weight = np.where(hot[at] == own, times[at], 0)
-    return own[np.argsort(weight, kind="stable")[:p]]
+    weight = order.weights(own)
+    return own[:p] if weight is None else own[np.argsort(weight, kind="stable")[:p]]
 
 
 def _documents(batches):
     """doc_id and whole set of each row of a batch, with a word cache of bounded size."""
-    known: dict[bytes, int] = {}
+    known = Words()
     for batch in batches:
         if len(known) > 1_000_000:
             known.clear()
@@ -95,12 +119,13 @@ def _fresh_cells(docs: DataFrame, old, new) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        hot, times = new.value
-        before = None if old is None else old.value
+        order, before = new.value, None if old is None else old.value
         for _, sets in _documents(batches):
-            cells = [prefix(s, hot, times) for s in sets]
+            cells = [prefix(s, order) for s in sets]
             if before is not None:
-                cells = [np.setdiff1d(c, prefix(s, *before), assume_unique=True) for c, s in zip(cells, sets)]
+                cells = [
+                    np.setdiff1d(c, prefix(s, before), assume_unique=True) for c, s in zip(cells, sets) if len(c) and order.weights(s[: len(c)]) is not None
+                ]
             flat = np.concatenate([*cells, np.empty(0, "int64")])
             yield pa.RecordBatch.from_arrays([pa.array(flat)], ["h"])
 
@@ -108,25 +133,25 @@ def _fresh_cells(docs: DataFrame, old, new) -> DataFrame:
 
 
 def _order(docs: DataFrame):
-    """The broadcast order: hot shingles, sorted, and how many cells each fills. At most HINTS of them, the most frequent, whatever
+    """The broadcast order. It lists at most HINTS shingles, the most frequent, whatever
     the data; shingles beyond keep their place by hash, which changes the cost of the product, never its result."""
     import numpy as np
 
     sc = docs.sparkSession.sparkContext
-    none = sc.broadcast((np.empty(0, "int64"), np.empty(0, "int64")))
-    old, new, seen = None, none, None
+    hot, times = np.empty(0, "int64"), np.empty(0, "int64")
+    old, new = None, sc.broadcast(Order(hot, times))
     for _ in range(ROUNDS):
         counts = _fresh_cells(docs, old, new).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
         top = counts.orderBy(F.col("n").desc(), "h").limit(HINTS).toPandas()
         if top.empty:
             break
-        hot, times = new.value
         both = np.concatenate([hot, top["h"].to_numpy("int64")])
         add = np.concatenate([times, top["n"].to_numpy("int64")])
         keys, inverse = np.unique(both, return_inverse=True)
         total = np.bincount(inverse, weights=add).astype("int64")
         keep = np.sort(np.lexsort((keys, -total))[:HINTS])
-        old, new = new, sc.broadcast((keys[keep], total[keep]))
+        hot, times = keys[keep], total[keep]
+        old, new = new, sc.broadcast(Order(hot, times))
     return new
 
 
@@ -137,38 +162,44 @@ def _rows(docs: DataFrame, order) -> DataFrame:
     def run(batches):
         import hashlib
 
-        hot, times = order.value
+        own = order.value
         for batch, sets in _documents(batches):
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 _lists([prefix(s, hot, times) for s in sets])],
+                 _lists([prefix(s, own) for s in sets])],
                 ["doc_id", "n", "class", "cells"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, class binary, cells array<bigint>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and whole set of the documents in nodes (node, class)."""
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for a broadcast if its rows, already counted, are few; else joins shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST else df
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """Pairs (a, b) with whether their whole sets reach the bound.
+
+    Each set is worked out from its text and sent to each pair that asks for it: one exchange of sets, none of texts while the
+    pairs are few enough to broadcast."""
     import pyarrow as pa
 
+    asked, count = docs.filter("doc_id is not null"), pairs.count()
+
     def run(batches):
         for batch, sets in _documents(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(sets)], ["node", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), _lists(sets)], ["a", "b", "own"])
 
-    return docs.join(nodes, docs["doc_id"] == nodes["node"]).select("node", "text").mapInArrow(run, "node bigint, own array<bigint>")
+    def side(end: str, name: str) -> DataFrame:
+        texts = asked.join(small(pairs, count), asked["doc_id"] == pairs[end]).select("a", "b", "text")
+        return texts.mapInArrow(run, "a bigint, b bigint, own array<bigint>").withColumnRenamed("own", name)
 
-
-def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """Pairs (a, b) with whether their whole sets reach the bound."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(_sets(docs, ends), f"{label}-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", (100 * common >= BOUND * union).alias("link")), label)
+    reach = 100 * common >= BOUND * (F.size("x") + F.size("y") - common)
+    # an id that stands for several texts links if any of them does
+    return cut(side("a", "x").join(side("b", "y"), ["a", "b"]).groupBy("a", "b").agg(F.max(reach).alias("link")), label)
 
 
 def link(df: DataFrame) -> DataFrame:
@@ -179,8 +210,11 @@ def link(df: DataFrame) -> DataFrame:
     rows = rows.withColumn("node", F.coalesce("doc_id", F.when(F.col("class").isNotNull(), stand_in)))
     # the least doc_id of a class stands for it
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("node").alias("node"))
-    chosen = rows.filter("class is not null").join(classes, ["class", "node"]).select("node", "n", F.posexplode("cells").alias("at", "h"))
-    chosen = chosen.filter(F.col("node") < NO_ID)
+    member = rows.filter("class is not null").select("class", F.col("node").alias("member")).distinct()
+    same = cut(classes.join(member, "class").filter("node != member").select("node", "member", "class"), "same")
+    copies = small(same.select("class", F.col("member").alias("node")), same.count())
+    chosen = rows.filter(F.col("class").isNotNull() & (F.col("node") < NO_ID)).join(copies, ["class", "node"], "left_anti")
+    chosen = chosen.select("node", "n", F.posexplode("cells").alias("at", "h"))
     line = Window.partitionBy("h").orderBy("n", "node")
     column = Window.partitionBy("h")
     cells = cut(
@@ -190,7 +224,8 @@ def link(df: DataFrame) -> DataFrame:
     )
     fits = F.col("prev_n") * 100 >= F.col("n") * BOUND
     met = cells.filter(F.col("prev").isNotNull() & fits & (F.col("prev") != F.col("node")))
-    votes = met.groupBy("node", "prev").agg(F.count("*").alias("c"))
+    # near copies are neighbours in most of their columns; other pairs are left to the second step
+    votes = met.groupBy("node", "prev", "n").agg(F.count("*").alias("c")).filter(F.col("c") * 15 >= F.col("n"))
     best = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("prev")).alias("low"))).alias("m"))
     first = cut(best.select(F.least("node", -F.col("m.low")).alias("a"), F.greatest("node", -F.col("m.low")).alias("b")).distinct(), "first")
     tested = _verified(docs, first, "tested")
@@ -200,11 +235,11 @@ def link(df: DataFrame) -> DataFrame:
     open_ = cut(seen.join(mixed, "h", "left_semi"), "open")
     x = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "component")])
     y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")])
-    small = F.least("n_a", "n_b")
+    fewer = F.least("n_a", "n_b")
     met = (
         x.join(y, "h")
         .filter("node_a < node_b and component_a != component_b")
-        .filter(small * 100 >= F.greatest("n_a", "n_b") * BOUND)
+        .filter(fewer * 100 >= F.greatest("n_a", "n_b") * BOUND)
         .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
         .agg(F.count("*").alias("c"), F.max("at_a").alias("last_a"), F.max("at_b").alias("last_b"))
     )
@@ -213,7 +248,6 @@ def link(df: DataFrame) -> DataFrame:
     rest = met.filter(can * (100 + BOUND) >= BOUND * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     rest = cut(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     more = _verified(docs, rest, "more")
-    same = classes.join(rows.select("class", F.col("node").alias("member")), "class").filter("node != member")
     links = tested.filter("link").select("a", "b").union(more.filter("link").select("a", "b"))
     # a repeated id stands for all its texts; copies hang on their class's least id
     done = components(links.union(same.select(F.col("node").alias("a"), F.col("member").alias("b")).distinct()))
