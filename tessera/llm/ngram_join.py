@@ -7,10 +7,10 @@ shingles that fill many of these cells last: counts over all documents find them
 that the new order brings in. Cells meet by column in hashed blocks.
 
 The product is taken in two steps, so that a group of near copies costs no pair for each two members:
-  1. in each column every row meets its neighbour by size; each row's most frequent partner, if it is one in a third of
-     the row's cells, is verified, and links make components;
-  2. columns that still hold several components give their cross-component pairs of fitting sizes, with overlap counts
-     added up; pairs whose count plus all that can follow stays below the size-derived bound are discarded, the
+  1. in each column every row meets its neighbour by size and the column's hub; each row's most frequent neighbour and hub,
+     if met in a third of the row's cells, are verified, and links make components;
+  2. columns that still hold several components give their cross-component pairs of fitting sizes, where the cell
+     may be the first common one of a linked pair, with overlap counts added up. A sketch of parities bounds how many shingles two sets share; pairs below the size-derived bound are discarded in the join; pairs whose count plus all that can follow stays below the size-derived bound are discarded, the
      rest verified.
 Verified means: intersection of the whole sets. Every link either is verified or joins rows already in one component.
 
@@ -20,6 +20,8 @@ doc_id gets a stand-in that sorts last, and a null component if it is the least
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,37 +30,63 @@ from .components import components
 
 WORDS, BOUND = 5, 80  # words of a shingle; per cent of the union
 HOT, HINTS, ROUNDS = 24, 1 << 18, 2
+LANES = 8
 BROADCAST = 1_000_000  # rows of a few longs
 NO_ID = 1 << 62
 
 
-class Words(dict):
-    """Words and their 64-bit hashes."""
+class Hasher:
+    """64-bit hashes of the shingles of texts, a whole text at a time.
+
+    A word's hash is a polynomial over random numbers of its bytes, taken from running sums and mixed."""
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
-        x = self[word] = xxhash.xxh3_64_intdigest(word)
-        return x
+    def __init__(self, words: int = WORDS):
+        import numpy as np
 
+        self.words, self.size = words, 0
+        table = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype="uint64")
+        lower = np.frombuffer(bytes(range(256)).lower(), "uint8")
+        self.value = table[lower]  # A-Z count as a-z
+        self.space = np.isin(np.arange(256), [32, *range(9, 14)])
+        self.grow(1 << 18)
 
-def shingles(text: str | None, known: Words, words: int = WORDS):
-    """Sorted distinct 64-bit hashes of the shingles of a text; bytes.lower() and split() are ASCII's."""
-    import numpy as np
+    def grow(self, size: int) -> None:
+        import numpy as np
+
+        powers = lambda x: np.cumprod(np.concatenate([np.ones(1, "uint64"), np.full(size, x, "uint64")]), dtype="uint64")
+        self.power, self.inverse, self.size = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64)), size
 
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, "int64")
-    ids = np.fromiter(map(known.__getitem__, parts), "uint64", len(parts))
-    n = max(1, len(ids) - words + 1)
-    out = np.full(n, min(len(ids), words), "uint64")
-    for i in range(min(words, len(ids))):
-        out ^= ids[i : i + n]
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    out = out.view("int64")
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+    def mixed(self, x):
+        import numpy as np
+
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(self.MIX)
+        return x ^ (x >> np.uint64(29))
+
+    def shingles(self, text: str | None):
+        """Sorted distinct hashes; fewer words than a shingle has make one."""
+        import numpy as np
+
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), "uint8")
+        if len(raw) > self.size:
+            self.grow(2 * len(raw))
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = self.space[raw]
+        turns = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        if not len(starts):
+            return np.empty(0, "int64")
+        sums = np.zeros(len(raw) + 1, "uint64")
+        np.cumsum(self.value[raw] * self.power[: len(raw)], out=sums[1:])
+        ids = self.mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+        n = max(1, len(ids) - self.words + 1)
+        out = np.full(n, min(len(ids), self.words), "uint64")
+        for i in range(min(self.words, len(ids))):
+            out = self.mixed(out + ids[i : i + n])
+        out = out.view("int64")
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 class Order:
@@ -95,13 +123,19 @@ def prefix(own, order: Order, bound: int = BOUND):
     return own[:p] if weight is None else own[np.argsort(weight, kind="stable")[:p]]
 
 
+def parity(own):
+    """64 * LANES bits, each the parity of the shingles that hash to it: two sets differ in as many shingles as bits, at least."""
+    import numpy as np
+
+    bits = np.bincount(own & (64 * LANES - 1), minlength=64 * LANES) & 1
+    return np.packbits(bits.astype("uint8")).view("int64")
+
+
 def _documents(batches):
-    """doc_id and whole set of each row of a batch, with a word cache of bounded size."""
-    known = Words()
+    """Each batch with the whole sets of its rows."""
+    hasher = Hasher()
     for batch in batches:
-        if len(known) > 1_000_000:
-            known.clear()
-        yield batch, [shingles(t, known) for t in batch.column("text").to_pylist()]
+        yield batch, [hasher.shingles(t) for t in batch.column("text").to_pylist()]
 
 
 def _lists(arrays):
@@ -167,11 +201,11 @@ def _rows(docs: DataFrame, order) -> DataFrame:
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 _lists([prefix(s, own) for s in sets])],
-                ["doc_id", "n", "class", "cells"],
+                 _lists([prefix(s, own) for s in sets]), _lists([parity(s) for s in sets])],
+                ["doc_id", "n", "class", "cells", "bits"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, class binary, cells array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, class binary, cells array<bigint>, bits array<bigint>")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -222,28 +256,43 @@ def link(df: DataFrame) -> DataFrame:
         .filter("df > 1"),
         "cells",
     )
-    fits = F.col("prev_n") * 100 >= F.col("n") * BOUND
-    met = cells.filter(F.col("prev").isNotNull() & fits & (F.col("prev") != F.col("node")))
-    # near copies are neighbours in most of their columns; other pairs are left to the second step
-    votes = met.groupBy("node", "prev", "n").agg(F.count("*").alias("c")).filter(F.col("c") * 15 >= F.col("n"))
-    best = votes.groupBy("node").agg(F.max(F.struct("c", (-F.col("prev")).alias("low"))).alias("m"))
+    # a row's hub in a column is the member with the most cells shared by others: the one that near copies are copies of
+    shared = cells.groupBy("node").agg(F.count("*").alias("s"))
+    rank = F.struct("s", (-F.col("node")).alias("low"), "n")
+    hubs = cells.join(shared, "node").groupBy("h").agg(F.max(rank).alias("m")).select("h", (-F.col("m.low")).alias("hub"), F.col("m.n").alias("hub_n"))
+    near = cells.filter("prev is not null").select("node", "n", F.col("prev").alias("to"), F.col("prev_n").alias("to_n"), F.lit(0).alias("kind"))
+    far = cells.join(hubs, "h").select("node", "n", F.col("hub").alias("to"), F.col("hub_n").alias("to_n"), F.lit(1).alias("kind"))
+    fits = F.least("n", "to_n") * 100 >= F.greatest("n", "to_n") * BOUND
+    # near copies meet in most of their columns; other pairs are left to the second step
+    votes = near.union(far).filter(fits & (F.col("to") != F.col("node"))).groupBy("node", "to", "kind", "n").agg(F.count("*").alias("c"))
+    best = votes.filter(F.col("c") * 15 >= F.col("n")).groupBy("node", "kind").agg(F.max(F.struct("c", (-F.col("to")).alias("low"))).alias("m"))
     first = cut(best.select(F.least("node", -F.col("m.low")).alias("a"), F.greatest("node", -F.col("m.low")).alias("b")).distinct(), "first")
     tested = _verified(docs, first, "tested")
     made = components(tested.filter("link"))
     seen = cells.join(made, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("prev", "prev_n", "df")
     mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h")
-    open_ = cut(seen.join(mixed, "h", "left_semi"), "open")
-    x = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "at", "component")])
-    y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "at", "component")])
+    open_ = seen.join(mixed, "h", "left_semi")
+    lanes = [f"b{i}" for i in range(LANES)]
+    sketch = rows.filter("class is not null").groupBy("node", "n").agg(*[F.min(F.get("bits", F.lit(i))).alias(b) for i, b in enumerate(lanes)], F.min("class").alias("lo"), F.max("class").alias("hi"))
+    # an id that stands for several texts has no sketch of its own: nulls discard nothing
+    sketch = sketch.select("node", "n", *[F.when(F.col("lo") == F.col("hi"), F.col(b)).alias(b) for b in lanes])
+    open_ = cut(open_.join(sketch, ["node", "n"]), "open")
+    kept = ("node", "n", "at", "component", *lanes)
+    x = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in kept])
+    y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in kept])
     fewer = F.least("n_a", "n_b")
+    # an overlap o reaches the bound when o * (100 + BOUND) >= BOUND * (n_a + n_b); the first common cell leaves room for it
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in lanes])
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * BOUND / (100 + BOUND) - 1e-9)
     met = (
         x.join(y, "h")
         .filter("node_a < node_b and component_a != component_b")
         .filter(fewer * 100 >= F.greatest("n_a", "n_b") * BOUND)
+        .filter(F.coalesce(differ, F.lit(0)) <= F.col("n_a") + F.col("n_b") - least * 2)
+        .filter((F.col("at_a") + least <= F.col("n_a")) & (F.col("at_b") + least <= F.col("n_b")))
         .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
         .agg(F.count("*").alias("c"), F.max("at_a").alias("last_a"), F.max("at_b").alias("last_b"))
     )
-    # an overlap o reaches the bound when o * (100 + BOUND) >= BOUND * (n_a + n_b)
     can = F.col("c") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
     rest = met.filter(can * (100 + BOUND) >= BOUND * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     rest = cut(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
