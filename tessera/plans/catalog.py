@@ -1,10 +1,315 @@
-"""Every registered query of the engine proper, by name."""
+"""Every registered query of the engine proper, by name, with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.functions import text as T
+from tessera.operators import retrieval as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ً-ْٰـ]', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10)||chr(10), 'g'))"""
+TOK = "regexp_extract_all(text, '[ء-ي]+|[A-Za-z0-9]+')"
+SCORED = f"""WITH tf AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({TOK}) term FROM documents) GROUP BY 1, 2),
+len AS (SELECT doc_id, len({TOK}) len FROM documents), st AS (SELECT count(*) n, avg(len::DOUBLE) avgdl FROM len),
+df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
+qtf AS (SELECT item_id, term, count(*) qtf FROM (SELECT item_id, unnest({TOK}) term FROM benchmark) GROUP BY 1, 2),
+scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)) * qtf), 6) score
+  FROM qtf JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT rnk FROM scored)"""
+GOLD = "gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+METRICS = f"""{SCORED}, {GOLD}, tot AS (SELECT item_id, count(*) n_gold FROM gold GROUP BY 1),
+hits AS (SELECT item_id, count(*) hits, min(rnk) best, sum(1.0::DOUBLE / log2(rnk + 1.0)) dcg FROM ranked JOIN gold USING (item_id, doc_id) WHERE rnk <= 10 GROUP BY 1),
+met AS (SELECT item_id, round(coalesce(hits::DOUBLE / n_gold, 0), 6) recall, round(coalesce(hits / 10.0::DOUBLE, 0), 6) "precision", round(coalesce(1.0::DOUBLE / best, 0), 6) mrr,
+  round(coalesce(dcg / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0))), 0), 6) ndcg FROM tot LEFT JOIN hits USING (item_id))"""
+
+
+@query(f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT doc_id, length(text)::BIGINT n_before, length(regexp_replace(text, '[ً-ْٰـ]', '', 'g'))::BIGINT n_after FROM documents")
+def strip_marks(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c: F.char_length(c).cast("bigint")
+    return table(spark, d, "documents").select("doc_id", n("text").alias("n_before"), n(T.strip_marks(F.col("text"))).alias("n_after"))
+
+
+@query(rf"""SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(regexp_replace(text, '[؀-ۿ]', '', 'g'))) / length(text)::DOUBLE END, 6) arabic_ratio,
+ round(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(regexp_replace(text, '[^a-zA-Z]', '', 'g'))) / length(text)::DOUBLE END, 6) other_ratio,
+ len({TOK})::BIGINT n_tokens, CASE WHEN len({TOK}) < 20 THEN 'unknown' ELSE 'ok' END verdict FROM documents""")
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(T.tokens(F.col("text"))).cast("bigint")
+    arabic = F.round(T.share(F.col("text"), T.ARABIC), 6)
+    return table(spark, d, "documents").select("doc_id", arabic.alias("arabic_ratio"), F.round(T.share(F.col("text"), "[^a-zA-Z]"), 6).alias("other_ratio"),
+                                               n.alias("n_tokens"), T.verdict(F.lit(0.0), n).alias("verdict"))
+
+
+@query(f"SELECT doc_id, len({TOK})::BIGINT n_tokens, len(list_distinct({TOK}))::BIGINT n_distinct FROM documents")
+def tokenize_plain(spark: SparkSession, d: str) -> DataFrame:
+    got = T.tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(got).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(got)).cast("bigint").alias("n_distinct"))
+
+
+@query(f"""SELECT token, count(*)::BIGINT df, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) ratio
+FROM (SELECT unnest(list_distinct({TOK})) token FROM documents) GROUP BY 1 ORDER BY df DESC, token LIMIT 100""")
+def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    n = F.broadcast(docs.agg(F.count("*").alias("n")))
+    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return df.crossJoin(n).select("token", "df", F.round(F.col("df") / F.col("n"), 6).alias("ratio")).orderBy(F.col("df").desc(), "token").limit(100)
+
+
+@query(f"""WITH p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({TOK}) term FROM documents)), n AS (SELECT count(*) n FROM documents)
+SELECT term, count(*)::BIGINT df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) idf FROM p, n GROUP BY 1""")
+def bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    return R.index(table(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def ranking(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    return R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k=k)
+
+
+def gold(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a benchmark passage: the benchmark is a fixed, small set of items."""
+    b, docs = table(spark, d, "benchmark").withColumnRenamed("text", "passage"), table(spark, d, "documents")
+    return docs.join(F.broadcast(b), F.contains(docs["text"], b["passage"])).select("item_id", "doc_id")
+
+
+@query(f"{SCORED} SELECT item_id, doc_id, score, rnk FROM ranked WHERE rnk <= 10")
+def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
+    return ranking(spark, d)
+
+
+@query(f"""{SCORED}, f AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT rnk
+FROM scored JOIN documents USING (doc_id) WHERE lang = 'en') SELECT * FROM f WHERE rnk <= 10""")
+def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """idf of the whole corpus; the filter applies to what is ranked."""
+    docs = table(spark, d, "documents")
+    scored = R.bm25(docs, table(spark, d, "benchmark"), k=2**31 - 1).drop("rnk")
+    return R.top(scored.join(docs.filter("lang = 'en'").select("doc_id"), "doc_id").select("item_id", "doc_id", "score"), "item_id", "score", "doc_id", 10)
+
+
+@query(f"{METRICS} SELECT * FROM met")
+def question_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return R.metrics(ranking(spark, d), gold(spark, d))
+
+
+@query(f"{METRICS} SELECT item_id, recall FROM met")
+def bm25_recall(spark: SparkSession, d: str) -> DataFrame:
+    return R.metrics(ranking(spark, d), gold(spark, d)).select("item_id", "recall")
+
+
+@query(f"{METRICS} SELECT count(*)::BIGINT n, round(avg(recall), 6) recall, round(avg(\"precision\"), 6) \"precision\", round(avg(mrr), 6) mrr, round(avg(ndcg), 6) ndcg FROM met")
+def mean_metrics(spark: SparkSession, d: str) -> DataFrame:
+    names = ("recall", "precision", "mrr", "ndcg")
+    return R.metrics(ranking(spark, d), gold(spark, d)).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in names])
+
+
+KNN = """SELECT * FROM (SELECT qid, vec_id, cos, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id)::INT rnk FROM (
+SELECT a.vec_id qid, b.vec_id vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) cos FROM embeddings a, embeddings b
+WHERE a.vec_id < 20 AND a.vec_id != b.vec_id {more})) WHERE rnk <= 10"""
+
+
+def _questions(e: DataFrame) -> DataFrame:
+    return e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+
+
+@query(KNN.format(more=""))
+def knn_exact(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return R.dense(_questions(e), e)
+
+
+@query(KNN.format(more="AND b.label < 5"))
+def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return R.dense(_questions(e), e.filter("label < 5"))
+
+
+LEGS = f"""{SCORED}, bm AS (SELECT item_id, doc_id, rnk FROM ranked WHERE rnk <= 50),
+sp AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, doc_id)::INT rnk FROM (
+  SELECT item_id, doc_id, round(sum(ln(1 + qtf) * ln(1 + tf)), 6) s FROM qtf JOIN tf USING (term) GROUP BY 1, 2)) WHERE rnk <= 50),
+fused AS (SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id)::INT rnk FROM (
+  SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rnk)), 8) rrf FROM (SELECT * FROM bm UNION ALL SELECT * FROM sp) GROUP BY 1, 2))"""
+
+
+def sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
+    q = R.postings(table(spark, d, "benchmark"), "item_id").withColumnRenamed("tf", "qtf")
+    met = R.postings(table(spark, d, "documents")).join(q, "term")
+    scored = met.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.log1p("qtf") * F.log1p("tf")), 6).alias("s"))
+    return R.top(scored, "item_id", "s", "doc_id", k)
+
+
+@query(f"{LEGS} SELECT * FROM sp WHERE rnk <= 10")
+def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
+    return sparse(spark, d, 10).drop("s")
+
+
+def fused(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return R.rrf(ranking(spark, d, 50).select("item_id", "doc_id", "rnk").unionByName(sparse(spark, d, 50).drop("s")), k=k)
+
+
+@query(f"{LEGS} SELECT * FROM fused WHERE rnk <= 10")
+def rrf(spark: SparkSession, d: str) -> DataFrame:
+    return fused(spark, d, 10)
+
+
+@query(f"""{LEGS}, a AS (SELECT f.item_id, f.doc_id, f.rnk, source, doc_id % 50 page FROM fused f JOIN documents USING (doc_id) WHERE rnk <= 50),
+b AS (SELECT *, row_number() OVER (PARTITION BY item_id, source, page ORDER BY rnk) p FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY rnk) s FROM b WHERE p <= 3)
+SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rnk)::INT new_rnk FROM c WHERE s <= 5""")
+def diversity_caps(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", (F.col("doc_id") % 50).alias("page"))
+    return R.caps(fused(spark, d, 50).join(docs, "doc_id"), "item_id", 5, 3).select("item_id", "doc_id", "new_rnk")
+
+
+@query(f"""{SCORED} SELECT item_id, doc_id FROM (SELECT item_id, doc_id, sum(n_chars) OVER (PARTITION BY item_id ORDER BY rnk) used
+FROM ranked JOIN documents USING (doc_id) WHERE rnk <= 10) WHERE used <= 16800""")
+def fit_budget(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("item_id").orderBy("rnk").rowsBetween(Window.unboundedPreceding, 0)
+    met = ranking(spark, d).join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return met.withColumn("used", F.sum("n_chars").over(w)).filter("used <= 16800").select("item_id", "doc_id")
+
+
+@query("SELECT source, count(*)::BIGINT pages, round(avg(length(text)), 6) chars_per_page, sum(length(text))::BIGINT chars FROM documents GROUP BY 1")
+def source_report(spark: SparkSession, d: str) -> DataFrame:
+    n = F.char_length("text")
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("pages"), F.round(F.avg(n), 6).alias("chars_per_page"), F.sum(n).cast("bigint").alias("chars"))
+
+
+@query("""SELECT lang, n, max(CASE WHEN r = n // 2 THEN n_chars END) median, max(CASE WHEN r = n * 9 // 10 THEN n_chars END) p90, max(n_chars) most FROM (
+SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 r, count(*) OVER (PARTITION BY lang) n FROM documents) GROUP BY 1, 2""")
+def chunk_census(spark: SparkSession, d: str) -> DataFrame:
+    """Positional picks sorted[n // 2] and sorted[n * 9 // 10]."""
+    w = Window.partitionBy("lang")
+    rows = table(spark, d, "documents").select("lang", "n_chars", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    at = lambda i: F.max(F.when(F.col("r") == i, F.col("n_chars")))
+    return rows.groupBy("lang", "n").agg(at(F.expr("n div 2")).alias("median"), at(F.expr("n * 9 div 10")).alias("p90"), F.max("n_chars").alias("most"))
+
+
+@query("SELECT doc_id, printf('%s_p%02d_%s', source, doc_id % 50, lang) chunk_id FROM documents")
+def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.format_string("%s_p%02d_%s", "source", F.col("doc_id") % 50, "lang").alias("chunk_id"))
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]\s+|\n+'), lambda s: length(trim(s)) > 0))::BIGINT n_sentences FROM documents")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
+
+
+@query("SELECT source, lang, count(*)::BIGINT n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) outline FROM documents GROUP BY 1, 2")
+def section_outline(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("outline"))
+
+
+@query("""SELECT doc_id, concat('source ', source, ', language ', lang) prefix, length(concat_ws(chr(10), concat('source ', source, ', language ', lang), text))::BIGINT text_len FROM documents""")
+def context_template(spark: SparkSession, d: str) -> DataFrame:
+    prefix = F.concat(F.lit("source "), "source", F.lit(", language "), "lang")
+    return table(spark, d, "documents").select("doc_id", prefix.alias("prefix"), F.char_length(F.concat_ws("\n", prefix, "text")).cast("bigint").alias("text_len"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN contains(text, '?') THEN 'question' WHEN len(regexp_extract_all(text, '[^ ]+')) <= 2 THEN 'short' ELSE 'pass' END decision
+FROM conversations WHERE role = 'user'""")
+def pre_gate(spark: SparkSession, d: str) -> DataFrame:
+    rule = F.when(F.char_length(F.trim("text")) == 0, "empty").when(F.contains("text", F.lit("?")), "question").when(F.regexp_count("text", F.lit("[^ ]+")) <= 2, "short").otherwise("pass")
+    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", rule.alias("decision"))
+
+
+@query("""SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) prev_role, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT prev_len FROM conversations""")
+def prior_turn(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("prev_role"), F.lag(F.char_length("text")).over(w).cast("bigint").alias("prev_len"))
+
+
+@query("""SELECT coalesce(event_type, 'TOTAL') step, count(*)::BIGINT calls, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT tokens, round(sum(value), 4) latency,
+round(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) / 1000000.0::DOUBLE * 5, 6) cost FROM events GROUP BY ROLLUP (event_type)""")
+def ledger_rollup(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    rolled = table(spark, d, "events").rollup("event_type").agg(F.count("*").alias("calls"), F.sum(k).alias("tokens"), F.round(F.sum("value"), 4).alias("latency"), F.round(F.sum(k) / 1e6 * 5, 6).alias("cost"))
+    return rolled.select(F.coalesce("event_type", F.lit("TOTAL")).alias("step"), "calls", "tokens", "latency", "cost")
+
+
+@query("""WITH t AS (SELECT unnest(range(1, 10)) / 10.0::DOUBLE threshold), s AS (SELECT toxic, least(n_chars / 10000.0::DOUBLE, 1) score FROM labels JOIN documents USING (doc_id))
+SELECT threshold, round((sum(CASE WHEN toxic = 1 AND score >= threshold THEN 1 ELSE 0 END) / nullif(sum(toxic), 0)::DOUBLE + sum(CASE WHEN toxic = 0 AND score < threshold THEN 1 ELSE 0 END) / nullif(sum(1 - toxic), 0)::DOUBLE) / 2, 6) accuracy
+FROM s, t GROUP BY 1""")
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Balanced accuracy at nine thresholds, which are columns of one pass, not copies of the rows."""
+    s = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    score, pos = F.least(F.col("n_chars") / 10000.0, F.lit(1.0)), F.col("toxic") == 1
+    part = lambda t: (F.count_if(pos & (score >= t)) / F.nullif(F.count_if(pos), F.lit(0)) + F.count_if(~pos & (score < t)) / F.nullif(F.count_if(~pos), F.lit(0))) / 2
+    cells = [F.struct(F.lit(i / 10.0).alias("threshold"), F.round(part(i / 10.0), 6).alias("accuracy")) for i in range(1, 10)]
+    return s.agg(F.array(*cells).alias("x")).select(F.inline("x"))
+
+
+@query("""SELECT conv_id, turn, len(list_filter(cur, lambda x: NOT list_contains(prev, x)))::BIGINT n_added, len(list_filter(cur, lambda x: NOT list_contains(prev, x))) = 0 passed FROM (
+SELECT conv_id, turn, role, regexp_extract_all(text, '[0-9]+') cur, coalesce(lag(regexp_extract_all(text, '[0-9]+')) OVER (PARTITION BY conv_id ORDER BY turn), []) prev FROM conversations) WHERE role = 'assistant'""")
+def guard_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of an answer that the turn before does not have."""
+    w, cur = Window.partitionBy("conv_id").orderBy("turn"), F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", cur.alias("cur"), F.coalesce(F.lag(cur).over(w), F.array().cast("array<string>")).alias("prev"))
+    added = F.size(F.filter("cur", lambda x: ~F.array_contains("prev", x))).cast("bigint")
+    return rows.filter("role = 'assistant'").select("conv_id", "turn", added.alias("n_added"), (added == 0).alias("passed"))
+
+
+@query(f"WITH {GOLD} SELECT b.item_id, count(g.doc_id)::BIGINT n_docs FROM benchmark b LEFT JOIN gold g USING (item_id) GROUP BY 1")
+def evidence_containment(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").join(gold(spark, d), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
+
+
+@query(f"WITH {GOLD} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM gold)")
+def gate_refs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").join(gold(spark, d), "item_id", "left_anti").select("item_id")
+
+
+@query(r"SELECT page_id, url, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) body FROM pages")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    body = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \t\n\f\r]+", " "))
+    return table(spark, d, "pages").select("page_id", "url", body.alias("body"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 12) fingerprint FROM documents")
+def fingerprint_page(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.substring(F.sha2("text", 256), 1, 12).alias("fingerprint"))
+
+
+@query("SELECT doc_id, printf('%s_p%03d_300dpi', substr(sha256(text), 1, 12), doc_id % 50) cache_key FROM documents")
+def cache_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.format_string("%s_p%03d_300dpi", F.substring(F.sha2("text", 256), 1, 12), F.col("doc_id") % 50).alias("cache_key"))
+
+
+@query("""SELECT source, value, votes FROM (SELECT source, value, votes, row_number() OVER (PARTITION BY source ORDER BY votes DESC, first) r FROM (
+SELECT source, regexp_extract(text, '[0-9]+') value, count(*)::BIGINT votes, min(doc_id) first FROM documents WHERE regexp_matches(text, '[0-9]+') GROUP BY 1, 2)) WHERE r = 1""")
+def field_vote(spark: SparkSession, d: str) -> DataFrame:
+    """Majority value of a field by source; ties go to the value seen first."""
+    rows = table(spark, d, "documents").filter(F.col("text").rlike("[0-9]+")).groupBy("source", F.regexp_extract("text", "[0-9]+", 0).alias("value")).agg(F.count("*").alias("votes"), F.min("doc_id").alias("first"))
+    best = F.max(F.struct("votes", (-F.col("first")).alias("early"), "value")).alias("m")
+    return rows.groupBy("source").agg(best).select("source", "m.value", "m.votes")
+
+
+@query("""SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 2 = 0)""")
+def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.join(e.filter("user_id % 2 = 0").select("event_id"), "event_id", "left_anti").select("event_id")
