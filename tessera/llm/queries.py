@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, mtree, ngram_join, order_minhash, pii, secret_scan, shards, toxicity
+from . import bpe, mixing, mtree, ngram_join, order_minhash, pii, quality, secret_scan, shards, toxicity
 from .common import read
 
 
@@ -45,6 +45,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "position")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs))
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read(spark, sf_dir, "documents"))
 
@@ -63,6 +69,6 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_pii, op3_sharding, op4_secrets, op5_fingerprints, op6_mixing, op8_ngram_join, op9_toxicity, op10_topk)
+    f.__name__: f for f in (op1_bpe, op2_pii, op3_sharding, op4_secrets, op5_fingerprints, op6_mixing, op7_quality, op8_ngram_join, op9_toxicity, op10_topk)
 }
 ORACLE_SQL: dict[str, str] = {}
