@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, mixing, mtree, ngram_join, order_minhash, pii, secret_scan, shards, toxicity
+from tessera.llm import bpe, mixing, mtree, ngram_join, order_minhash, pii, quality, secret_scan, shards, toxicity
 
 BASE = "one two three four five six seven eight nine ten " * 3
 TEXTS = [
@@ -184,3 +184,24 @@ def test_topk_is_exact(spark):
         assert got[q] == [(i, int(s[i])) for i in order]
     assert set(got) == set(range(0, 400, 50))
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    weights = quality.train(whole)
+    rows = quality.score(whole, weights).join(labels, "doc_id").collect()
+    good, poor = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0]
+    assert sum(r.score >= 0.5 for r in good) >= 0.97 * len(good) and sum(r.score < 0.5 for r in poor) >= 0.8 * len(poor)
+    got = quality.score(docs.select("doc_id", "text", docs["lang"].alias("score")), weights)
+    seen = {r.doc_id: r.score for r in got.collect()}
+    assert got.columns == ["doc_id", "text", "score"] and len(seen) == len(TEXTS) and seen[4] == seen[5] and seen[0] == seen[1]
+    assert quality.score(empty, quality.train(empty)).count() == 0
+
+
+def test_quality_posteriors():
+    many = tuple([1] * quality.LABELLERS)
+    alarm = tuple([1, 1, -1] + [1] * (quality.LABELLERS - 3))
+    chance = quality.posteriors({many: 900, alarm: 40, tuple([-1] * quality.LABELLERS): 10})
+    assert chance[many] > 0.9 > 0.5 > chance[alarm]
+    assert quality.posteriors({}) == {}
