@@ -56,8 +56,10 @@ def inner(a: Column, b: Column) -> Column:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """qid, vec_id, cos, rnk: a stated, bounded query set (qid, q) against all vectors."""
-    met = vectors.crossJoin(F.broadcast(queries)).filter("vec_id != qid")
+    """qid, vec_id, cos, rnk: a stated query set (qid, q) against all vectors.
+
+    Without a hint the query set is broadcast only below Spark's size threshold; beyond it partitions meet in blocks."""
+    met = vectors.crossJoin(queries).filter("vec_id != qid")
     return top(met.select("qid", "vec_id", F.round(inner(F.col("embedding"), F.col("q")), 6).alias("cos")), "qid", "cos", "vec_id", k)
 
 
