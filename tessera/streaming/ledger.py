@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The declared steps, shown whether they ran or not.
-STEPS = ("click", "view", "purchase", "signup", "logout", "never run")
+STEPS = ("click", "view", "purchase", "signup", "error", "never run")
 
 
 def shared_dir(spark: SparkSession) -> str:
