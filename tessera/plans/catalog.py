@@ -157,6 +157,30 @@ def rrf(spark: SparkSession, d: str) -> DataFrame:
     return fused(spark, d, 10)
 
 
+MODES = f"""{LEGS}, modes AS (SELECT 'bm25' "mode", item_id, doc_id, rnk FROM bm WHERE rnk <= 10 UNION ALL SELECT 'sparse', item_id, doc_id, rnk FROM sp WHERE rnk <= 10
+UNION ALL SELECT 'hybrid', item_id, doc_id, rnk FROM fused WHERE rnk <= 10)"""
+
+
+def modes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"bm25": ranking(spark, d), "sparse": sparse(spark, d, 10), "hybrid": fused(spark, d, 10)}
+
+
+@query(f"{MODES} SELECT * FROM modes")
+def retrieve_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    parts = [df.select(F.lit(m).alias("mode"), "item_id", "doc_id", "rnk") for m, df in modes(spark, d).items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""{MODES}, {GOLD}, tot AS (SELECT item_id, count(*) n_gold FROM gold GROUP BY 1), hit AS (SELECT "mode", item_id, count(*) hits, min(rnk) best FROM modes JOIN gold USING (item_id, doc_id) GROUP BY 1, 2)
+SELECT m."mode", round(avg(round(coalesce(hits::DOUBLE / n_gold, 0), 6)), 4) recall, round(avg(round(coalesce(1.0::DOUBLE / best, 0), 6)), 4) mrr
+FROM (VALUES ('bm25'), ('sparse'), ('hybrid')) m("mode") CROSS JOIN tot LEFT JOIN hit ON hit."mode" = m."mode" AND hit.item_id = tot.item_id GROUP BY 1""")
+def retrieval_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Mean recall and reciprocal rank of each mode over the questions that have gold."""
+    want = gold(spark, d)
+    means = [R.metrics(df, want).agg(F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("mrr"), 4).alias("mrr")).select(F.lit(m).alias("mode"), "recall", "mrr") for m, df in modes(spark, d).items()]
+    return means[0].unionByName(means[1]).unionByName(means[2])
+
+
 @query(f"""{LEGS}, a AS (SELECT f.item_id, f.doc_id, f.rnk, source, doc_id % 50 page FROM fused f JOIN documents USING (doc_id) WHERE rnk <= 50),
 b AS (SELECT *, row_number() OVER (PARTITION BY item_id, source, page ORDER BY rnk) p FROM a),
 c AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY rnk) s FROM b WHERE p <= 3)
