@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, ngram_join, pii, toxicity
-from tessera.llm.common import cut, read
+from tessera.llm.common import cut, ranked, read
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 0.5
@@ -26,13 +26,30 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of 0.8-similar documents the one with the least id; documents without words stay.
 
-    Rows without an id stay. Rows that repeat an id are one document, of which one row stays."""
+    Rows that share an id, or have none, are documents of their own: where there are such rows, all are numbered by id
+    (none last) and text, and rows with words that equal another in both leave the first by their other columns."""
+    if not docs.filter("doc_id is null").isEmpty() or not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return _one_of_each(docs)
     linked = cut(ngram_join.link(docs), "linked")
     gone = linked.filter("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _one_of_each(docs: DataFrame) -> DataFrame:
+    """The same for rows that their ids do not tell apart."""
+    text = F.coalesce("text", F.lit(""))
+    keys = ["doc_id", "_h1", "_h2"]
+    tagged = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text), "_words": text.rlike(r"[^\x20\x09-\x0D]")})
+    worded = tagged.filter("_words")
+    numbers = ranked(worded.select(*keys).distinct(), F.col("doc_id").asc_nulls_last(), F.col("_h1"), F.col("_h2"), name="_node", label="numbers")
+    others = [F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))] if len(docs.columns) > 2 else [F.lit(0)]
+    first = worded.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*others))).filter("_nth = 1")
+    on = first["doc_id"].eqNullSafe(numbers["doc_id"]) & (first["_h1"] == numbers["_h1"]) & (first["_h2"] == numbers["_h2"])
+    once = cut(first.join(numbers, on).select(*[first[c] for c in docs.columns], "_node"), "once")
+    linked = cut(ngram_join.link(once.select(F.col("_node").alias("doc_id"), "text")), "linked")
+    gone = linked.filter("component_id != doc_id").select(F.col("doc_id").alias("_node"))
+    kept = once.join(gone, "_node", "left_anti").select(*docs.columns)
+    return kept.unionByName(tagged.filter("not _words").select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

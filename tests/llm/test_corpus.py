@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tessera.llm import bpe, mixing, mtree, ngram_join, order_minhash, pii, quality, secret_scan, shards, toxicity
 
 BASE = "one two three four five six seven eight nine ten " * 3
@@ -140,6 +141,16 @@ def test_ngram_components(spark, empty):
     assert ngram_join.link(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_no_duplicates(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(0, one + " end", "s"), (1, one, "s"), (1, two, "t"), (1, two, "s"), (None, two + " end", "s"), (None, "quite another text", "s"),
+            (None, "quite another text", "s"), (1, "", "s"), (1, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs.repartition(3), "").collect()
+    want = [rows[0], rows[3], rows[5], *rows[7:]]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_toxicity_held_out(spark, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
