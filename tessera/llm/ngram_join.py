@@ -14,8 +14,9 @@ The product is taken in two steps, so that a group of near copies costs no pair
      rest verified.
 Verified means: intersection of the whole sets. Every link either is verified or joins rows already in one component.
 
-Null and empty texts have no shingles and stay alone. Rows that repeat a doc_id belong to one component. A null
-doc_id gets a stand-in that sorts last, and a null component if it is the least of its component.
+Null and empty texts have no shingles and stay alone. Rows that repeat a doc_id belong to one component. Rows with a null
+doc_id get a stand-in for each class; it sorts last, takes part like any other node, and gives a null component if it is the
+least of its component.
 """
 
 from __future__ import annotations
@@ -190,22 +191,26 @@ def _order(docs: DataFrame):
 
 
 def _rows(docs: DataFrame, order) -> DataFrame:
-    """doc_id, size, class key (16 bytes of the whole set's hash) and cells of every document."""
+    """doc_id, size, class key (16 bytes of the whole set's hash) and cells of every document; the text where the id is null."""
     import pyarrow as pa
 
     def run(batches):
         import hashlib
 
+        import pyarrow.compute as pc
+
         own = order.value
         for batch, sets in _documents(batches):
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+            ids = batch.column("doc_id")
+            bare = pc.if_else(pc.is_null(ids), batch.column("text"), pa.scalar(None, batch.column("text").type))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 _lists([prefix(s, own) for s in sets]), _lists([parity(s) for s in sets])],
-                ["doc_id", "n", "class", "cells", "bits"],
+                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                 _lists([prefix(s, own) for s in sets]), _lists([parity(s) for s in sets]), bare],
+                ["doc_id", "n", "class", "cells", "bits", "bare"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, class binary, cells array<bigint>, bits array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, class binary, cells array<bigint>, bits array<bigint>, bare string")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -214,20 +219,20 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-    """Pairs (a, b) with whether their whole sets reach the bound.
+    """Pairs (a, b) with whether their whole sets reach the bound; docs: node, text.
 
     Each set is worked out from its text and sent to each pair that asks for it: one exchange of sets, none of texts while the
     pairs are few enough to broadcast."""
     import pyarrow as pa
 
-    asked, count = docs.filter("doc_id is not null"), pairs.count()
+    count = pairs.count()
 
     def run(batches):
         for batch, sets in _documents(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), _lists(sets)], ["a", "b", "own"])
 
     def side(end: str, name: str) -> DataFrame:
-        texts = asked.join(small(pairs, count), asked["doc_id"] == pairs[end]).select("a", "b", "text")
+        texts = docs.join(small(pairs, count), docs["node"] == pairs[end]).select("a", "b", "text")
         return texts.mapInArrow(run, "a bigint, b bigint, own array<bigint>").withColumnRenamed("own", name)
 
     common = F.size(F.array_intersect("x", "y"))
@@ -247,8 +252,12 @@ def link(df: DataFrame) -> DataFrame:
     member = rows.filter("class is not null").select("class", F.col("node").alias("member")).distinct()
     same = cut(classes.join(member, "class").filter("node != member").select("node", "member", "class"), "same")
     copies = small(same.select("class", F.col("member").alias("node")), same.count())
-    chosen = rows.filter(F.col("class").isNotNull() & (F.col("node") < NO_ID)).join(copies, ["class", "node"], "left_anti")
-    chosen = chosen.select("node", "n", F.posexplode("cells").alias("at", "h"))
+    # rows without an id share their class's stand-in, so one row and one text of a class do
+    texts, told = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), rows.filter("class is not null and doc_id is not null")
+    if not rows.filter("class is not null and doc_id is null").isEmpty():
+        bare = cut(rows.filter("class is not null and doc_id is null").dropDuplicates(["class"]), "bare")
+        texts, told = texts.union(bare.select("node", F.col("bare").alias("text"))), told.union(bare)
+    chosen = told.join(copies, ["class", "node"], "left_anti").select("node", "n", F.posexplode("cells").alias("at", "h"))
     line = Window.partitionBy("h").orderBy("n", "node")
     column = Window.partitionBy("h")
     cells = cut(
@@ -267,7 +276,7 @@ def link(df: DataFrame) -> DataFrame:
     votes = near.union(far).filter(fits & (F.col("to") != F.col("node"))).groupBy("node", "to", "kind", "n").agg(F.count("*").alias("c"))
     best = votes.filter(F.col("c") * 15 >= F.col("n")).groupBy("node", "kind").agg(F.max(F.struct("c", (-F.col("to")).alias("low"))).alias("m"))
     first = cut(best.select(F.least("node", -F.col("m.low")).alias("a"), F.greatest("node", -F.col("m.low")).alias("b")).distinct(), "first")
-    tested = _verified(docs, first, "tested")
+    tested = _verified(texts, first, "tested")
     made = components(tested.filter("link"))
     seen = cells.join(made, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("prev", "prev_n", "df")
     mixed = seen.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("h")
@@ -296,7 +305,7 @@ def link(df: DataFrame) -> DataFrame:
     can = F.col("c") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
     rest = met.filter(can * (100 + BOUND) >= BOUND * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     rest = cut(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    more = _verified(docs, rest, "more")
+    more = _verified(texts, rest, "more")
     links = tested.filter("link").select("a", "b").union(more.filter("link").select("a", "b"))
     # a repeated id stands for all its texts; copies hang on their class's least id
     done = components(links.union(same.select(F.col("node").alias("a"), F.col("member").alias("b")).distinct()))

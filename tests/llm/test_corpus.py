@@ -141,6 +141,20 @@ def test_ngram_components(spark, empty):
     assert ngram_join.link(empty).count() == 0
 
 
+def test_ngram_links_rows_without_id(spark):
+    line = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("edit" if i in at else w for i, w in enumerate(line))
+    lone = [" ".join(f"{c}{i}" for i in range(60)) for c in "xy"]
+    # the ends are too far apart and linked only through the row between them
+    rows = [(5, near(4)), (None, near()), (None, near()), (9, near(55)), (None, lone[0] + " a"), (None, lone[0] + " b"), (None, lone[0] + " b"), (7, lone[1]), (None, ""), (None, None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, t in rows for w in [(t or "").split()]]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) >= 0.8 <= like(1, 3) and like(0, 3) < 0.8
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    part = [5, 5, 5, 5, None, None, None, 7, None, None]
+    assert got == sorted(((i, len(s), c) for (i, _), s, c in zip(rows, sets, part)), key=str)
+
+
 def test_rows_that_share_an_id_are_no_duplicates(spark):
     one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(0, one + " end", "s"), (1, one, "s"), (1, two, "t"), (1, two, "s"), (None, two + " end", "s"), (None, "quite another text", "s"),
