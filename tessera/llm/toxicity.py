@@ -2,7 +2,8 @@
 
 Each word is a step. Its inputs come from the word (how much likelier toxic training documents hold it, shrunk to 0 by a
 prior) and from its characters (the same for its first 3 to 6 characters and all runs of 4, at their most and on
-average). Two gated recurrent layers read a window of WIDTH words forwards and backwards, attention pools their states, and
+average). A token without white space above LONG characters makes several steps: its words between marks, and slices of LONG
+characters that overlap by half, so none of it goes unread. Two gated recurrent layers read a window of WIDTH words forwards and backwards, attention pools their states, and
 a logistic unit scores the window. Windows overlap by half and cover the whole text; a document's score is
 its highest window's. The network is trained on one window of each training document, the one that it scores highest itself, so it
 finds out which window earned the label.
@@ -26,6 +27,8 @@ POSITIVE, NEGATIVE, LONGEST = 2500, 5000, 20_000
 FOLDS, WIDTH, STRIDE, HIDDEN, INPUTS, ATTEND = 5, 24, 12, 8, 6, 8
 KEPT, WORDS = 60_000, 300_000
 CORE = re.compile(r"^[\W_]+|[\W_]+$")
+LONG, INNER = 32, "\x1f"  # longest token that is one step; what marks a slice from inside a token: no token holds it
+PART = re.compile(r"[^\W_]+")
 
 
 def held_out(key: str) -> Column:
@@ -33,9 +36,26 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(0)) % FOLDS == 0
 
 
-def pieces(word: str) -> list[str]:
-    """Character features of a word: anchored starts, and runs of 4."""
-    return [f"^{word[:n]}" for n in range(3, min(6, len(word)) + 1)] + [word[i : i + 4] for i in range(len(word) - 3)]
+def steps(text: str) -> list[str]:
+    """The steps of a text: its tokens in lower case, and slices and words of the long ones as they stand."""
+    tokens = text.lower().split()
+    if max(map(len, tokens), default=0) <= LONG:
+        return tokens
+    return [step for token in tokens for step in ([token] if len(token) <= LONG else parts(token))]
+
+
+def parts(token: str) -> list[str]:
+    half = LONG // 2
+    slices = [(i, 0, (INNER if i else "") + token[i : i + LONG]) for i in range(0, len(token) - half, half)]
+    words = [(m.start(), 1, m.group()) for m in PART.finditer(token) if len(m.group()) <= LONG]
+    return [step for _, _, step in sorted(slices + words)]
+
+
+def pieces(step: str) -> list[str]:
+    """Character features of a step: anchored starts unless it begins inside a token, and runs of 4."""
+    word = CORE.sub("", step)
+    starts = [] if step.startswith(INNER) else [f"^{word[:n]}" for n in range(3, min(6, len(word)) + 1)]
+    return starts + [word[i : i + 4] for i in range(len(word) - 3)]
 
 
 class Inputs:
@@ -46,14 +66,14 @@ class Inputs:
         chars: tuple[Counter, Counter] = (Counter(), Counter())
         known: dict[str, list[str]] = {}
         for text, mark in zip(texts, marks):
-            own = {CORE.sub("", w) for w in text.lower().split()} - {""}
-            words[mark].update(own)
-            parts: set[str] = set()
+            own = set(steps(text))
+            words[mark].update({CORE.sub("", w) for w in own if not w.startswith(INNER)} - {""})
+            held: set[str] = set()
             for w in own:
                 if w not in known:
-                    known[w] = pieces(w[:32])
-                parts.update(known[w])
-            chars[mark].update(parts)
+                    known[w] = pieces(w)
+                held.update(known[w])
+            chars[mark].update(held)
         rate = (sum(marks) + 0.5) / (len(marks) + 1)
         self.words, self.chars = self.odds(words, rate), self.odds(chars, rate)
 
@@ -72,7 +92,7 @@ class Inputs:
 
     def vector(self, word: str) -> list[float]:
         core = CORE.sub("", word)
-        odds = sorted((self.chars.get(p, 0.0) for p in pieces(core[:32])), reverse=True) or [0.0]
+        odds = sorted((self.chars.get(p, 0.0) for p in pieces(word)), reverse=True) or [0.0]
         best = odds[0]
         return [self.words.get(core, 0.0), best, sum(odds[:3]) / 3, sum(odds) / len(odds), 1.0 if best > 2 else 0.0, 1.0]
 
@@ -189,7 +209,7 @@ class Scorer:
             self.reset()
         ids, new, out, counts = self.ids, [], [], []
         for text in texts:
-            words = text.lower().split()
+            words = steps(text)
             for w in words:
                 if w not in ids:
                     ids[w] = len(ids)

@@ -175,6 +175,21 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score(empty.select("doc_id", "text"), model).count() == 0
 
 
+def test_toxicity_reads_long_tokens_whole():
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abcdefghijklm"), 6)) for _ in range(80)]
+    texts = [" ".join([*rng.choice(plain, 20), *(["zorqwyt"] if i % 4 > 1 else []), *rng.choice(plain, 20)]) for i in range(300)]
+    model = toxicity.fit(texts, [int(i % 4 > 1) for i in range(300)])
+    for mark in ("_", ",", "/", "", "."):
+        clean = [mark.join(rng.choice(plain, 30)) for _ in range(3)]
+        toxic = [mark.join([*rng.choice(plain, 30), "zorqwyt", *rng.choice(plain, n)]) for n in (0, 1, 30)]
+        assert all(model.score(toxic) >= 0.5) and all(model.score(clean) < 0.5)
+    for n in (33, 47, 48, 49, 64, 200):
+        token = "".join(chr(0x4E00 + i) for i in range(n))
+        held = {p for step in toxicity.steps(f"a {token} b") for p in toxicity.pieces(step)}
+        assert {token[i : i + 4] for i in range(n - 3)} <= held
+
+
 def test_network_gradient():
     rng = np.random.default_rng(1)
     net = toxicity.Network(2)
