@@ -94,6 +94,28 @@ def test_shards_are_even_and_groups_stay(spark, empty):
     assert shards.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("corpus", ["pairs", "hot and pairs", "hot, pairs and singles", "hot, fives and singles", "two hot"])
+def test_shards_cut_no_group_that_fits(spark, corpus):
+    n = 960
+    text = {
+        "pairs": lambda i: f"t{i // 2}",
+        "hot and pairs": lambda i: "hot" if i < 320 else f"t{i // 2}",
+        "hot, pairs and singles": lambda i: "hot" if i < 320 else f"t{i // 2}" if i < 640 else f"s{i}",
+        "hot, fives and singles": lambda i: "hot" if i < 320 else f"t{i // 5}" if i < 640 else f"s{i}",
+        "two hot": lambda i: "hot" if i < 250 else "warm" if i < 400 else f"t{i // 4}",
+    }[corpus]
+    texts = [text(i) for i in range(n)]
+    got = shards.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    at, own = collections.defaultdict(set), collections.Counter(texts)
+    slots = collections.defaultdict(list)
+    for r in got:
+        at[texts[r.doc_id]].add(r.shard)
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 16 and all(sorted(x) == list(range(60)) for x in slots.values())
+    assert sum(len(at[t]) > 1 for t in own if own[t] <= 60) == 0
+    assert all(len(at[t]) == -(-own[t] // 60) for t in own)
+
+
 def test_fingerprints(docs, empty):
     rows = {r.doc_id: r for r in order_minhash.edits(docs, 4).collect()}
     ids = sorted(rows, reverse=True)
