@@ -1,6 +1,8 @@
 """Secrets: three fixed patterns, and windows of high Shannon entropy inside candidate strings.
 
-A candidate is a run of one character class (hex, alphanumeric, base64). A window slides over it and keeps a count for
+A candidate is a run of one character class (hex, alphanumeric, base64, or letters of one case with digits such as base36
+and base32); it may begin after '.' and '='. Of one case with digits, letters and digits must change at least twice, so
+that a word beside a number is none, and pure hex is left to its own class. A window slides over it and keeps a count for
 each symbol: the symbol that enters adds f(c+1) - f(c), the one that leaves adds f(c-1) - f(c), with f(c) = c log2 c
 from a table, so the entropy log2(W) - S/W of each window costs a constant. The span runs from the first to
 the last window that reaches its class's bound. Allow-listed strings (UUIDs, placeholders, paths, spelled-out alphabets, plain
@@ -27,9 +29,11 @@ ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?+\x20*+[:=]\x20*+
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}+", "hex": r"[0-9a-f]{24,}+"}
 # Of each class its symbols, window, least entropy, and what a candidate must hold.
 CLASSES = {
-    "entropy_hex": ("0123456789abcdef", 24, 3.2, r"(?<![A-Za-z0-9+/_=.-])(?:[0-9a-f]{24,}+|[0-9A-F]{24,}+)(?![A-Za-z0-9+/_=-])", (r"[0-9]", r"[A-Fa-f]")),
-    "entropy_alnum": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20, 3.7, r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9]{20,}+(?![A-Za-z0-9+/_=@-])", (r"[0-9]", r"[A-Z]", r"[a-z]")),
-    "entropy_base64": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-", 24, 4.1, r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_=-]{24,}+(?![A-Za-z0-9+/_=@-])", (r"[0-9]", r"[A-Z]", r"[a-z]", r"[+/_=-]")),
+    "entropy_hex": ("0123456789abcdef", 24, 3.2, r"(?<![A-Za-z0-9+/_-])(?:[0-9a-f]{24,}+|[0-9A-F]{24,}+)(?![A-Za-z0-9+/_=-])", (r"[0-9]", r"[A-Fa-f]")),
+    "entropy_alnum": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 20, 3.7, r"(?<![A-Za-z0-9+/_@-])[A-Za-z0-9]{20,}+(?![A-Za-z0-9+/_=@-])", (r"[0-9]", r"[A-Z]", r"[a-z]")),
+    "entropy_base64": ("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-", 24, 4.1, r"(?<![A-Za-z0-9+/_@-])[A-Za-z0-9+/_=-]{24,}+(?![A-Za-z0-9+/_=@-])", (r"[0-9]", r"[A-Z]", r"[a-z]", r"[+/_=-]")),
+    "entropy_lower": ("0123456789abcdefghijklmnopqrstuvwxyz", 24, 3.4, r"(?<![A-Za-z0-9+/@])[a-z0-9]{24,}+(?![A-Za-z0-9+/@])", (r"[g-z]", r"[0-9][a-z]+[0-9]|[a-z][0-9]+[a-z]")),
+    "entropy_upper": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 24, 3.4, r"(?<![A-Za-z0-9+/@])[A-Z0-9]{24,}+(?![A-Za-z0-9+/@])", (r"[G-Z]", r"[0-9][A-Z]+[0-9]|[A-Z][0-9]+[A-Z]")),
 }
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",

@@ -84,6 +84,20 @@ def test_secret_base_spans(docs, empty):
     assert secret_scan.digests(secret_scan.annotate(empty)).count() == 0
 
 
+def test_secret_keys_of_one_case_and_after_points(spark):
+    key, jwt = "Zx9Qw3Er5Ty7Ui1Op4As6Df8Gh2", "eyJhbGciOiJIUzI1NiJ9"
+    texts = [
+        "key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "JBSWY3DPEHPK3PXPJBSWY3DP", f"{jwt}.{key}.{key}", f"k={key}", "k=0A1B2C3D4E5F60718293A4B5C6D7E8F9",
+        "internationalisations2024", "a plain text, without-any-secrets-at-all in it", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.annotate(df).collect()}
+    assert ("entropy_lower", 4, 36) in got[0] and ("entropy_upper", 0, 24) in got[1]
+    assert sum(k == "entropy_alnum" and a > 20 for k, a, _ in got[2]) == 2
+    assert any(k == "entropy_alnum" and a >= 2 for k, a, _ in got[3]) and any(k == "entropy_hex" for k, _, _ in got[4])
+    assert not got[5] and not got[6] and not got[7]
+
+
 def test_shards_are_even_and_groups_stay(spark, empty):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i // 2}") for i in range(301)]
     got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
