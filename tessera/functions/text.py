@@ -11,6 +11,12 @@ MARKS = "[ً-ْٰـ]"
 ARABIC = r"[؀-ۿ]"
 OFF_SCRIPT = r"[^؀-ۿ -~À-ɏ\s]"
 
+# Fixed values of the quality gate: Arabic with its supplement and what lies between, and all that is on script: ASCII, Arabic, white space, usual marks.
+ARABIC_ALL = r"[\x{600}-\x{6FF}\x{750}-\x{77F}]"
+ARABIC_WORD = r"[\x{600}-\x{77F}]+"
+SPACES = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+FOREIGN = rf"[^\x{{0}}-\x{{7F}}\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}{SPACES}\x{{2013}}\x{{2014}}\x{{2022}}\x{{2026}}\x{{AB}}\x{{BB}}\x{{201C}}\x{{201D}}\x{{2018}}\x{{2019}}\x{{B0}}\x{{B1}}\x{{D7}}\x{{F7}}\x{{A7}}\x{{B6}}]"
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -38,5 +44,24 @@ def verdict(off_script: Column, n_tokens: Column) -> Column:
     return F.when(n_tokens < 20, "unknown").when(off_script > 0.01, "degraded").otherwise("ok")
 
 
+def assessed(text: Column) -> Column:
+    """struct<arabic_ratio, off_script_ratio, fragment_ratio, replacement_chars, verdict> over the whole text, to six places.
+
+    degraded: a U+FFFD or over 1 % off script; suspicious: over 200 characters, under 10 % of them Arabic. Fragments are reported only."""
+    t = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(t, F.lit(ARABIC_WORD), F.lit(0))
+    short = F.size(F.filter(words, lambda w: F.char_length(w) <= 2))
+    arabic, off, bad = share(t, ARABIC_ALL), share(t, FOREIGN), (F.char_length(t) - F.char_length(F.regexp_replace(t, r"\x{FFFD}", ""))).cast("bigint")
+    told = (
+        F.when(t == "", "empty").when((bad > 0) | (off > 0.01), "degraded")
+        .when((arabic < 0.1) & (F.char_length(t) > 200), "suspicious").otherwise("ok")
+    )
+    return F.struct(
+        F.round(arabic, 6).alias("arabic_ratio"), F.round(off, 6).alias("off_script_ratio"),
+        F.round(F.when(F.size(words) >= 20, short / F.size(words)).otherwise(0.0), 6).alias("fragment_ratio"),
+        bad.alias("replacement_chars"), told.alias("verdict"),
+    )
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(text, r"[.!?]\s+|\n+"), lambda s: F.char_length(F.trim(s)) > 0)

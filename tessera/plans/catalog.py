@@ -47,6 +47,19 @@ def quality(spark: SparkSession, d: str) -> DataFrame:
                                                n.alias("n_tokens"), T.verdict(F.lit(0.0), n).alias("verdict"))
 
 
+# Raw shares of the whole text; the patterns are the gate's own.
+ASSESSED = f"""a AS (SELECT doc_id, source, n, CASE WHEN n = 0 THEN 0 ELSE len(regexp_extract_all(t, '{T.ARABIC_ALL}')) / n::DOUBLE END ar, CASE WHEN n = 0 THEN 0 ELSE len(regexp_extract_all(t, '{T.FOREIGN}')) / n::DOUBLE END off,
+regexp_extract_all(t, '{T.ARABIC_WORD}') w, (n - length(replace(t, chr(65533), '')))::BIGINT bad FROM (SELECT doc_id, source, coalesce(text, '') t, length(coalesce(text, ''))::BIGINT n FROM documents)),
+q AS (SELECT doc_id, source, n, round(ar, 6) arabic_ratio, round(off, 6) off_script_ratio, round(CASE WHEN len(w) >= 20 THEN len(list_filter(w, lambda x: length(x) <= 2)) / len(w)::DOUBLE ELSE 0 END, 6) fragment_ratio, bad replacement_chars,
+CASE WHEN n = 0 THEN 'empty' WHEN bad > 0 OR off > 0.01 THEN 'degraded' WHEN ar < 0.1 AND n > 200 THEN 'suspicious' ELSE 'ok' END verdict FROM a)"""
+
+
+@query(f"WITH {ASSESSED} SELECT doc_id, arabic_ratio, off_script_ratio, fragment_ratio, replacement_chars, verdict FROM q")
+def quality_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The whole gate, with its four verdicts; `quality` gives two shares and the token count only."""
+    return table(spark, d, "documents").select("doc_id", T.assessed(F.col("text")).alias("q")).select("doc_id", "q.*")
+
+
 @query(f"SELECT doc_id, len({TOK})::BIGINT n_tokens, len(list_distinct({TOK}))::BIGINT n_distinct FROM documents")
 def tokenize_plain(spark: SparkSession, d: str) -> DataFrame:
     got = T.tokens(F.col("text"))
@@ -204,6 +217,15 @@ def source_report(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("pages"), F.round(F.avg(n), 6).alias("chars_per_page"), F.sum(n).cast("bigint").alias("chars"))
 
 
+@query(f"""WITH {ASSESSED} SELECT source, count(*)::BIGINT pages, sum(n)::BIGINT chars, round(avg(arabic_ratio), 6) mean_arabic_ratio, round(avg(off_script_ratio), 6) mean_off_script_ratio,
+count(*) FILTER (verdict = 'degraded')::BIGINT degraded FROM q GROUP BY 1""")
+def source_quality(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("source", F.char_length(F.coalesce("text", F.lit(""))).alias("n"), T.assessed(F.col("text")).alias("q"))
+    mean = lambda c: F.round(F.avg(f"q.{c}"), 6).alias(f"mean_{c}")
+    return rows.groupBy("source").agg(F.count("*").alias("pages"), F.sum("n").cast("bigint").alias("chars"), mean("arabic_ratio"), mean("off_script_ratio"),
+                                      F.count_if(F.col("q.verdict") == "degraded").alias("degraded"))
+
+
 @query("""SELECT lang, n, max(CASE WHEN r = n // 2 THEN n_chars END) median, max(CASE WHEN r = n * 9 // 10 THEN n_chars END) p90, max(n_chars) most FROM (
 SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 r, count(*) OVER (PARTITION BY lang) n FROM documents) GROUP BY 1, 2""")
 def chunk_census(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import chunking as C
 from tessera.sources import envelopes as E
 from tessera.streaming import ledger as L
@@ -52,3 +53,13 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in L.drain(stream, spark).collect()} == {tuple(r) for r in L.totals(batch).collect()} == {("a", 2, 3), ("b", 1, None), (None, 1, 5)}
     shown = {r.step: r.state for r in L.live_steps(L.totals(batch.filter("step is not null")), ("a", "z")).collect()}
     assert shown == {"a": "run", "z": "skipped", "b": "run"}
+
+
+def test_quality_gives_four_verdicts(spark):
+    arabic = "كلمة عربية " * 30
+    texts = [None, "", arabic, arabic + "\ufffd", arabic + "жжжжжжж", "plain words " * 30, "short", arabic + "\u2013\u00a0\u00ab" * 9, "من " * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", T.assessed(F.col("text")).alias("q")).orderBy("i")
+    got = [r.q for r in df.collect()]
+    assert [q.verdict for q in got] == ["empty", "empty", "ok", "degraded", "degraded", "suspicious", "ok", "ok", "ok"]
+    assert [q.replacement_chars for q in got] == [0, 0, 0, 1, 0, 0, 0, 0, 0]
+    assert got[8].fragment_ratio == 1.0 and got[4].off_script_ratio == round(7 / len(texts[4]), 6) and got[2].arabic_ratio == round(270 / 330, 6)
