@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 
 def table_kind(rows: Column, cols: Column, top: Column, bottom: Column, page_height: Column) -> Column:
     """header, container or data by shape and place on the page; the order of the rules matters."""
@@ -24,6 +26,13 @@ def titles(pages: DataFrame, order: str) -> DataFrame:
     return pages.filter("page = 1").groupBy("source").agg(F.max_by("title", order).alias("title"))
 
 
+def cover_title(text: Column, word: str) -> Column:
+    """The cleaned rest of a cover from its third non-blank line on, whole; null unless the first holds word and three lines or more are there."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    rest = T.clean(F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), " "))
+    return F.when((F.size(lines) >= 3) & F.contains(F.get(lines, F.lit(0)), F.lit(word)) & (rest != ""), rest)
+
+
 def allowed(chunks: DataFrame, filters: DataFrame) -> DataFrame:
     """filter_id, n_allowed, fell_back: how many chunks pass each row of filters (filter_id, source, lang; null: any).
 

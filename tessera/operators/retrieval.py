@@ -90,3 +90,11 @@ def metrics(ranked: DataFrame, gold: DataFrame, qid: str = "item_id", k: int = 1
         qid, F.round(zero(F.col("hits") / F.col("n_gold")), 6).alias("recall"), F.round(zero(F.col("hits") / F.lit(float(k))), 6).alias("precision"),
         F.round(zero(1.0 / F.col("best")), 6).alias("mrr"), F.round(zero(F.col("dcg") / ideal), 6).alias("ndcg"),
     )
+
+
+def votes(docs: DataFrame, pattern: str) -> DataFrame:
+    """source, value, votes: of all matches in a source's texts the most frequent, of equals the one seen first; null and 0 where none matches."""
+    found = F.posexplode_outer(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))).alias("pos", "value")
+    rows = docs.select("source", "doc_id", found).groupBy("source", "value").agg(F.count("value").alias("votes"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    best = F.row_number().over(Window.partitionBy("source").orderBy(F.col("votes").desc(), "first"))
+    return rows.withColumn("_r", best).filter("_r = 1").select("source", "value", "votes")

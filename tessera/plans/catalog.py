@@ -336,6 +336,13 @@ def field_vote(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(best).select("source", "m.value", "m.votes")
 
 
+@query("""SELECT source, value, votes FROM (SELECT source, value, votes, row_number() OVER (PARTITION BY source ORDER BY votes DESC, first) r FROM (
+SELECT source, value, count(value)::BIGINT votes, min({'doc': doc_id, 'pos': pos}) first FROM (SELECT source, doc_id, unnest(v) value, generate_subscripts(v, 1) pos FROM (
+SELECT source, doc_id, CASE WHEN len(v) = 0 THEN [NULL] ELSE v END v FROM (SELECT source, doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]+') v FROM documents))) GROUP BY 1, 2)) WHERE r = 1""")
+def field_vote_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every match counts; `field_vote` counts the first of each document only."""
+    return R.votes(table(spark, d, "documents"), "[0-9]+")
+
 @query("""SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 2 = 0)""")
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking as C
+from tessera.operators import retrieval as R
 from tessera.sources import envelopes as E
 from tessera.streaming import ledger as L
 
@@ -63,3 +64,13 @@ def test_quality_gives_four_verdicts(spark):
     assert [q.verdict for q in got] == ["empty", "empty", "ok", "degraded", "degraded", "suspicious", "ok", "ok", "ok"]
     assert [q.replacement_chars for q in got] == [0, 0, 0, 1, 0, 0, 0, 0, 0]
     assert got[8].fragment_ratio == 1.0 and got[4].off_script_ratio == round(7 / len(texts[4]), 6) and got[2].arabic_ratio == round(270 / 330, 6)
+
+
+def test_every_match_votes_and_titles_are_whole(spark):
+    rows = [(1, "s", "1 7 7"), (2, "s", "2 and 7"), (3, "t", "9 8"), (4, "t", "8 9"), (5, "u", None), (6, "v", "none")]
+    got = {r.source: (r.value, r.votes) for r in R.votes(spark.createDataFrame(rows, "doc_id long, source string, text string"), "[0-9]+").collect()}
+    assert got == {"s": ("7", 3), "t": ("9", 2), "u": (None, 0), "v": (None, 0)}
+    title = "A very long title of the manual that does not end at forty characters"
+    texts = [f" The Bank \n\nits name\n {title}\n second  line ", "The Bank\nname", f"a\nb\n{title}", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", C.cover_title(F.col("text"), "Bank").alias("t")).orderBy("i")
+    assert [r.t for r in df.collect()] == [f"{title} second line", None, None, None, None]
