@@ -1,7 +1,9 @@
 """Order MinHash fingerprints: minimal occurrence-numbered k-mers in text order, hashed as tuples.
 
-Tokens are runs without white space, at most CHARS code points of each (longer runs make several), and a k-mer
-is K tokens in a row, so shifts inside a text leave most k-mers alone. Each k-mer gets its occurrence number in the text:
+Tokens are runs without white space of at most CHARS code points; of longer runs every code point starts a token, of up to PIECE
+code points, so tokens overlap. A k-mer is K tokens in a row, so shifts inside a text or a long run leave most k-mers alone.
+Texts of up to SHORT tokens add k-mers of overlapping characters: all up to FULL tokens, beyond a sample by hash of
+the share (FULL / tokens)^2, so that texts of nearly equal length sample nearly alike. Each k-mer gets its occurrence number in the text:
 hashes and places are packed into longs and sorted, equal hashes stand together by place, and the number is the distance from
 the start of that run (binary search). A hash of k-mer and number chooses one of BINS and a value. The two smallest
 values of each bin, in the order in which they stand in the text, are hashed together: moving text around changes tuples even where
@@ -22,6 +24,11 @@ from pyspark.sql import functions as F
 from .common import let, text_of
 
 K, CHARS, BIN_BITS, KEPT = 3, 24, 5, 512
+PIECE, FULL, SHORT = 3, 8, 64
+INK = r"[^\x20\x09-\x0D]"
+WORD = rf"(?<!{INK}){INK}{{1,{CHARS}}}+(?!{INK})"
+TOKENS = rf"(?=({WORD}|{INK}{{1,{PIECE}}}+))(?:{WORD}|{INK})"
+PIECES = rf"(?s)(?=(.{{1,{PIECE}}}+))."
 PLACE_BITS = 26
 PLACE = (1 << PLACE_BITS) - 1
 VALUE_BITS = 64 - BIN_BITS - PLACE_BITS
@@ -63,12 +70,23 @@ def _number(s: Column, x: Column, j: Column) -> Column:
 def signature(text: Column) -> Column:
     """array<bigint>: one hash for each bin that got a k-mer."""
 
-    def of(words: Column) -> Column:
-        n = F.greatest(F.size(words) - K + 1, F.lit(1))
-        packed = F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.xxhash64(*[F.get(words, i + d) for d in range(K)]).bitwiseAND(F.lit(~PLACE)).bitwiseOR(_place(i.cast("bigint"))),
+    def grams(tokens: Column, from_: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(tokens) - K, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(tokens, i + d) for d in range(K)]).bitwiseAND(F.lit(~PLACE)).bitwiseOR(_place((i + from_).cast("bigint"))),
         )
+
+    def sampled(words: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(text, F.lit(PIECES), F.lit(1)), lambda p: F.xxhash64(p))
+        most = F.least(F.lit(1.0), F.pow(F.lit(float(FULL)) / F.size(words), 2)) * (1 << 20)
+        return F.filter(let(pieces, lambda p: grams(p, F.size(words))), lambda x: F.shiftrightunsigned(x, 44) < most)
+
+    def of(words: Column) -> Column:
+        own = grams(words, F.lit(0))
+        return let(F.when(F.size(words) <= SHORT, F.concat(own, sampled(words))).otherwise(own), signed)
+
+    def signed(packed: Column) -> Column:
+        n = F.size(packed)
         bound = F.when(n <= KEPT, F.lit(1 << VALUE_BITS)).otherwise((float((1 << VALUE_BITS) * KEPT) / n).cast("bigint"))
         chosen = let(
             F.sort_array(packed),
@@ -90,7 +108,7 @@ def signature(text: Column) -> Column:
 
         return let(small, lambda b: F.array_compact(F.transform(b, lambda x, j: pair(b, x, j))))
 
-    words = F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{CHARS}}}"), F.lit(0)), lambda w: F.xxhash64(w))
+    words = F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1)), lambda w: F.xxhash64(w))
     none = F.array().cast("array<bigint>")
     return let(words, lambda w: F.when(F.size(w) > 0, of(w)).otherwise(none))
 

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -142,6 +143,20 @@ def test_fingerprints(docs, empty):
     assert order_minhash.edits(empty, 4).count() == 0
 
 
+def test_fingerprints_follow_edits_in_long_runs_and_short_texts(spark):
+    rng = np.random.default_rng(5)
+    run = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzé漢"), 600))
+    pairs = [
+        (run, run[:3] + "Z" + run[3:], 0.5), (f"see {run} end", f"see {run[:40] + run[41:]} end", 0.5), ("alpha beta gamma", "alpha beta gamme", 0.2),
+        (run[:24], run[:25], 0.3), ("one brown fox and two dogs ran off", "one brown fox and two dogs ran off now", 0.3),
+        (" ".join(f"w{i}" for i in range(64)), " ".join(f"w{i}" for i in range(65)), 0.5),
+    ]
+    df = spark.createDataFrame([*pairs, (run, "".join(rng.choice(list("abcdefghij"), 600)), -1.0)], "a string, b string, least double")
+    got = df.select("least", order_minhash.likeness(order_minhash.signature(F.col("a")), order_minhash.signature(F.col("b"))).alias("near")).collect()
+    assert all(r.near > r.least for r in got[:-1]), got
+    assert got[-1].near == 0
+
+
 def test_mixing_meets_targets(docs, empty):
     rows = mixing.mix(docs).collect()
     for r in rows:
