@@ -9,8 +9,7 @@ the start of that run (binary search). A hash of k-mer and number chooses one of
 values of each bin, in the order in which they stand in the text, are hashed together: moving text around changes tuples even where
 the set of k-mers stays. Likeness is the share of equal tuples.
 
-Values above a bound are dropped before the second sort; the bound leaves about KEPT for each text, 16 a
-bin, and depends on the text alone. Only built-in functions. Null and empty texts have an empty fingerprint, alike (1) to each other and
+Every k-mer of a text takes part in the choice, whatever its length. Only built-in functions. Null and empty texts have an empty fingerprint, alike (1) to each other and
 unlike (0) all else; equal texts have equal fingerprints.
 """
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import let, text_of
 
-K, CHARS, BIN_BITS, KEPT = 3, 24, 5, 512
+K, CHARS, BIN_BITS = 3, 24, 5
 PIECE, FULL, SHORT = 3, 8, 64
 INK = r"[^\x20\x09-\x0D]"
 WORD = rf"(?<!{INK}){INK}{{1,{CHARS}}}+(?!{INK})"
@@ -86,16 +85,12 @@ def signature(text: Column) -> Column:
         return let(F.when(F.size(words) <= SHORT, F.concat(own, sampled(words))).otherwise(own), signed)
 
     def signed(packed: Column) -> Column:
-        n = F.size(packed)
-        bound = F.when(n <= KEPT, F.lit(1 << VALUE_BITS)).otherwise((float((1 << VALUE_BITS) * KEPT) / n).cast("bigint"))
         chosen = let(
             F.sort_array(packed),
             lambda s: F.transform(
                 s, lambda x, j: F.xxhash64(_key(x), _number(s, x, j)).bitwiseAND(F.lit(~PLACE)).bitwiseOR(_place(x))
             ),
         )
-        small = F.sort_array(let(F.struct(chosen.alias("c"), bound.alias("b")),
-                                 lambda p: F.filter(p["c"], lambda x: _value(x) < p["b"])))
 
         def pair(b: Column, x: Column, j: Column) -> Column:
             def made(y: Column) -> Column:
@@ -106,7 +101,7 @@ def signature(text: Column) -> Column:
             head = (j == 0) | (_bin(F.get(b, j - 1)) != _bin(x))
             return F.when(head, let(F.coalesce(F.get(b, j + 1), F.bitwise_not(x)), made))
 
-        return let(small, lambda b: F.array_compact(F.transform(b, lambda x, j: pair(b, x, j))))
+        return let(F.sort_array(chosen), lambda b: F.array_compact(F.transform(b, lambda x, j: pair(b, x, j))))
 
     words = F.transform(F.regexp_extract_all(text, F.lit(TOKENS), F.lit(1)), lambda w: F.xxhash64(w))
     none = F.array().cast("array<bigint>")
@@ -122,9 +117,11 @@ def shown(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.hex(x)), ".")
 
 
-def with_next(df: DataFrame, key: str, carried: list[str], parts: int) -> DataFrame:
+def with_next(df: DataFrame, key: str, carried: list[str], parts: int, made=lambda rows: rows) -> DataFrame:
     """Adds next_<c> of the row that follows in descending order of key (after the last: the first).
 
+    made adds the dear ones among the carried columns: to each row once, and to the copies after they are chosen.
+
     Rows go once to buckets between quantiles of the key, `parts` of them; a copy of each bucket's first
     row closes the bucket before it. Rows with equal keys follow by their first carried column; null keys come last."""
     cuts = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.5 / parts))) if parts > 1 else []
@@ -146,8 +143,8 @@ def with_next(df: DataFrame, key: str, carried: list[str], parts: int) -> DataFr
     order = Window.orderBy(F.col("_b").desc())  # one row a bucket, at most parts + 1
     into = F.coalesce(F.lag("_b").over(order), F.min("_b").over(Window.partitionBy()))
     ghosts = F.broadcast(firsts.select("_first", into.alias("_into")))
-    own = df.withColumns({"_b": bucket, "_ghost": F.lit(0)})
-    copies = df.join(ghosts, df[key].eqNullSafe(ghosts["_first"])).select(*df.columns, F.col("_into").alias("_b"), F.lit(1).alias("_ghost"))
+    own = made(df.withColumns({"_b": bucket, "_ghost": F.lit(0)}))
+    copies = made(df.join(ghosts, df[key].eqNullSafe(ghosts["_first"])).select(*df.columns, F.col("_into").alias("_b"), F.lit(1).alias("_ghost")))
     w = Window.partitionBy("_b").orderBy("_ghost", F.col(key).desc_nulls_last(), carried[0])
     return (
         own.unionByName(copies)
@@ -164,8 +161,9 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
 
 def edits(df: DataFrame, parts: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document beside its text with the last third replaced by the start of the next one's."""
-    docs = df.select(F.col(key), text_of(text).alias("text")).withColumn("signature", signature(F.col("text")))
-    near = with_next(docs, key, ["text", "signature"], parts).withColumn("n_chars", F.char_length("text").cast("bigint"))
+    docs = df.select(F.col(key), text_of(text).alias("text"))
+    signed = lambda rows: rows.withColumn("signature", signature(F.col("text")))
+    near = with_next(docs, key, ["text", "signature"], parts, signed).withColumn("n_chars", F.char_length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     made = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third),
                                               F.substring("next_text", F.lit(1), third)))
