@@ -5,11 +5,13 @@ rank is found by a scan, its inner boundary deleted and the ranks on both sides
 LONG symbols, where repeated scans would be quadratic, use a heap over the same boundaries.
 
 Null and empty texts give no ids. Repeated rows are encoded alike; other columns pass through unless
-their names clash with `ids` or `decoded`, which the new ones replace.
+their names clash with `ids` or `decoded`, which the new ones replace. A worker holds the ids of a slice of about 1 MB of
+text at a time, two caches of at most CACHED bytes and the vocabulary.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
@@ -19,7 +21,9 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONG = 400
+from .common import share, sliced
+
+LONG, CACHED = 400, 12_000_000
 NONE = 1 << 60
 #: The pieces that the vocabulary's pre-tokenizer keeps; white space is Unicode's White_Space.
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -53,9 +57,9 @@ def piece_pattern() -> str:
 
 
 class WordBpe:
-    """Encodes and decodes whole texts. raw: the JSON file's bytes; cached: words whose ids are kept."""
+    """Encodes and decodes whole texts. raw: the JSON file's bytes; cached: bytes of each of two caches of ids."""
 
-    def __init__(self, raw: bytes, cached: int = 400_000):
+    def __init__(self, raw: bytes, cached: int = CACHED):
         import regex
 
         spec = json.loads(raw)
@@ -134,8 +138,9 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         for kept in (self.words, self.cache):
-            if len(kept) > self.cached:
+            if kept.held > self.cached:
                 kept.clear()
+                kept.held = 0
         # str.split() also splits at the four separators below, which are no white space here
         runs = self.runs(text) if SEPARATORS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, runs))
@@ -163,12 +168,13 @@ class _Kept(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.held = make, 0
 
     def __missing__(self, run: str) -> bytes:
         ids = self.make(run)
         if len(run) < 64:
             self[run] = ids
+            self.held += 200 + 2 * len(run) + len(ids)  # two objects and a place in the table
         return ids
 
 
@@ -184,34 +190,35 @@ def pack(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_LOADED: dict[int, WordBpe] = {}
+_LOADED: dict[tuple[bytes, int], WordBpe] = {}
 
 
-def _coder(raw, cached: int) -> WordBpe:
-    key = hash((len(raw.value), raw.value[:64], cached))
+def _coder(raw: bytes, cached: int) -> WordBpe:
+    """This worker's coder, kept for its next task; one vocabulary at a time."""
+    key = (hashlib.sha256(raw).digest(), cached)
     if key not in _LOADED:
-        _LOADED[key] = WordBpe(raw.value, cached)
+        _LOADED.clear()
+        _LOADED[key] = WordBpe(raw, cached)
     return _LOADED[key]
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", cached: int = 400_000) -> DataFrame:
+def encode(df: DataFrame, vocabulary: str, text: str = "text", cached: int = CACHED) -> DataFrame:
     """Adds ids (binary: little-endian unsigned 32-bit integers) and decoded (string) to each row.
 
     The vocabulary file is read by the driver and broadcast: its size (under 2 MB) doesn't depend on the data."""
     import pyarrow as pa
 
     with open(vocabulary, "rb") as file:
-        raw = df.sparkSession.sparkContext.broadcast(file.read())
+        raw = share(df.sparkSession, file.read())
     kept = [c for c in df.columns if c not in ("ids", "decoded")]
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
 
     def run(batches):
-        coder = _coder(raw, cached)
-        for batch in batches:
+        coder = _coder(raw.value, cached)
+        for batch in sliced(batches, text):
             ids = [coder.encode(t or "") for t in batch.column(text).to_pylist()]
-            back = [coder.decode(i) for i in ids]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(ids, pa.binary()), pa.array(back, pa.string())],
+                [*batch.columns, pa.array(ids, pa.binary()), pa.array([coder.decode(i) for i in ids], pa.string())],
                 [*batch.schema.names, "ids", "decoded"],
             )
 

@@ -27,14 +27,59 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: What this driver wrote to the shared folder and broadcast, in order, for sweep().
+_MADE: list = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: a lost executor costs no recomputation
     of what came before, and values that depend on the task (row numbers) are fixed."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value):
+    """value as a broadcast; callers prove its bound."""
+    made = spark.sparkContext.broadcast(value)
+    _MADE.append(made)
+    return made
+
+
+def made() -> int:
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Removes the tables and broadcasts made after the first `since`, but for the last table; nothing may read them any more."""
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    last = max((i for i in range(since, len(_MADE)) if isinstance(_MADE[i], str)), default=-1)
+    for i in range(since, len(_MADE)):
+        if not isinstance(_MADE[i], str):
+            _MADE[i].unpersist()
+        elif i != last:
+            where = path(_MADE[i])
+            where.getFileSystem(conf).delete(where, True)
+    _MADE[since:] = [_MADE[last]] if last >= 0 else []
+
+
+def sliced(batches, text: str = "text", rows: int = 256, size: int = 1 << 20):
+    """Arrow batches in slices of at most `rows` rows, a slice ending after the row that reaches `size` bytes of text: what a
+    worker holds beside a batch depends on a slice, not on the batch."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        part = (np.cumsum(lengths) - lengths) // size * batch.num_rows + np.arange(batch.num_rows) // rows
+        starts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts, starts[1:]):
+            yield batch.slice(a, b - a)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

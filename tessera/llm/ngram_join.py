@@ -15,8 +15,8 @@ The product is taken in two steps, so that a group of near copies costs no pair
 Verified means: intersection of the whole sets. Every link either is verified or joins rows already in one component.
 
 Null and empty texts have no shingles and stay alone. Rows that repeat a doc_id belong to one component. Rows with a null
-doc_id get a stand-in for each class; it sorts last, takes part like any other node, and gives a null component if it is the
-least of its component.
+doc_id get a stand-in for each class: where there are such rows, ids and then stand-ins are numbered in order, so a stand-in sorts last,
+takes part like any other node, and gives a null component if it is the least of its component. Any long is an id like any other.
 """
 
 from __future__ import annotations
@@ -26,14 +26,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ranked, share, sliced
 from .components import components
 
 WORDS, BOUND = 5, 80  # words of a shingle; per cent of the union
 HOT, HINTS, ROUNDS = 24, 1 << 18, 2
 LANES = 8
 BROADCAST = 1_000_000  # rows of a few longs
-NO_ID = 1 << 62
 
 
 class Hasher:
@@ -135,7 +134,7 @@ def parity(own):
 def _documents(batches):
     """Each batch with the whole sets of its rows."""
     hasher = Hasher()
-    for batch in batches:
+    for batch in sliced(batches, rows=1024):
         yield batch, [hasher.shingles(t) for t in batch.column("text").to_pylist()]
 
 
@@ -172,9 +171,9 @@ def _order(docs: DataFrame):
     the data; shingles beyond keep their place by hash, which changes the cost of the product, never its result."""
     import numpy as np
 
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     hot, times = np.empty(0, "int64"), np.empty(0, "int64")
-    old, new = None, sc.broadcast(Order(hot, times))
+    old, new = None, share(spark, Order(hot, times))
     for _ in range(ROUNDS):
         counts = _fresh_cells(docs, old, new).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
         top = counts.orderBy(F.col("n").desc(), "h").limit(HINTS).toPandas()
@@ -186,7 +185,7 @@ def _order(docs: DataFrame):
         total = np.bincount(inverse, weights=add).astype("int64")
         keep = np.sort(np.lexsort((keys, -total))[:HINTS])
         hot, times = keys[keep], total[keep]
-        old, new = new, sc.broadcast(Order(hot, times))
+        old, new = new, share(spark, Order(hot, times))
     return new
 
 
@@ -245,16 +244,27 @@ def link(df: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of df (doc_id, text)."""
     docs = df.select("doc_id", "text")
     rows = cut(_rows(docs, _order(docs)), "rows")
-    stand_in = F.lit(NO_ID) + F.pmod(F.xxhash64("class"), F.lit(NO_ID))
-    rows = rows.withColumn("node", F.coalesce("doc_id", F.when(F.col("class").isNotNull(), stand_in)))
+    nameless = F.col("doc_id").isNull() & F.col("class").isNotNull()
+    some = not rows.filter(nameless).isEmpty()
+    if some:
+        stand_in = F.when(nameless, F.col("class"))
+        names = ranked(rows.filter("doc_id is not null or class is not null").select("doc_id", stand_in.alias("_class")).distinct(), F.col("doc_id").asc_nulls_last(), F.col("_class"), name="node", label="nodes")
+        names = cut(names.withColumnsRenamed({"doc_id": "_id"}), "names")
+        on = rows["doc_id"].eqNullSafe(names["_id"]) & stand_in.eqNullSafe(names["_class"])
+        bare = F.col("doc_id").isNull() & F.col("class").isNull()
+        rows = cut(rows.filter(~bare).join(names, on).drop("_id", "_class").unionByName(rows.filter(bare).withColumn("node", F.lit(None).cast("bigint"))), "named")
+        docs = docs.join(names.filter("_id is not null").select("_id", "node"), docs["doc_id"] == F.col("_id")).select("node", "text")
+    else:
+        rows = rows.withColumn("node", F.col("doc_id"))
+        docs = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
     # the least doc_id of a class stands for it
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("node").alias("node"))
     member = rows.filter("class is not null").select("class", F.col("node").alias("member")).distinct()
     same = cut(classes.join(member, "class").filter("node != member").select("node", "member", "class"), "same")
     copies = small(same.select("class", F.col("member").alias("node")), same.count())
     # rows without an id share their class's stand-in, so one row and one text of a class do
-    texts, told = docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), "text"), rows.filter("class is not null and doc_id is not null")
-    if not rows.filter("class is not null and doc_id is null").isEmpty():
+    texts, told = docs, rows.filter("class is not null and doc_id is not null")
+    if some:
         bare = cut(rows.filter("class is not null and doc_id is null").dropDuplicates(["class"]), "bare")
         texts, told = texts.union(bare.select("node", F.col("bare").alias("text"))), told.union(bare)
     chosen = told.join(copies, ["class", "node"], "left_anti").select("node", "n", F.posexplode("cells").alias("at", "h"))
@@ -267,15 +277,16 @@ def link(df: DataFrame) -> DataFrame:
     )
     # a row's hub in a column is the member with the most cells shared by others: the one that near copies are copies of
     shared = cells.groupBy("node").agg(F.count("*").alias("s"))
-    rank = F.struct("s", (-F.col("node")).alias("low"), "n")
-    hubs = cells.join(shared, "node").groupBy("h").agg(F.max(rank).alias("m")).select("h", (-F.col("m.low")).alias("hub"), F.col("m.n").alias("hub_n"))
+    rank = F.struct("s", F.bitwise_not("node").alias("low"), "n")
+    hubs = cells.join(shared, "node").groupBy("h").agg(F.max(rank).alias("m")).select("h", F.bitwise_not("m.low").alias("hub"), F.col("m.n").alias("hub_n"))
     near = cells.filter("prev is not null").select("node", "n", F.col("prev").alias("to"), F.col("prev_n").alias("to_n"), F.lit(0).alias("kind"))
     far = cells.join(hubs, "h").select("node", "n", F.col("hub").alias("to"), F.col("hub_n").alias("to_n"), F.lit(1).alias("kind"))
     fits = F.least("n", "to_n") * 100 >= F.greatest("n", "to_n") * BOUND
     # near copies meet in most of their columns; other pairs are left to the second step
     votes = near.union(far).filter(fits & (F.col("to") != F.col("node"))).groupBy("node", "to", "kind", "n").agg(F.count("*").alias("c"))
-    best = votes.filter(F.col("c") * 15 >= F.col("n")).groupBy("node", "kind").agg(F.max(F.struct("c", (-F.col("to")).alias("low"))).alias("m"))
-    first = cut(best.select(F.least("node", -F.col("m.low")).alias("a"), F.greatest("node", -F.col("m.low")).alias("b")).distinct(), "first")
+    best = votes.filter(F.col("c") * 15 >= F.col("n")).groupBy("node", "kind").agg(F.max(F.struct("c", F.bitwise_not("to").alias("low"))).alias("m"))
+    to = F.bitwise_not("m.low")
+    first = cut(best.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct(), "first")
     tested = _verified(texts, first, "tested")
     made = components(tested.filter("link"))
     seen = cells.join(made, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("prev", "prev_n", "df")
@@ -310,5 +321,8 @@ def link(df: DataFrame) -> DataFrame:
     # a repeated id stands for all its texts; copies hang on their class's least id
     done = components(links.union(same.select(F.col("node").alias("a"), F.col("member").alias("b")).distinct()))
     out = rows.select("doc_id", "node", F.col("n").alias("n_shingles")).join(done, "node", "left")
-    least = F.coalesce("component", "node")
-    return out.select("doc_id", "n_shingles", F.when(least < NO_ID, least).alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    if some:
+        back = names.filter("_id is not null").select(F.col("node").alias("_node"), F.col("_id"))
+        out = out.join(back, out["component_id"] == back["_node"], "left").select("doc_id", "n_shingles", F.col("_id").alias("component_id"))
+    return out

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import share, text_of
 
 SAMPLE, BUCKETS, LABELLERS, LONGEST = 4000, 1 << 12, 8, 20_000
 
@@ -107,7 +107,7 @@ def score(df: DataFrame, weights, text: str = "text") -> DataFrame:
     """Adds score, 0 to 1: higher is better."""
     import pyarrow as pa
 
-    shared, kept = df.sparkSession.sparkContext.broadcast(weights), [c for c in df.columns if c != "score"]  # BUCKETS + 5 numbers
+    shared, kept = share(df.sparkSession, weights), [c for c in df.columns if c != "score"]  # BUCKETS + 5 numbers
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
 
     def run(batches):

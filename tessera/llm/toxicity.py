@@ -1,8 +1,10 @@
-"""Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
+"""Toxicity: a bidirectional gated recurrent network with attention pooling over word and character inputs, trained in numpy.
 
-Each word is a step. Its inputs come from the word (how much likelier toxic training documents hold it, shrunk to 0 by a
-prior) and from its characters (the same for its first 3 to 6 characters and all runs of 4, at their most and on
-average). A token without white space above LONG characters makes several steps: its words between marks, and slices of LONG
+Each word is a step. Its inputs are learnt vectors of the word and of its characters (the mean over its first 3 to 6 characters and
+all runs of 4), trained with the network, beside statistics of the training documents: how much likelier toxic ones hold the word and
+its runs of characters, shrunk to 0 by a prior, at their most and on average. Words and runs are hashed into tables of a
+fixed size, so none is dropped and the model's size doesn't depend on the data; learnt vectors start at 0 and move only for
+what SEEN training documents hold, so what training hardly saw adds nothing. A token without white space above LONG characters makes several steps: its words between marks, and slices of LONG
 characters that overlap by half, so none of it goes unread. Two gated recurrent layers read a window of WIDTH words forwards and backwards, attention pools their states, and
 a logistic unit scores the window. Windows overlap by half and cover the whole text; a document's score is
 its highest window's. The network is trained on one window of each training document, the one that it scores highest itself, so it
@@ -10,7 +12,9 @@ finds out which window earned the label.
 
 Training uses at most POSITIVE + NEGATIVE labelled rows of the training folds, chosen by hash of the id, and of these skips
 texts above LONGEST characters; statistics come from half of them, the network from the other half, then the
-roles are swapped for the features only. Scoring reads every text whole. A null or empty text gets the score of a window without
+roles are swapped for the statistics only; every CHECKth document is left out of the network's training, and on these a logistic curve
+is fitted that makes a probability of a score. Scoring reads every text whole; a worker keeps the inputs of at most WORDS distinct words and
+starts over beyond, which costs time only. A null or empty text gets the score of a window without
 words. Labels, language, source and id are no inputs. Rows with repeated ids are scored one by one; a repeated label counts as toxic if any is.
 """
 
@@ -18,17 +22,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import share, sliced
+
 POSITIVE, NEGATIVE, LONGEST = 2500, 5000, 20_000
-FOLDS, WIDTH, STRIDE, HIDDEN, INPUTS, ATTEND = 5, 24, 12, 8, 6, 8
-KEPT, WORDS = 60_000, 300_000
+FOLDS, WIDTH, STRIDE, HIDDEN, ATTEND = 5, 24, 12, 8, 8
+ODDS, LEARNT = 6, 6  # inputs: statistics, and the length of each of the two learnt vectors
+INPUTS = ODDS + 2 * LEARNT
+TABLE, ROWS, WORDS = 1 << 18, 1 << 15, 60_000  # places of the hashed statistics, rows of each table of learnt vectors
+RUN, STARTS = 4, (3, 4, 5, 6)
 CORE = re.compile(r"^[\W_]+|[\W_]+$")
 LONG, INNER = 32, "\x1f"  # longest token that is one step; what marks a slice from inside a token: no token holds it
 PART = re.compile(r"[^\W_]+")
+RATE, SLOW, DECAY, OMIT, CHECK, SEEN = 0.01, 0.03, 1e-4, 0.5, 5, 50
 
 
 def held_out(key: str) -> Column:
@@ -51,54 +60,101 @@ def parts(token: str) -> list[str]:
     return [step for _, _, step in sorted(slices + words)]
 
 
-def pieces(step: str) -> list[str]:
-    """Character features of a step: anchored starts unless it begins inside a token, and runs of 4."""
-    word = CORE.sub("", step)
-    starts = [] if step.startswith(INNER) else [f"^{word[:n]}" for n in range(3, min(6, len(word)) + 1)]
-    return starts + [word[i : i + 4] for i in range(len(word) - 3)]
+def mixed(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class Steps:
+    """Steps as hashed features, all at once: of each the word, and its pieces: runs of RUN characters anywhere and, unless it
+    begins inside a token, its first STARTS characters."""
+
+    def __init__(self, words: list[str]):
+        import numpy as np
+
+        cores = [CORE.sub("", w) for w in words]
+        size = np.array([len(c) for c in cores], "int64")
+        first = np.cumsum(size) - size
+        inner = np.array([w.startswith(INNER) for w in words], bool)
+        code = mixed(np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64") + np.uint64(1))
+        power = np.cumprod(np.full(int(size.max(initial=8)) + 1, 0x9E3779B97F4A7C15, "uint64"), dtype="uint64")
+        step = np.repeat(np.arange(len(words)), size)
+        at = np.arange(len(code)) - first[step]
+
+        def hashed(start, n: int, salt: int):
+            return mixed(sum(code[start + i] * power[i] for i in range(n)) + np.uint64(salt)).view("int64") & ((1 << 62) - 1)
+
+        # a slice from inside a token, or a step of marks alone, is no word
+        self.worded = (size > 0) & ~inner
+        self.word = np.zeros(len(words), "int64")
+        some = size > 0
+        if some.any():
+            self.word[some] = mixed(np.add.reduceat(code * power[at], first[some])).view("int64") & ((1 << 62) - 1)
+        spots = np.flatnonzero(at + RUN <= size[step])
+        owner, value = [step[spots]], [hashed(spots, RUN, 0)]
+        for n in STARTS:
+            own = np.flatnonzero((size >= n) & ~inner)
+            owner.append(own)
+            value.append(hashed(first[own], n, n))
+        owner, value = np.concatenate(owner), np.concatenate(value)
+        self.flat = value[np.argsort(owner, kind="stable")]
+        self.count = np.bincount(owner, minlength=len(words))
+        self.start = np.cumsum(self.count) - self.count
+
+    def runs(self, idx):
+        """The pieces of the steps idx as one array, and how many each has."""
+        import numpy as np
+
+        count = self.count[idx]
+        first = np.cumsum(count) - count
+        return self.flat[np.repeat(self.start[idx] - first, count) + np.arange(count.sum())], count
 
 
 class Inputs:
-    """Log-odds of words and of character pieces, from documents and their labels; and each word's input vector."""
-
-    def __init__(self, texts: list[str], marks: list[int]):
-        words: tuple[Counter, Counter] = (Counter(), Counter())
-        chars: tuple[Counter, Counter] = (Counter(), Counter())
-        known: dict[str, list[str]] = {}
-        for text, mark in zip(texts, marks):
-            own = set(steps(text))
-            words[mark].update({CORE.sub("", w) for w in own if not w.startswith(INNER)} - {""})
-            held: set[str] = set()
-            for w in own:
-                if w not in known:
-                    known[w] = pieces(w)
-                held.update(known[w])
-            chars[mark].update(held)
+    """Hashed log-odds of words and of character pieces, from documents and their labels."""
+
+    def __init__(self, known: Steps, held: list, marks: list[int]):
+        """held: the numbers of each document's distinct steps in known."""
+        import numpy as np
+
+        words, chars = np.zeros((2, TABLE)), np.zeros((2, TABLE))
+        for idx, mark in zip(held, marks):
+            words[mark, np.unique(known.word[idx[known.worded[idx]]] % TABLE)] += 1
+            chars[mark, np.unique(known.runs(idx)[0] % TABLE)] += 1
         rate = (sum(marks) + 0.5) / (len(marks) + 1)
         self.words, self.chars = self.odds(words, rate), self.odds(chars, rate)
 
     @staticmethod
-    def odds(counts: tuple[Counter, Counter], rate: float, prior: float = 6.0) -> dict[str, float]:
+    def odds(counts, rate: float, prior: float = 6.0):
+        """0 for what fewer than three toxic documents hold or what says little."""
+        import numpy as np
+
         clean, toxic = counts
-        out = {}
-        for x, b in toxic.items():
-            if b >= 3:
-                a = clean[x]
-                odds = math.log((b + prior * rate) / (a + prior * (1 - rate)) * (1 - rate) / rate)
-                if odds > 0.7:
-                    out[x] = odds
-        top = sorted(out, key=lambda x: (-out[x], x))[:KEPT]
-        return {x: out[x] for x in top}
-
-    def vector(self, word: str) -> list[float]:
-        core = CORE.sub("", word)
-        odds = sorted((self.chars.get(p, 0.0) for p in pieces(word)), reverse=True) or [0.0]
-        best = odds[0]
-        return [self.words.get(core, 0.0), best, sum(odds[:3]) / 3, sum(odds) / len(odds), 1.0 if best > 2 else 0.0, 1.0]
+        out = np.log((toxic + prior * rate) / (clean + prior * (1 - rate)) * (1 - rate) / rate)
+        return np.where((toxic >= 3) & (out > 0.7), out, 0.0).astype("float32")
+
+    def vectors(self, known: Steps):
+        """The statistics of all steps: the word's, its pieces' at their most, mean of three and mean, a strong sign, and 1."""
+        import numpy as np
+
+        n = len(known.word)
+        out = np.zeros((n, ODDS), "float32")
+        out[:, 0] = np.where(known.worded, self.words[known.word % TABLE], 0)
+        own, segment = self.chars[known.flat % TABLE], np.repeat(np.arange(n), known.count)
+        order = np.lexsort((-own, segment))
+        own = own[order]  # segments stay where they are
+        rank = np.arange(len(own)) - np.repeat(known.start, known.count)
+        out[segment[rank == 0], 1] = own[rank == 0]  # all are at least 0
+        out[:, 2] = np.bincount(segment[rank < 3], own[rank < 3], n) / 3
+        out[:, 3] = np.bincount(segment, own, n) / np.maximum(known.count, 1)
+        out[:, 4], out[:, 5] = out[:, 1] > 2, 1.0
+        return out
 
 
 class Network:
-    """Two directions of gated recurrence, attention, one output; weights are plain arrays."""
+    """Learnt vectors of words and pieces, two directions of gated recurrence, attention, one output; weights are plain arrays."""
 
     def __init__(self, seed: int = 5):
         import numpy as np
@@ -107,9 +163,32 @@ class Network:
         new = lambda *shape: (rng.standard_normal(shape) / math.sqrt(shape[0])).astype("float32")
         h = HIDDEN
         self.p = {"A": new(2 * h, ATTEND), "c": np.zeros(ATTEND, "float32"), "v": new(ATTEND, 1)[:, 0], "w": new(2 * h, 1)[:, 0], "o": np.zeros(1, "float32")}
+        self.p |= {"word": np.zeros((ROWS, LEARNT), "float32"), "char": np.zeros((ROWS, LEARNT), "float32")}
         for d in "fb":
             self.p |= {f"W{d}": new(INPUTS, 3 * h), f"U{d}": new(h, 3 * h), f"b{d}": np.zeros(3 * h, "float32")}
 
+    def inputs(self, odds, known: Steps, idx):
+        """The whole input vectors of the steps idx."""
+        import numpy as np
+
+        flat, count = known.runs(idx)
+        chars = np.zeros((len(idx), LEARNT), "float32")
+        some = count > 0
+        if some.any():
+            chars[some] = np.add.reduceat(self.p["char"][flat % ROWS], (np.cumsum(count) - count)[some], 0) / count[some, None]
+        return np.concatenate([odds[idx], self.p["word"][known.word[idx] % ROWS] * known.worded[idx, None], chars], 1)
+
+    def learn(self, known: Steps, idx, slope):
+        """Gradients of the two tables from those of the input vectors of the steps idx."""
+        import numpy as np
+
+        out = {}
+        flat, count = known.runs(idx)
+        word, char = slope[:, ODDS : ODDS + LEARNT] * known.worded[idx, None], slope[:, ODDS + LEARNT :] / np.maximum(count, 1)[:, None]
+        for name, at, part in (("word", known.word[idx] % ROWS, word), ("char", flat % ROWS, np.repeat(char, count, 0))):
+            out[name] = np.stack([np.bincount(at, part[:, i], ROWS) for i in range(LEARNT)], 1).astype("float32")
+        return out
+
     def gates(self, vectors):
         """What the inputs add to the gates of both directions, for a table of words."""
         import numpy as np
@@ -153,7 +232,7 @@ class Network:
         return (logit, (states, e, alpha, pooled, sf, sb)) if keep else logit
 
     def backward(self, x, mask, made, miss):
-        """Gradients for the loss's derivative `miss` by the logits; x: input vectors."""
+        """Gradients for the loss's derivative `miss` by the logits, that of x, the input vectors, among them."""
         import numpy as np
 
         p, h = self.p, HIDDEN
@@ -166,6 +245,7 @@ class Network:
         de = ds[:, :, None] * p["v"] * (1 - e * e)
         g["A"] = np.einsum("bti,btj->ij", states, de)
         g["c"] = de.sum((0, 1))
+        g["x"] = np.zeros_like(x)
         dstates = alpha[:, :, None] * dpool[:, None, :] + de @ p["A"].T
         for d, saved, part in (("f", sf, slice(0, h)), ("b", sb, slice(h, 2 * h))):
             u = p[f"U{d}"]
@@ -181,25 +261,34 @@ class Network:
                 dg = np.concatenate([dz, dr, dn], 1)
                 gu += before.T @ da
                 gw += x[:, t].T @ dg
+                g["x"][:, t] += dg @ p[f"W{d}"].T
                 gb += dg.sum(0)
                 carry = out * (1 - m * (1 - z)) + da @ u.T
             g |= {f"U{d}": gu, f"W{d}": gw, f"b{d}": gb}
         return g
 
 
+def numbered(texts: list[str], ids: dict[str, int]):
+    """The steps of all texts as one line of numbers, and how many each text has; new steps get the next numbers in ids."""
+    import numpy as np
+
+    lines = [steps(t) for t in texts]
+    flat = np.fromiter((ids.setdefault(w, len(ids)) for line in lines for w in line), "int32")
+    return flat, np.array([len(line) for line in lines], "int64")
+
+
 class Scorer:
     """Turns texts into windows of word numbers and scores them; the table of words is of bounded size."""
 
-    def __init__(self, inputs: Inputs, network: Network, shift: float = 0.0):
-        self.inputs, self.network, self.shift = inputs, network, shift
+    def __init__(self, inputs: Inputs, network: Network, steep: float = 1.0, shift: float = 0.0):
+        self.inputs, self.network, self.steep, self.shift = inputs, network, steep, shift
         self.reset()
 
     def reset(self) -> None:
         import numpy as np
 
         self.ids: dict[str, int] = {}
-        self.vectors = np.zeros((0, INPUTS), "float32")
-        self.table = np.zeros((0, 6 * HIDDEN), "float32")
+        self.table = np.zeros((1, 6 * HIDDEN), "float32")
 
     def numbers(self, texts: list[str]):
         """Numbers of all words, and how many each text has."""
@@ -207,20 +296,20 @@ class Scorer:
 
         if len(self.ids) > WORDS:
             self.reset()
-        ids, new, out, counts = self.ids, [], [], []
-        for text in texts:
-            words = steps(text)
-            for w in words:
-                if w not in ids:
-                    ids[w] = len(ids)
-                    new.append(w)
-            out.append(np.fromiter(map(ids.__getitem__, words), "int32", len(words)))
-            counts.append(len(words))
-        if new:
-            fresh = np.array([self.inputs.vector(w) for w in new], "float32")
-            self.vectors = np.concatenate([self.vectors, fresh])
-            self.table = np.concatenate([self.table, self.network.gates(fresh)])
-        return np.concatenate([*out, np.empty(0, "int32")]), np.array(counts, "int64")
+        had = len(self.ids)
+        line, counts = numbered(texts, self.ids)
+        if len(self.ids) > had:
+            known = Steps(list(self.ids)[had:])
+            while len(self.table) < len(self.ids):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[had : len(self.ids)] = self.network.gates(self.network.inputs(self.inputs.vectors(known), known, np.arange(len(known.word))))
+        return line, counts
+
+    def refresh(self) -> None:
+        """In training: the gates of all words (known, with their statistics odds) under the network's present weights."""
+        import numpy as np
+
+        self.table = self.network.gates(self.network.inputs(self.odds, self.known, np.arange(len(self.odds))))
 
     def windows(self, counts):
         """Starts and ends of all windows in the line of all words, and each one's text."""
@@ -244,7 +333,7 @@ class Scorer:
         import numpy as np
 
         out = np.empty(len(starts), "float32")
-        table = self.table if len(self.table) else np.zeros((1, 6 * HIDDEN), "float32")
+        table = self.table
         for i in range(0, len(starts), 2048):
             ids, mask = self.gather(line, starts[i : i + 2048], ends[i : i + 2048])
             out[i : i + 2048] = self.network.forward(table[ids], mask)
@@ -259,10 +348,10 @@ class Scorer:
         starts, ends, text = self.windows(counts)
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, text, self.logits(line, starts, ends))
-        return 1 / (1 + np.exp(-np.clip(best + self.shift, -30, 30).astype("float64")))
+        return 1 / (1 + np.exp(-np.clip(best * self.steep + self.shift, -30, 30).astype("float64")))
 
 
-def fit(texts: list[str], marks: list[int], rounds: int = 14, seed: int = 5) -> Scorer:
+def fit(texts: list[str], marks: list[int], rounds: int = 12, seed: int = 5) -> Scorer:
     """A scorer from labelled texts, the same for the same rows."""
     import numpy as np
 
@@ -270,68 +359,100 @@ def fit(texts: list[str], marks: list[int], rounds: int = 14, seed: int = 5) ->
     half = [i % 2 for i in range(len(texts))]
     sides = [[i for i in range(len(texts)) if half[i] == s] for s in (0, 1)]
     pick = lambda xs, idx: [xs[i] for i in idx]
-    # each half is read with the statistics of the other: no document's own label is in its inputs
+    ids: dict[str, int] = {}
+    every, many = numbered(texts, ids)
+    known, own = Steps(list(ids)), np.split(every, np.cumsum(many)[:-1]) if texts else []
+    held = [np.unique(x) for x in own]
+    # each half is read with the statistics of the other: no document's own label is in its statistics
     parts = []
     for s in (0, 1):
-        scorer = Scorer(Inputs(pick(texts, sides[1 - s]), pick(marks, sides[1 - s])), network)
-        line, counts = scorer.numbers(pick(texts, sides[s]))
-        parts.append((scorer, line, *scorer.windows(counts), np.array(pick(marks, sides[s]), "float32")))
+        scorer = Scorer(Inputs(known, pick(held, sides[1 - s]), pick(marks, sides[1 - s])), network)
+        scorer.known, scorer.odds = known, scorer.inputs.vectors(known)
+        if len(ids) and sides[s]:
+            counts = many[sides[s]]
+            parts.append((scorer, np.concatenate(pick(own, sides[s])), *scorer.windows(counts), np.array(pick(marks, sides[s]), "float32")))
+    # learnt vectors are for what SEEN documents hold: rarer things could only be learnt by heart
+    often = {"word": np.zeros(ROWS, "float32"), "char": np.zeros(ROWS, "float32")}
+    for idx in held:
+        often["word"][np.unique(known.word[idx[known.worded[idx]]] % ROWS)] += 1
+        often["char"][np.unique(known.runs(idx)[0] % ROWS)] += 1
+    often = {name: (n >= SEEN).astype("float32")[:, None] for name, n in often.items()}
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
     step = 0
+    rows = []
     for k in range(rounds):
-        rows = []
-        for scorer, line, starts, ends, text, mark in parts:
-            if not len(mark):
-                continue
-            if k < 2 or len(scorer.vectors) == 0:  # before the network can tell: the window whose words speak most
-                strength = scorer.vectors[:, :2].max(1) if len(scorer.vectors) else np.zeros(1, "float32")
-                ids, mask = scorer.gather(line, starts, ends)
-                worth = (strength[ids] * mask).max(1)
-            else:
-                scorer.table = network.gates(scorer.vectors)
-                worth = scorer.logits(line, starts, ends)
-            order = np.lexsort((-worth, text))
-            heads = order[np.r_[True, text[order][1:] != text[order][:-1]]]
-            ids, mask = scorer.gather(line, starts[heads], ends[heads])
-            vectors = scorer.vectors if len(scorer.vectors) else np.zeros((1, INPUTS), "float32")
-            rows.append((vectors[ids], mask, mark[text[heads]]))
-        if not rows:
-            break
-        x, mask, y = (np.concatenate(part) for part in zip(*rows))
+        if k != 1:  # which window stands for its document is asked anew
+            rows = []
+            for which, (scorer, line, starts, ends, text, mark) in enumerate(parts):
+                if k == 0:  # before the network can tell: the window whose words speak most
+                    ids, mask = scorer.gather(line, starts, ends)
+                    worth = (scorer.odds[:, :2].max(1)[ids] * mask).max(1)
+                else:
+                    scorer.refresh()
+                    worth = scorer.logits(line, starts, ends)
+                order = np.lexsort((-worth, text))
+                heads = order[np.r_[True, text[order][1:] != text[order][:-1]]]
+                ids, mask = scorer.gather(line, starts[heads], ends[heads])
+                # every CHECKth document is left for the curve at the end
+                rows += [(which, i, m, y) for n, i, m, y in zip(text[heads], ids, mask, mark[text[heads]]) if n % CHECK]
         for _ in range(3):
-            turn = rng.permutation(len(y))
-            for i in range(0, len(y), 128):
-                j = turn[i : i + 128]
-                gates = network.gates(x[j].reshape(-1, INPUTS)).reshape(len(j), WIDTH, -1)
-                logit, made = network.forward(gates, mask[j], keep=True)
-                miss = ((1 / (1 + np.exp(-logit)) - y[j]) / len(j)).astype("float32")
-                grads, step = network.backward(x[j], mask[j], made, miss), step + 1
+            turn = rng.permutation(len(rows))
+            for i in range(0, len(rows), 128):
+                batch = sorted((rows[j] for j in turn[i : i + 128]), key=lambda r: r[0])
+                mask, y = np.stack([r[2] for r in batch]), np.array([r[3] for r in batch], "float32")
+                made_of, vectors, back, base = [], [], [], 0
+                for which in sorted({r[0] for r in batch}):
+                    scorer = parts[which][0]
+                    own, inverse = np.unique(np.stack([r[1] for r in batch if r[0] == which]), return_inverse=True)
+                    made_of.append((scorer, own, base))
+                    vectors.append(network.inputs(scorer.odds, scorer.known, own))
+                    # learnt vectors are left out at random: the network has to do without them too
+                    vectors[-1][:, ODDS:] *= (rng.random((len(own), 1)) >= OMIT).astype("float32")
+                    back.append(inverse.reshape(-1, WIDTH) + base)
+                    base += len(own)
+                vectors, back = np.concatenate(vectors), np.concatenate(back)
+                x = vectors[back]
+                logit, made = network.forward(network.gates(vectors)[back], mask, keep=True)
+                miss = ((1 / (1 + np.exp(-logit)) - y) / len(batch)).astype("float32")
+                grads, step = network.backward(x, mask, made, miss), step + 1
+                slope, flat = grads.pop("x").reshape(-1, INPUTS), back.reshape(-1)
+                slope = np.stack([np.bincount(flat, slope[:, c], base) for c in range(INPUTS)], 1)
+                tables = [network.learn(scorer.known, own, slope[at : at + len(own)]) for scorer, own, at in made_of]
+                grads |= {name: sum(t[name] for t in tables) * often[name] for name in ("word", "char")}
                 for name, g in grads.items():
                     a, b = moment[name]
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     fix = math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                    network.p[name] -= (0.01 * fix * a / (np.sqrt(b) + 1e-8)).astype("float32")
-    # the cut at one half is put where the halves' own scores err least
-    logits, truth = [], []
+                    rate = RATE * SLOW if name in ("word", "char") else RATE
+                    if name in ("word", "char"):
+                        network.p[name] *= 1 - DECAY
+                    network.p[name] -= (rate * fix * a / (np.sqrt(b) + 1e-8)).astype("float32")
+    # what makes a probability of a score is fitted to the documents left out: the network never saw their labels
+    logits, truth = [np.empty(0)], [np.empty(0)]
     for scorer, line, starts, ends, text, mark in parts:
-        if len(mark):
-            scorer.table = network.gates(scorer.vectors)
-            best = np.full(len(mark), -np.inf)
-            np.maximum.at(best, text, scorer.logits(line, starts, ends))
-            logits.append(best)
-            truth.append(mark)
-    shift = 0.0
-    if logits and 0 < sum(marks) < len(marks):
-        score, y = np.concatenate(logits), np.concatenate(truth)
-        order = np.argsort(score, kind="stable")
-        score, y = score[order], y[order]
-        errors = np.cumsum(np.r_[0, y]) + (np.sum(1 - y) - np.cumsum(np.r_[0, 1 - y]))
-        cut = np.flatnonzero(errors == errors.min())
-        cut = int(cut[len(cut) // 2])
-        low, high = score[max(cut - 1, 0)], score[min(cut, len(score) - 1)]
-        shift = -float(low + high) / 2
-    return Scorer(Inputs(texts, marks), network, shift)
+        scorer.refresh()
+        best = np.full(len(mark), -np.inf)
+        np.maximum.at(best, text, scorer.logits(line, starts, ends))
+        logits.append(best[::CHECK])
+        truth.append(mark[::CHECK])
+    return Scorer(Inputs(known, held, marks), network, *calibrated(np.concatenate(logits), np.concatenate(truth)))
+
+
+def calibrated(score, truth, rounds: int = 50) -> tuple[float, float]:
+    """Slope (above 0) and shift of the logistic curve of truth by score; 1 and 0 where there is but one class."""
+    import numpy as np
+
+    if len(truth) == 0 or truth.min() == truth.max():
+        return 1.0, 0.0
+    spread = max(float(score.std()), 1e-6)
+    x = np.stack([score / spread, np.ones(len(score))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):  # Newton's steps, with a prior that keeps the curve from growing steep without end
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (truth - p) - 0.01 * w
+        w = w + np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope), -2, 2)
+    return max(float(w[0]), 1e-3) / spread, float(w[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", mark: str = "toxic") -> Scorer:
@@ -346,17 +467,16 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", mark: str = "
 
 
 def score(df: DataFrame, model: Scorer, text: str = "text") -> DataFrame:
-    """Adds score (0 to 1); an own column of that name is replaced. The broadcast model holds at most 2 * KEPT entries."""
+    """Adds score (0 to 1); an own column of that name is replaced. The broadcast model is of a fixed size: two tables of TABLE, two of ROWS."""
     import pyarrow as pa
 
-    model.reset()
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = share(df.sparkSession, (model.inputs, model.network, model.steep, model.shift))
     kept = [c for c in df.columns if c != "score"]
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
 
     def run(batches):
-        scorer = shared.value
-        for batch in batches:
+        scorer = Scorer(*shared.value)  # this task's own words
+        for batch in sliced(batches, text):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             found = [scorer.score(texts[i : i + 64]) for i in range(0, len(texts), 64)]
             flat = [float(x) for part in found for x in part]

@@ -237,27 +237,39 @@ def test_toxicity_reads_long_tokens_whole():
         assert all(model.score(toxic) >= 0.5) and all(model.score(clean) < 0.5)
     for n in (33, 47, 48, 49, 64, 200):
         token = "".join(chr(0x4E00 + i) for i in range(n))
-        held = {p for step in toxicity.steps(f"a {token} b") for p in toxicity.pieces(step)}
-        assert {token[i : i + 4] for i in range(n - 3)} <= held
+        held = set(toxicity.Steps(toxicity.steps(f"a {token} b")).flat.tolist())
+        runs = toxicity.Steps([toxicity.INNER + token[i : i + 4] for i in range(n - 3)])
+        assert (runs.count == 1).all() and set(runs.flat.tolist()) <= held
 
 
 def test_network_gradient():
     rng = np.random.default_rng(1)
     net = toxicity.Network(2)
-    x = rng.standard_normal((3, 5, toxicity.INPUTS)).astype("float32")
+    known = toxicity.Steps(["alpha", "beta", "gamma,", "ab", "--", "delta-epsilon"])
+    for name in ("word", "char"):
+        net.p[name] += rng.standard_normal(net.p[name].shape).astype("float32") / 4
+    odds = rng.standard_normal((6, toxicity.ODDS)).astype("float32")
+    line = rng.integers(0, 6, (3, 5))
     mask = np.array([[1, 1, 1, 1, 1], [1, 1, 0, 0, 0], [1, 0, 0, 0, 0]], "float32")
-    gates = lambda: net.gates(x.reshape(-1, toxicity.INPUTS)).reshape(3, 5, -1)
-    logit, made = net.forward(gates(), mask, keep=True)
+
+    def logits():
+        x = net.inputs(odds, known, line.reshape(-1)).astype("float32").reshape(3, 5, -1)
+        return x, net.forward(net.gates(x.reshape(-1, toxicity.INPUTS)).reshape(3, 5, -1), mask, keep=True)
+
+    x, (_, made) = logits()
     grads = net.backward(x, mask, made, np.ones(3, "float32"))
-    for name in ("Uf", "Wb", "A", "w"):
-        at = tuple(0 for _ in net.p[name].shape)
-        old = net.p[name][at]
-        net.p[name][at] = old + 1e-2
-        up = net.forward(gates(), mask).sum()
-        net.p[name][at] = old - 1e-2
-        down = net.forward(gates(), mask).sum()
-        net.p[name][at] = old
-        assert abs((up - down) / 2e-2 - grads[name][at]) < 2e-2
+    grads |= net.learn(known, line.reshape(-1), grads["x"].reshape(-1, toxicity.INPUTS))
+    spots = {"word": (known.word[line[0, 1]] % toxicity.ROWS, 2), "char": (known.flat[known.start[line[0, 0]]] % toxicity.ROWS, 1)}
+    for name in ("Uf", "Ub", "Wf", "Wb", "bf", "A", "c", "v", "w", "o", "word", "char"):
+        shape = net.p[name].shape
+        for at in [spots[name]] if name in spots else {tuple(0 for _ in shape), tuple(n - 1 for n in shape), tuple(n // 2 for n in shape)}:
+            old = net.p[name][at]
+            net.p[name][at] = old + 1e-2
+            up = logits()[1][0].sum()
+            net.p[name][at] = old - 1e-2
+            down = logits()[1][0].sum()
+            net.p[name][at] = old
+            assert abs((up - down) / 2e-2 - grads[name][at]) < 2e-2, (name, at)
 
 
 def test_topk_is_exact(spark):
