@@ -2,7 +2,7 @@
 masked, sources are mixed to their target weights in training order, and texts become tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Extra columns of documents pass
-through to the last stage; empty tables give empty tables.
+through to the last stage, whatever their names: a stage carries them packed as one. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -11,16 +11,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, ngram_join, pii, toxicity
-from tessera.llm.common import cut, ranked, read
+from tessera.llm.common import cut, ranked, made, read, sweep
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 0.5
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns `used`, and all others as one, `_row`: their names meet none of a stage's own."""
+    others = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*others or [F.lit(0).alias("_none")]).alias("_row"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """Those columns again, with the changed ones."""
+    apart = rows.schema["_row"].dataType.names
+    return rows.select(*[(changed[c] if c in changed else F.col("_row")[c] if c in apart else F.col(c)).alias(c) for c in columns])
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the network scores below LIMIT."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs.withColumnRenamed("score", "_score"), model).filter(F.col("score") < LIMIT).drop("score").withColumnRenamed("_score", "score")
+    return unpacked(toxicity.score(packed(docs, "text"), model).filter(F.col("score") < LIMIT), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,42 +51,48 @@ def _one_of_each(docs: DataFrame) -> DataFrame:
     """The same for rows that their ids do not tell apart."""
     text = F.coalesce("text", F.lit(""))
     keys = ["doc_id", "_h1", "_h2"]
-    tagged = docs.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text), "_words": text.rlike(r"[^\x20\x09-\x0D]")})
+    tagged = packed(docs, "doc_id", "text").withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text), "_words": text.rlike(r"[^\x20\x09-\x0D]")})
     worded = tagged.filter("_words")
     numbers = ranked(worded.select(*keys).distinct(), F.col("doc_id").asc_nulls_last(), F.col("_h1"), F.col("_h2"), name="_node", label="numbers")
-    others = [F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")]))] if len(docs.columns) > 2 else [F.lit(0)]
-    first = worded.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*others))).filter("_nth = 1")
+    by = F.to_json("_row")
+    first = worded.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).filter("_nth = 1")
     on = first["doc_id"].eqNullSafe(numbers["doc_id"]) & (first["_h1"] == numbers["_h1"]) & (first["_h2"] == numbers["_h2"])
-    once = cut(first.join(numbers, on).select(*[first[c] for c in docs.columns], "_node"), "once")
+    once = cut(first.join(numbers, on).select(first["doc_id"], "text", "_row", "_node"), "once")
     linked = cut(ngram_join.link(once.select(F.col("_node").alias("doc_id"), "text")), "linked")
     gone = linked.filter("component_id != doc_id").select(F.col("doc_id").alias("_node"))
-    kept = once.join(gone, "_node", "left_anti").select(*docs.columns)
-    return kept.unionByName(tagged.filter("not _words").select(*docs.columns))
+    kept = once.join(gone, "_node", "left_anti").drop("_node").unionByName(tagged.filter("not _words").select("doc_id", "text", "_row"))
+    return unpacked(kept, docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets and counts n_chars anew."""
-    found = pii.annotate(docs, pii.fit(docs))
-    masked = pii.redact(found).drop("spans")
-    return masked.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")).select(*docs.columns)
+    rows = packed(docs, "text")
+    masked = pii.redact(pii.annotate(rows, pii.fit(rows)))
+    return unpacked(masked, docs.columns, n_chars=_length("text"))
+
+
+def _length(text: str):
+    return F.coalesce(F.char_length(text), F.lit(0)).cast("bigint")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for each pass that trains on it, in training order; a last pass that needs only
     part of a document has its first words. Documents without words are never trained on."""
-    turns = mixing.passes(mixing.mix(docs))
-    # rows with equal id and text are told apart by a number, on both sides
-    turns = turns.select("doc_id", "_tie", "size", "words", "position", "pass", F.row_number().over(Window.partitionBy("doc_id", "_tie", "pass").orderBy("position", "begin")).alias("_nth"))
-    one = Window.partitionBy("doc_id", "_tie").orderBy("lang", "source")
-    rows = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_nth", F.row_number().over(one))
-    on = rows["doc_id"].eqNullSafe(turns["doc_id"]) & (rows["_tie"] == turns["_tie"]) & (rows["_nth"] == turns["_nth"])
-    met = rows.join(turns.withColumnRenamed("size", "_size"), on).drop(turns["doc_id"], turns["_tie"], turns["_nth"])
+    keys = ["doc_id", "source", "_tie"]
+    slim = packed(docs, "doc_id", "text", "source")
+    # rows with equal id, source and text are told apart by a number, on both sides
+    turns = mixing.passes(mixing.mix(slim))
+    turns = turns.select(*keys, "size", "words", "position", F.row_number().over(Window.partitionBy(*keys, "pass").orderBy("begin")).alias("_nth"))
+    turns = turns.withColumnsRenamed({k: f"_{k}_" for k in keys} | {"_nth": "_nth_"})
+    one = Window.partitionBy(*keys).orderBy(F.to_json("_row"))
+    rows = slim.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_nth", F.row_number().over(one))
+    on = [rows[k].eqNullSafe(turns[f"_{k}_"]) for k in keys] + [rows["_nth"] == turns["_nth_"]]
+    met = rows.join(turns, on)
     first = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
     words = F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.col("words"), F.lit(0)).cast("int"))
     part = F.concat(first, F.array_join(words, ""))
-    cut_ = F.when(F.col("words") < F.col("_size"), part).otherwise(F.col("text"))
-    placed = met.withColumn("text", cut_).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint"))
-    return mixing.by_position(placed).select(*docs.columns)
+    placed = met.withColumn("text", F.when(F.col("words") < F.col("size"), part).otherwise(F.col("text")))
+    return unpacked(mixing.by_position(placed), docs.columns, n_chars=_length("text"))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,9 +112,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The stages in turn. What a stage wrote on its way, and its input, go once its result is written."""
+    docs, had = read(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        sweep(spark, had)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
