@@ -196,13 +196,12 @@ def _rows(docs: DataFrame, order) -> DataFrame:
     def run(batches):
         import hashlib
 
-        import pyarrow.compute as pc
-
         own = order.value
         for batch, sets in _documents(batches):
             keys = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
             ids = batch.column("doc_id")
-            bare = pc.if_else(pc.is_null(ids), batch.column("text"), pa.scalar(None, batch.column("text").type))
+            texts = batch.column("text")
+            bare = pa.array([None if i.is_valid else t.as_py() for i, t in zip(ids, texts)] if ids.null_count else [None] * len(ids), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
                  _lists([prefix(s, own) for s in sets]), _lists([parity(s) for s in sets]), bare],

@@ -206,6 +206,21 @@ def test_ngram_links_rows_without_id(spark):
     assert got == sorted(((i, len(s), c) for (i, _), s, c in zip(rows, sets, part)), key=str)
 
 
+def test_ngram_ids_are_any_longs_and_batches_any_size(spark):
+    line = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("edit" if i in at else w for i, w in enumerate(line))
+    top, low = 2**63 - 1, -(2**63)
+    rows = [(2**62 + 5, near(4)), (2**62 + 9, near()), (top, near(55)), (low, "a b c d e f"), (low + 1, "a b c d e f"), (None, "A b c d e f")]
+    rows += [(i, f"only {i} of this text and {i * 7}") for i in range(3000)] + [(None, f"none {i} of this text and {i * 7}") for i in range(1500)]
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    part = {r.doc_id: r.component_id for r in got.collect() if r.doc_id is not None}
+    assert [part[x] for x in (2**62 + 5, 2**62 + 9, top, low, low + 1)] == [2**62 + 5, 2**62 + 5, 2**62 + 5, low, low]
+    assert all(part[i] == i for i in range(3000))
+    assert sorted((r.component_id for r in got.filter("doc_id is null").collect()), key=str) == [low, *[None] * 1500]
+    same = ngram_join.link(spark.createDataFrame(rows[:5], "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in same.collect()} == {x: part[x] for x in part if x in (2**62 + 5, 2**62 + 9, top, low, low + 1)}
+
+
 def test_rows_that_share_an_id_are_no_duplicates(spark):
     one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(0, one + " end", "s"), (1, one, "s"), (1, two, "t"), (1, two, "s"), (None, two + " end", "s"), (None, "quite another text", "s"),
