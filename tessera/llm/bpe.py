@@ -6,7 +6,7 @@ LONG symbols, where repeated scans would be quadratic, use a heap over the same
 
 Null and empty texts give no ids. Repeated rows are encoded alike; other columns pass through unless
 their names clash with `ids` or `decoded`, which the new ones replace. A worker holds the ids of a slice of about 1 MB of
-text at a time, two caches of at most CACHED bytes and the vocabulary.
+text at a time, two caches of two generations (about CACHED bytes each, and a third of it) and the vocabulary.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import share, sliced
 
-LONG, CACHED = 400, 12_000_000
+LONG, CACHED = 400, 48_000_000
 NONE = 1 << 60
 #: The pieces that the vocabulary's pre-tokenizer keeps; white space is Unicode's White_Space.
 SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
@@ -57,7 +57,7 @@ def piece_pattern() -> str:
 
 
 class WordBpe:
-    """Encodes and decodes whole texts. raw: the JSON file's bytes; cached: bytes of each of two caches of ids."""
+    """Encodes and decodes whole texts. raw: the JSON file's bytes; cached: bytes of a generation of the cache of runs; that of words has a third."""
 
     def __init__(self, raw: bytes, cached: int = CACHED):
         import regex
@@ -77,8 +77,7 @@ class WordBpe:
         self.parts = regex.compile("(" + "|".join(map(regex.escape, order)) + ")").split
         self.marks = tuple(order)
         self.runs = regex.compile(rf"[^{SPACE}]+").findall
-        self.words, self.cache = _Kept(self.word), _Kept(self.chunk)
-        self.cached = cached
+        self.words, self.cache = _Kept(self.word, cached // 3), _Kept(self.chunk, cached)
 
     def word(self, word: str) -> bytes:
         """The ids of one piece, packed."""
@@ -137,10 +136,6 @@ class WordBpe:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        for kept in (self.words, self.cache):
-            if kept.held > self.cached:
-                kept.clear()
-                kept.held = 0
         # str.split() also splits at the four separators below, which are no white space here
         runs = self.runs(text) if SEPARATORS.search(text) else text.split()
         return b"".join(map(self.cache.__getitem__, runs))
@@ -164,15 +159,20 @@ class WordBpe:
 
 
 class _Kept(dict):
-    """Runs and their ids; long runs are worked out each time."""
+    """Runs and their ids; long runs are worked out each time. A full table becomes the old one, from which what is asked again returns."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.held = make, 0
+        self.make, self.most, self.held, self.old = make, most, 0, {}
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.make(run)
+        ids = self.old.get(run)
+        if ids is None:
+            ids = self.make(run)
         if len(run) < 64:
+            if self.held > self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
             self[run] = ids
             self.held += 200 + 2 * len(run) + len(ids)  # two objects and a place in the table
         return ids

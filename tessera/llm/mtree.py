@@ -8,7 +8,11 @@ Objects go to the nearest of a bounded number of pivots, large clusters are spli
 one M-tree: pages of PAGE entries, each entry with covering radius and distance to its parent. A search opens the entry with
 the least possible distance first. |d(q, parent) - d(entry, parent)| - radius bounds a distance from below without working it
 out, and so do d(q, entry) - radius. Every query first searches a tree of its own cluster; its k-th score is the
-floor for all others.
+floor for all others. With a pivot p and the distance r of its cluster's furthest member, q.x is at most q.p + |q| r: queries are not
+sent to trees of clusters that lie below their floor.
+
+Products are exact: in doubles while the greatest squared norm, which bounds every product, is below 2^53, beyond that in 64-bit
+integers, up to 2^63; above, top_k raises an error.
 
 Vectors that are null, empty or hold a null or non-finite component take no part; shorter ones count as padded with zeros. Rows that repeat
 id and vector count once. Columns besides id and vector are not used.
@@ -21,17 +25,19 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, share
 
-K, STEP, SCALE, BLOCK, PAGE, PIVOTS, PANEL = 5, 50, 256.0, 16_384, 48, 1024, 4096
+K, STEP, SCALE, BLOCK, PAGE, PIVOTS, PANEL = 5, 50, 256.0, 16_384, 48, 1024, 32_768
 
 
 class MTree:
-    """An M-tree over integer vectors (n, d) as float64; products of such integers are exact."""
+    """An M-tree over integer vectors (n, d) as float64; exact: the same as int64, for products that doubles can't hold."""
 
-    def __init__(self, objects, page: int = PAGE):
+    def __init__(self, objects, page: int = PAGE, exact=None):
         import numpy as np
 
+        self.exact = exact
+
         norms = (objects * objects).sum(1)
         self.most = float(norms.max(initial=0.0))
         self.lifted = np.concatenate([objects, np.sqrt(np.maximum(self.most - norms, 0.0))[:, None]], 1)
@@ -85,8 +91,8 @@ class MTree:
                 self.nodes[at] += (centers, np.array([self.nodes[k][1] for k in kids]), np.array([self.nodes[k][2] for k in kids]))
         return self
 
-    def search(self, query, first_id, k: int, floor: float):
-        """Up to k objects as (score, object), by score and then first_id, none below floor."""
+    def search(self, query, first_id, k: int, floor, whole_query=None):
+        """Up to k objects as (score, object), by score and then first_id, none below floor; whole_query: the query as int64."""
         import numpy as np
 
         if not self.nodes:
@@ -94,14 +100,15 @@ class MTree:
         norm = float(query @ query)
         lift = np.append(query, 0.0)
         whole = norm + self.most
-        best: list[tuple[float, int, int]] = []  # worst first
+        slack = 1e-6 + 1e-6 * np.sqrt(whole) * (self.exact is not None)  # doubles round beyond 2^53
+        best: list[tuple] = []  # worst first
 
         def least() -> float:
             return max(floor, best[0][0]) if len(best) == k else floor
 
         def reach(score: float) -> float:
             """The distance beyond which scores lie below score."""
-            return np.sqrt(max(whole - 2 * score, 0.0)) + 1e-6 if score > -np.inf else np.inf
+            return np.sqrt(max(whole - 2 * score, 0.0)) + slack if score > -np.inf else np.inf
 
         center, radius = self.nodes[self.top][:2]
         d = float(np.sqrt(((lift - center) ** 2).sum()))
@@ -122,9 +129,9 @@ class MTree:
                     heapq.heappush(todo, (float(lows[j]), int(kids[maybe[j]]), float(away[j])))
                 continue
             members = node[4][np.abs(d - node[5]) <= bound]
-            scores = self.lifted[members, :-1] @ query
+            scores = self.lifted[members, :-1] @ query if self.exact is None else self.exact[members] @ whole_query
             for j in np.flatnonzero(scores >= least()):
-                entry = (float(scores[j]), -int(first_id[members[j]]), int(members[j]))
+                entry = (scores[j].item(), -int(first_id[members[j]]), int(members[j]))
                 if len(best) < k:
                     heapq.heappush(best, entry)
                 elif entry > best[0]:
@@ -140,14 +147,14 @@ def vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> Da
     return rows.select(F.col(key).alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE)).alias("v"))
 
 
-def _matrix(column, width: int):
+def _matrix(column, width: int, kind: str = "float64"):
     """A list column as a matrix, shorter lists padded with zeros."""
     import numpy as np
 
     lists = column.combine_chunks() if hasattr(column, "combine_chunks") else column
     ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False).astype("float64")
-    out = np.zeros((len(lists), width))
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(kind)
+    out = np.zeros((len(lists), width), kind)
     sizes = np.diff(ends)
     row = np.repeat(np.arange(len(lists)), sizes)
     out[row, np.arange(ends[0], ends[-1]) - np.repeat(ends[:-1], sizes)] = flat[ends[0] : ends[-1]]
@@ -166,14 +173,18 @@ def top_k(df: DataFrame, k: int = K, step: int = STEP, key: str = "vec_id", vect
     few = rows.dropDuplicates(["v", "vec_id"]).withColumn("_n", F.row_number().over(firsts)).filter(F.col("_n") <= k + 1)
     objects = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     objects = cut(objects.withColumn("obj", F.monotonically_increasing_id()), "objects")
-    facts = objects.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width")).first()
-    total, width = facts["n"], facts["width"]
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    facts = objects.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("width"), F.max(norm).alias("norm")).first()
+    total, width, most = facts["n"], facts["width"], facts["norm"] or 0.0
+    if most >= 2**63:
+        raise ArithmeticError("an inner product may exceed 64 bits")
+    large = most >= 2**52
     asked = rows.filter(F.col("vec_id") % step == 0).distinct()
     asking = cut(asked.join(objects.select("v", "obj"), "v").select(F.col("vec_id").alias("query_id"), "obj"), "asking")
     heads = min(PIVOTS, max(1, total // BLOCK))
     drawn = objects.orderBy(F.xxhash64("v"), "obj").limit(heads).select("v").toArrow()  # PIVOTS rows at most
     pivots = _matrix(drawn.column("v"), width) if len(drawn) else np.zeros((1, width))
-    shared = spark.sparkContext.broadcast(pivots)
+    shared = share(spark, pivots)  # PIVOTS vectors at most
 
     def place(batches):
         p = shared.value
@@ -181,10 +192,12 @@ def top_k(df: DataFrame, k: int = K, step: int = STEP, key: str = "vec_id", vect
         for batch in batches:
             x = _matrix(batch.column("v"), width)
             near = (x @ p.T - own).argmax(1) if len(x) else np.empty(0, "int64")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype("int32"))], [*batch.schema.names, "cluster"])
+            far = np.sqrt(((x - p[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype("int32")), pa.array(far)], [*batch.schema.names, "cluster", "far"])
 
-    placed = cut(objects.mapInArrow(place, "v array<bigint>, ids array<bigint>, obj bigint, cluster int"), "placed")
-    sizes = {r["cluster"]: r["n"] for r in placed.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # PIVOTS rows at most
+    placed = cut(objects.mapInArrow(place, "v array<bigint>, ids array<bigint>, obj bigint, cluster int, far double"), "placed")
+    known = {r["cluster"]: r for r in placed.groupBy("cluster").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # PIVOTS rows at most
+    sizes, radius = {c: r["n"] for c, r in known.items()}, np.array([known[c]["far"] if c in known else -np.inf for c in range(len(pivots))])
     split = [max(1, -(-sizes.get(c, 0) // BLOCK)) for c in range(len(pivots))]
     start = np.concatenate([[0], np.cumsum(split)]).astype(int).tolist()
     ints = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
@@ -201,11 +214,12 @@ def top_k(df: DataFrame, k: int = K, step: int = STEP, key: str = "vec_id", vect
     def run(_, left, right):
         x, ids = _matrix(left.column("v"), width), left.column("ids").to_pylist()
         first = np.array([i[0] for i in ids], "int64")
-        tree = MTree(x).pack()
-        q, floor = _matrix(right.column("v"), width), right.column("floor").to_numpy()
+        tree = MTree(x, exact=_matrix(left.column("v"), width, "int64") if large else None).pack()
+        q, floor = _matrix(right.column("v"), width), right.column("floor").to_pylist()
+        whole = _matrix(right.column("v"), width, "int64") if large else [None] * len(q)
         out = ([], [], [])
-        for obj, query, least in zip(right.column("obj").to_pylist(), q, floor):
-            for score, member in tree.search(query, first, k + 1, least):
+        for obj, query, own, least in zip(right.column("obj").to_pylist(), q, whole, floor):
+            for score, member in tree.search(query, first, k + 1, float("-inf") if least is None else least, own):
                 out[0].append(obj)
                 out[1].append(int(score))
                 out[2].append(ids[member])
@@ -216,12 +230,27 @@ def top_k(df: DataFrame, k: int = K, step: int = STEP, key: str = "vec_id", vect
         blocks = placed.withColumn("panel", F.explode(F.sequence(F.lit(0), F.lit(panels - 1)))).select("tree", "panel", "v", "ids")
         return blocks.groupBy("tree", "panel").cogroup(asked_.groupBy("tree", "panel")).applyInArrow(run, "obj bigint, score bigint, ids array<bigint>")
 
-    none = F.lit(float("-inf"))
-    home = cut(searched(queries.select(F.col("home").alias("tree"), "panel", "obj", "v", none.alias("floor"))), "home")
+    home = cut(searched(queries.select(F.col("home").alias("tree"), "panel", "obj", "v", F.lit(None).cast("bigint").alias("floor"))), "home")
     best = Window.partitionBy("obj").orderBy(F.col("score").desc(), F.get("ids", F.lit(0)))
-    floors = home.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k + 1).select("obj", F.col("score").cast("double").alias("floor"))
-    away = queries.join(floors, "obj", "left").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(max(trees - 1, 0))))).filter("tree != home")
-    rest = searched(away.select("tree", "panel", "obj", "v", F.coalesce("floor", none).alias("floor")))
+    floors = home.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") == k + 1).select("obj", F.col("score").alias("floor"))
+
+    def reachable(batches):
+        p = shared.value
+        for batch in batches:
+            q = _matrix(batch.column("v"), width)
+            least = batch.column("floor").to_numpy(zero_copy_only=False).astype("float64")  # null: not a number, so nothing is below
+            bound = q @ p.T + np.sqrt((q * q).sum(1))[:, None] * radius
+            slack = 1 + 1e-9 * (np.abs(bound) + most)
+            ends = [np.flatnonzero(~(row < x)).astype("int32") for row, x in zip(bound + slack, least)]
+            lists = pa.array([e.tolist() for e in ends], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "clusters"])
+
+    away = queries.join(floors, "obj", "left").select("obj", "v", "home", "panel", "floor")
+    away = away.mapInArrow(reachable, "obj bigint, v array<bigint>, home int, panel int, floor bigint, clusters array<int>")
+    away = away.withColumn("cluster", F.explode("clusters")).filter(F.get(ints(split), F.col("cluster")) > 0)
+    first_tree = F.get(ints(start), F.col("cluster"))
+    away = away.withColumn("tree", F.explode(F.sequence(first_tree, first_tree + F.get(ints(split), F.col("cluster")) - 1))).filter("tree != home")
+    rest = searched(away.select("tree", "panel", "obj", "v", "floor"))
     kept = home.unionByName(rest).withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1)
     answers = asking.join(kept, "obj").select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id != query_id").distinct()
     line = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

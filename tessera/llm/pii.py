@@ -2,10 +2,11 @@
 
 Candidates of every kind come from patterns. Matches of the four base kinds (email, ip, card, phone) that
 pass their test always stay. Wider patterns propose further spans: bracketed e-mail addresses, phone
-numbers without a plus, social security numbers, account numbers, and names. Five labelers vote yes, no or nothing
-on each candidate: strict format, gazetteer, structure, context before, and context against. Counts of
-vote patterns (at most 3^5 for each kind, whatever the data) go to the driver, where expectation-
-maximisation estimates how reliable each labeler is without any label. The posteriors then train a
+numbers without a plus, social security and account numbers, names, hardware and long network addresses, dates of birth and
+street addresses. Five labelers vote yes, no or nothing on each candidate: strict format, gazetteer, structure, context
+before, and context against. Counts of vote patterns (at most 3^5 for each kind, whatever the data) go to the driver, where
+expectation-maximisation estimates how reliable each labeler is, and how often each kind is real, without any label and
+over all candidates, base ones among them. The posteriors then train a
 logistic classifier on the span's own form and surroundings, also from counts, and it decides on each wider span.
 
 Everything that touches rows is a built-in function. Null and empty texts have no spans; repeated rows are
@@ -34,27 +35,48 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 GATES = {"email": "@", "phone": "+"}
-# Wider patterns, word lists of the labelers.
+# The gazetteers, of four languages.
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme"
+NAMES = (
+    "James|Mary|John|Patricia|Robert|Jennifer|Michael|Linda|William|Elizabeth|David|Barbara|Richard|Susan|Joseph|Jessica|Thomas|Sarah|"
+    "Charles|Karen|Christopher|Nancy|Daniel|Lisa|Matthew|Margaret|Anthony|Sandra|Steven|Ashley|Andrew|Emily|Paul|Donna|Joshua|Michelle|"
+    "Hans|Klaus|Jürgen|Wolfgang|Dieter|Uwe|Stefan|Andreas|Matthias|Anna|Ursula|Monika|Petra|Sabine|Renate|Heike|Katrin|Birgit|"
+    "Jean|Pierre|Michel|André|Philippe|René|Louis|Alain|Jacques|Marie|Jeanne|Françoise|Monique|Catherine|Nathalie|Isabelle|Sylvie|Camille|"
+    "José|Jose|Antonio|Juan|Manuel|Francisco|Luis|Javier|Carlos|Miguel|Alejandro|María|Maria|Carmen|Josefa|Isabel|Dolores|Pilar|Teresa|Lucía"
+)
+NOT_NAMES = "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|June|July|August|September|October|November|December|Street|Road|Avenue|Tower|Bridge|Airport|Station|Hospital|University|College|School|Museum|Stadium|Park|Prize|Award|Company|Inc|Ltd|Corp|GmbH|Hotel"
+BORN = "born|birth|birthday|birthdate|dob|geboren|geburtsdatum|nacid[oa]|nacimiento|né|née|naissance"
+ROADS_AFTER = "straße|strasse|weg|platz|allee|gasse|ring"
+ROADS_LAST = "Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|St|Ave|Rd|Ln|Blvd"
+ROADS_FIRST = "Calle|Avenida|Plaza|Paseo|Rue|rue|Boulevard|Place"
+# Wider patterns, cheap tests that every text with a match passes, word lists of the labelers.
 WIDER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9A-Za-z+./-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9A-Za-z.-])",
+    "phone": r"(?<![0-9A-Za-z+./-])(?<![A-Z]{2}[0-9]{2} )(?![0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|[0-9]{1,2}[.-][0-9]{1,2}[.-][0-9]{4}(?![0-9]))(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])(?:[0-9]{2,4}[ .-]){1,3}[0-9]{2,4}(?![0-9A-Za-z.-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?",
+    "person": rf"(?<![A-Za-z])(?=[A-ZÀ-Þ][a-zà-ÿ]*+\.? [A-Z])(?:(?:{TITLES})\.? [A-Z][a-zà-ÿ]++(?: [A-Z][a-zà-ÿ]++)?|(?:{NAMES}) [A-Z][a-zà-ÿ]++)",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "mac": r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}([:-])(?:[0-9A-Fa-f]{2}\1){4}[0-9A-Fa-f]{2}(?![0-9A-Za-z:-])",
+    "birth": rf"(?<=(?i:{BORN})[^\n0-9A-Z]{{1,16}})[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}(?![0-9])",
+    "street": rf"(?<![A-Za-z0-9])(?:[A-ZÄÖÜ][a-zäöüß]++(?<=(?:{ROADS_AFTER})) [0-9]{{1,4}}[a-z]?|[0-9]{{1,5}} (?:[A-Z][a-z]++ ){{1,2}}(?:{ROADS_LAST})(?![a-z])|(?=[A-Zr])(?:{ROADS_FIRST}) (?:de (?:la |los )?)?[A-Z][a-zà-ÿ]++,? [0-9]{{1,4}})(?![A-Za-z0-9])",
 }
 WIDER_GATES = {
     "email": r"[\[(](?:at|AT)[\])]",
     "phone": r"[0-9][ .)-]",
     "ssn": r"[0-9]-[0-9]{2}-[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}",
-    "person": r"(?:Mr|Mrs|Ms|Dr|Herr|Frau|Señora|Señor|Monsieur|Madame)\.? [A-Z]",
+    "person": r"[A-ZÀ-Þ][a-zà-ÿ]*+\.? [A-Z]",
+    "ipv6": r"[0-9A-Fa-f]:(?:[0-9A-Fa-f]{0,4}:)",
+    "mac": r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]",
+    "birth": r"[./-][0-9]{1,2}[./-][0-9]{4}",
+    "street": r"[a-zà-ÿ],? [0-9]|[0-9] [A-Z]",
 }
-KINDS = (*BASE, "ssn", "iban", "person")
-FOR = r"(?i)(?:call|phone|tel|telefon|mobile|fax|e-?mail|mail|contact|reach|ssn|social|iban|account|konto|card|visa|name|dear|signed|from|ip|host|address|server)[^\n]{0,24}$"
+KINDS = (*BASE, *[k for k in WIDER if k not in BASE])
+FOR = r"(?i)(?:call|phone|write|schreib|tel|telefon|mobile|fax|e-?mail|mail|contact|reach|ssn|social|iban|account|konto|card|visa|name|dear|signed|from|ip|host|address|server|mac|router|device|born|birth|dob|geboren|nacid[oa]|née?|lives|live|at|residence|wohnt|vive|habite)[^\n]{0,24}$"
 AGAINST = r"(?i)(?:version|v|isbn|issn|doi|order|invoice|ticket|part|page|pp?\.|section|§|no\.|nr\.|#|\$|€|=)\s*$"
-DOMAINS = r"(?i)(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|ch|at|it|nl)$"
-COUNTRIES = r"^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)"
-NAMES = r"(?i)\b(?:anna|maria|john|james|mary|robert|linda|michael|david|sarah|peter|hans|klaus|marie|jean|pierre|carlos|jose|luis|carmen)\b"
+DOMAINS = r"(?i)(?:com|org|net|edu|gov|io|info|biz|app|dev|de|fr|es|uk|eu|ch|at|it|nl|be|pl|pt|se|dk|no|fi|ie|us|ca|mx|ar|br|au|nz|in|jp|cn|za)$"
+COUNTRIES = r"^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM|TR)"
 CONTEXT = 40
 
 
@@ -82,6 +104,14 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.filter(found(text, PATTERNS[kind], gate), lambda s: _fits(kind, s["hit"]))
 
 
+def _checked(hit: Column) -> Column:
+    """Whether an account number's digits leave 1 when divided by 97, its first four characters moved to the end."""
+    flat = F.regexp_replace(hit, " ", "")
+    turned = F.split(F.concat(F.substring(flat, 5, 40), F.substring(flat, 1, 4)), "")
+    step = lambda left, c: (left * F.when(c >= "A", 100).otherwise(10) + F.when(c >= "A", F.ascii(c) - 55).otherwise(F.ascii(c) - 48)) % 97
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), lambda left, c: step(left, c).cast("int")) == 1
+
+
 def _votes(kind: str, hit: Column, before: Column) -> list[Column]:
     """1, -1 or 0 of each labeler."""
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
@@ -94,19 +124,29 @@ def _votes(kind: str, hit: Column, before: Column) -> list[Column]:
         "phone": vote(hit.rlike(r"^\+[1-9]|^\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$"), hit.rlike(r"\. ?[0-9]+\.")),
         "ssn": vote(hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), nothing),
         "iban": vote(hit.rlike(r"^[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), nothing),
-        "person": vote(hit.rlike(r" [A-Z][a-z]+ [A-Z][a-z]+$"), hit.rlike(r" [A-Z][a-z]?$")),
+        "person": vote(hit.rlike(r"[A-Z][a-zà-ÿ]+ [A-Z][a-zà-ÿ]+$"), hit.rlike(r" [A-Z][a-z]?$")),
+        "ipv6": vote(hit.rlike(r"^(?:[0-9A-Fa-f]+:){3}|::[0-9A-Fa-f]"), ~hit.rlike(r"[0-9A-Fa-f]{3}")),
+        "mac": vote(hit.rlike(r"^(?:[0-9a-f:-]+|[0-9A-F:-]+)$"), nothing),
+        "birth": vote(hit.rlike(r"^(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-](?:19|20)"), hit.rlike(r"^0{1,2}[./-]|^[4-9][0-9]|^3[2-9]")),
+        "street": vote(hit.rlike(r"[0-9]{1,4}[a-z]?$|^[0-9]{1,4} "), hit.rlike(r"^0|(?<![0-9])0[a-z]?$")),
     }[kind]
     gazetteer = {
         "email": vote(hit.rlike(DOMAINS), hit.rlike(r"(?i)(?:png|jpe?g|gif|js|css)$")),
         "iban": vote(hit.rlike(COUNTRIES), ~hit.rlike(COUNTRIES)),
-        "person": vote(hit.rlike(NAMES), nothing),
+        "person": vote(hit.rlike(rf"(?:^| )(?:{NAMES})(?: |$)") & ~hit.rlike(rf" (?:{NOT_NAMES})$"), hit.rlike(rf" (?:{NOT_NAMES})$")),
+        "street": vote(~hit.rlike(rf"(?:{NOT_NAMES}) (?:{ROADS_LAST})$") | hit.rlike(rf"^[0-9]+ [A-Z][a-z]+ (?:{ROADS_LAST})$"), nothing),
         "phone": vote(hit.rlike(r"^\+(?:1|33|34|39|41|43|44|49)(?![0-9]{14})"), nothing),
     }.get(kind, F.lit(0))
     structure = {
+        "email": vote(hit.rlike(r"^[A-Za-z0-9][^@]* ?[\[(@]") & ~hit.rlike(r"\.\."), hit.rlike(r"^[._%+-]|\.\.")),
         "card": vote(~same, same),
         "phone": vote(F.char_length(d).between(9, 15) & ~same, ~F.char_length(d).between(9, 15) | same),
         "ssn": vote(~hit.rlike(r"^(?:000|666|9)|-00-|-0000$"), hit.rlike(r"^(?:000|666|9)|-00-|-0000$")),
-        "iban": vote(F.char_length(d) >= 10, F.char_length(d) < 8),
+        "iban": vote(_checked(hit), ~_checked(hit)),
+        "ipv6": vote(hit.rlike(r"[1-9a-fA-F]"), ~hit.rlike(r"[1-9a-fA-F]")),
+        "mac": vote(~hit.rlike(r"^(..)(?:[:-]\1){5}$"), hit.rlike(r"^(..)(?:[:-]\1){5}$")),
+        "birth": vote(hit.rlike(r"(?:19[0-9]{2}|200[0-9]|201[0-9])$"), ~hit.rlike(r"(?:19|20)[0-9]{2}$")),
+        "street": vote(hit.rlike(r"[1-9]"), ~hit.rlike(r"[1-9]")),
     }.get(kind, F.lit(0))
     return [strict, gazetteer, structure, vote(before.rlike(FOR), nothing), vote(nothing, before.rlike(AGAINST))]
 
@@ -129,7 +169,7 @@ def _described(text: Column, kind: str, spans: Column, base: bool) -> Column:
     return F.transform(spans, one)
 
 
-FEATURES = ("size", "led", "lower", "v0", "v3", "v4")
+FEATURES = ("size", "led", "lower", *[f"v{i}" for i in range(5)])
 
 
 def candidates(text: Column) -> Column:
@@ -139,19 +179,31 @@ def candidates(text: Column) -> Column:
     return F.concat(*base, *more)
 
 
+#: The expression has thousands of parts, each a call to the JVM: it is made once for an application and column.
+_EXPRESSIONS: dict[tuple[str, str], Column] = {}
+
+
+def _candidates_of(df: DataFrame, text: str) -> Column:
+    key = (df.sparkSession.sparkContext.applicationId, text)
+    if key not in _EXPRESSIONS:
+        _EXPRESSIONS.clear()
+        _EXPRESSIONS[key] = candidates(text_of(text))
+    return _EXPRESSIONS[key]
+
+
 def fit(df: DataFrame, text: str = "text", rounds: int = 30) -> dict[tuple, float]:
     """Weights of the final classifier, learnt without labels from every candidate of df.
 
-    What is collected are counts by kind, votes and features: at most 7 * 3^5 * 4 * 2 * 2 rows at any size."""
+    What is collected are counts by kind, votes and features: at most 11 * 3^5 * 4 * 2 * 2 rows at any size."""
     keys = ["kind", "base", *[f"v{i}" for i in range(5)], "size", "led", "lower"]
-    seen = df.select(F.inline(candidates(text_of(text)))).groupBy(*keys).agg(F.count("*").alias("n")).collect()
+    seen = df.select(F.inline(_candidates_of(df, text))).groupBy(*keys).agg(F.count("*").alias("n")).collect()
     return learn([r.asDict() for r in sorted(seen, key=lambda r: tuple(map(str, r)))], rounds)
 
 
 def learn(rows: list[dict], rounds: int) -> dict[tuple, float]:
     votes = [[r[f"v{i}"] for i in range(5)] for r in rows]
-    # reliability starts above chance; base candidates passed their test and anchor the true class
-    post = [1.0 if r["base"] else 1 / (1 + math.exp(-1.2 * sum(v))) for r, v in zip(rows, votes)]
+    # reliability starts above chance; base candidates passed their test, so they begin as real
+    post = [0.95 if r["base"] else 1 / (1 + math.exp(-1.2 * sum(v))) for r, v in zip(rows, votes)]
     clip = lambda p: min(max(p, 1e-4), 1 - 1e-4)
     for _ in range(rounds):
         total = {k: [4.0, 2.0] for k in KINDS}
@@ -172,7 +224,7 @@ def learn(rows: list[dict], rounds: int) -> dict[tuple, float]:
             log = math.log(prior / (1 - prior)) + sum(
                 math.log(chance[i][1][x + 1] / chance[i][0][x + 1]) for i, x in enumerate(v)
             )
-            fresh.append(1.0 if r["base"] else 1 / (1 + math.exp(-max(-30.0, min(30.0, log)))))
+            fresh.append(1 / (1 + math.exp(-max(-30.0, min(30.0, log)))))
         post = fresh
     weights = {("kind", k): 0.0 for k in KINDS}
     weighed = [([("kind", r["kind"]), *[(f, f"{r['kind']}:{r[f]}") for f in FEATURES]], r["n"], p) for r, p in zip(rows, post)]
@@ -204,7 +256,7 @@ def annotate(df: DataFrame, weights: dict[tuple, float], text: str = "text") ->
     """Adds spans: array<struct<kind, start, end, base>>, by kind as listed in KINDS and then start.
 
     A wider span is kept if the classifier gives it at least one half and no base span touches it."""
-    made = df.drop("spans").withColumn("spans", candidates(text_of(text)))
+    made = df.drop("spans").withColumn("spans", _candidates_of(df, text))
     base = F.filter("spans", lambda s: s["base"])
     more = F.filter("spans", lambda s: ~s["base"] & (_score(weights, s) >= 0))
     touches = lambda s, b: (s["start"] < b["end"]) & (b["start"] < s["end"])

@@ -71,4 +71,15 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_pii, op3_sharding, op4_secrets, op5_fingerprints, op6_mixing, op7_quality, op8_ngram_join, op9_toxicity, op10_topk)
 }
-ORACLE_SQL: dict[str, str] = {}
+#: For each pair of documents that share a shingle the size of the intersection; components by all that links reach.
+NGRAM_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END s FROM w),
+e AS (SELECT doc_id, len(s) n, unnest(s) x FROM s),
+l AS (SELECT a, b FROM (SELECT p.doc_id a, q.doc_id b, any_value(p.n) n, any_value(q.n) m, count(*) c FROM e p JOIN e q ON p.x = q.x AND p.doc_id != q.doc_id GROUP BY 1, 2) WHERE 100 * c >= 80 * (n + m - c)),
+r AS (SELECT doc_id, doc_id reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT s.doc_id, len(s.s)::BIGINT n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(reached) component_id FROM r GROUP BY 1) c USING (doc_id)"""
+TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT q.vec_id query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, x.v) DESC, x.vec_id)::INT rank FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id != x.vec_id) WHERE rank <= 5"""
+ORACLE_SQL: dict[str, str] = {"op8_ngram_join": NGRAM_SQL, "op10_topk": TOPK_SQL}

@@ -32,7 +32,7 @@ POSITIVE, NEGATIVE, LONGEST = 2500, 5000, 20_000
 FOLDS, WIDTH, STRIDE, HIDDEN, ATTEND = 5, 24, 12, 8, 8
 ODDS, LEARNT = 6, 6  # inputs: statistics, and the length of each of the two learnt vectors
 INPUTS = ODDS + 2 * LEARNT
-TABLE, ROWS, WORDS = 1 << 18, 1 << 15, 60_000  # places of the hashed statistics, rows of each table of learnt vectors
+TABLE, ROWS, WORDS = 1 << 18, 1 << 15, 120_000  # places of the hashed statistics, rows of each table of learnt vectors
 RUN, STARTS = 4, (3, 4, 5, 6)
 CORE = re.compile(r"^[\W_]+|[\W_]+$")
 LONG, INNER = 32, "\x1f"  # longest token that is one step; what marks a slice from inside a token: no token holds it
@@ -69,11 +69,19 @@ def mixed(x):
 
 class Steps:
     """Steps as hashed features, all at once: of each the word, and its pieces: runs of RUN characters anywhere and, unless it
-    begins inside a token, its first STARTS characters."""
+    begins inside a token, its first STARTS characters. Features are places in a table of TABLE."""
 
     def __init__(self, words: list[str]):
         import numpy as np
 
+        parts = [self.features(words[i : i + (1 << 15)]) for i in range(0, max(len(words), 1), 1 << 15)]
+        self.worded, self.word, self.flat, self.count = (np.concatenate(x) for x in zip(*parts))
+        self.start = np.cumsum(self.count) - self.count
+
+    @staticmethod
+    def features(words: list[str]):
+        import numpy as np
+
         cores = [CORE.sub("", w) for w in words]
         size = np.array([len(c) for c in cores], "int64")
         first = np.cumsum(size) - size
@@ -84,14 +92,12 @@ class Steps:
         at = np.arange(len(code)) - first[step]
 
         def hashed(start, n: int, salt: int):
-            return mixed(sum(code[start + i] * power[i] for i in range(n)) + np.uint64(salt)).view("int64") & ((1 << 62) - 1)
+            return (mixed(sum(code[start + i] * power[i] for i in range(n)) + np.uint64(salt)) % np.uint64(TABLE)).astype("int32")
 
         # a slice from inside a token, or a step of marks alone, is no word
-        self.worded = (size > 0) & ~inner
-        self.word = np.zeros(len(words), "int64")
-        some = size > 0
+        some, word = size > 0, np.zeros(len(words), "int32")
         if some.any():
-            self.word[some] = mixed(np.add.reduceat(code * power[at], first[some])).view("int64") & ((1 << 62) - 1)
+            word[some] = mixed(np.add.reduceat(code * power[at], first[some])) % np.uint64(TABLE)
         spots = np.flatnonzero(at + RUN <= size[step])
         owner, value = [step[spots]], [hashed(spots, RUN, 0)]
         for n in STARTS:
@@ -99,9 +105,7 @@ class Steps:
             owner.append(own)
             value.append(hashed(first[own], n, n))
         owner, value = np.concatenate(owner), np.concatenate(value)
-        self.flat = value[np.argsort(owner, kind="stable")]
-        self.count = np.bincount(owner, minlength=len(words))
-        self.start = np.cumsum(self.count) - self.count
+        return some & ~inner, word, value[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
     def runs(self, idx):
         """The pieces of the steps idx as one array, and how many each has."""
@@ -121,8 +125,8 @@ class Inputs:
 
         words, chars = np.zeros((2, TABLE)), np.zeros((2, TABLE))
         for idx, mark in zip(held, marks):
-            words[mark, np.unique(known.word[idx[known.worded[idx]]] % TABLE)] += 1
-            chars[mark, np.unique(known.runs(idx)[0] % TABLE)] += 1
+            words[mark, np.unique(known.word[idx[known.worded[idx]]])] += 1
+            chars[mark, np.unique(known.runs(idx)[0])] += 1
         rate = (sum(marks) + 0.5) / (len(marks) + 1)
         self.words, self.chars = self.odds(words, rate), self.odds(chars, rate)
 
@@ -141,8 +145,8 @@ class Inputs:
 
         n = len(known.word)
         out = np.zeros((n, ODDS), "float32")
-        out[:, 0] = np.where(known.worded, self.words[known.word % TABLE], 0)
-        own, segment = self.chars[known.flat % TABLE], np.repeat(np.arange(n), known.count)
+        out[:, 0] = np.where(known.worded, self.words[known.word], 0)
+        own, segment = self.chars[known.flat], np.repeat(np.arange(n), known.count)
         order = np.lexsort((-own, segment))
         own = own[order]  # segments stay where they are
         rank = np.arange(len(own)) - np.repeat(known.start, known.count)
@@ -272,9 +276,8 @@ def numbered(texts: list[str], ids: dict[str, int]):
     """The steps of all texts as one line of numbers, and how many each text has; new steps get the next numbers in ids."""
     import numpy as np
 
-    lines = [steps(t) for t in texts]
-    flat = np.fromiter((ids.setdefault(w, len(ids)) for line in lines for w in line), "int32")
-    return flat, np.array([len(line) for line in lines], "int64")
+    lines = [np.fromiter((ids.setdefault(w, len(ids)) for w in steps(t)), "int32") for t in texts]
+    return np.concatenate([*lines, np.empty(0, "int32")]), np.array([len(line) for line in lines], "int64")
 
 
 class Scorer:
@@ -309,7 +312,11 @@ class Scorer:
         """In training: the gates of all words (known, with their statistics odds) under the network's present weights."""
         import numpy as np
 
-        self.table = self.network.gates(self.network.inputs(self.odds, self.known, np.arange(len(self.odds))))
+        n = len(self.odds)
+        self.table = np.empty((max(n, 1), 6 * HIDDEN), "float32")
+        for i in range(0, n, 1 << 14):
+            idx = np.arange(i, min(i + (1 << 14), n))
+            self.table[idx] = self.network.gates(self.network.inputs(self.odds, self.known, idx))
 
     def windows(self, counts):
         """Starts and ends of all windows in the line of all words, and each one's text."""
@@ -329,16 +336,18 @@ class Scorer:
         ids = np.append(line, 0)[np.minimum(at, len(line))]
         return ids, mask
 
-    def logits(self, line, starts, ends):
+    def by_parts(self, worth, line, starts, ends):
+        """worth(ids, mask) of all windows, some at a time."""
         import numpy as np
 
         out = np.empty(len(starts), "float32")
-        table = self.table
         for i in range(0, len(starts), 2048):
-            ids, mask = self.gather(line, starts[i : i + 2048], ends[i : i + 2048])
-            out[i : i + 2048] = self.network.forward(table[ids], mask)
+            out[i : i + 2048] = worth(*self.gather(line, starts[i : i + 2048], ends[i : i + 2048]))
         return out
 
+    def logits(self, line, starts, ends):
+        return self.by_parts(lambda ids, mask: self.network.forward(self.table[ids], mask), line, starts, ends)
+
     def score(self, texts: list[str]):
         import numpy as np
 
@@ -381,15 +390,16 @@ def fit(texts: list[str], marks: list[int], rounds: int = 12, seed: int = 5) ->
     step = 0
     rows = []
     for k in range(rounds):
-        if k != 1:  # which window stands for its document is asked anew
+        if k % 2 == 0:  # which window stands for its document is asked anew every other round
             rows = []
             for which, (scorer, line, starts, ends, text, mark) in enumerate(parts):
                 if k == 0:  # before the network can tell: the window whose words speak most
-                    ids, mask = scorer.gather(line, starts, ends)
-                    worth = (scorer.odds[:, :2].max(1)[ids] * mask).max(1)
+                    strength = scorer.odds[:, :2].max(1)
+                    worth = scorer.by_parts(lambda ids, mask: (strength[ids] * mask).max(1), line, starts, ends)
                 else:
                     scorer.refresh()
                     worth = scorer.logits(line, starts, ends)
+                    scorer.reset()
                 order = np.lexsort((-worth, text))
                 heads = order[np.r_[True, text[order][1:] != text[order][:-1]]]
                 ids, mask = scorer.gather(line, starts[heads], ends[heads])
