@@ -36,11 +36,14 @@ def cover_title(text: Column, word: str) -> Column:
 def allowed(chunks: DataFrame, filters: DataFrame) -> DataFrame:
     """filter_id, n_allowed, fell_back: how many chunks pass each row of filters (filter_id, source, lang; null: any).
 
-    A filter that nothing passes falls back to no filter. Chunks are counted by source and language before they meet filters."""
+    A filter that nothing passes falls back to no filter: all chunks are allowed. Chunks are counted by source and language before they meet filters."""
     seen = chunks.groupBy("source", "lang").agg(F.count("*").alias("n"))
     f = filters.select("filter_id", F.col("source").alias("_source"), F.col("lang").alias("_lang"))
     on = (F.col("_source").isNull() | (F.col("source") == F.col("_source"))) & (F.col("_lang").isNull() | (F.col("lang") == F.col("_lang")))
-    return f.join(seen, on, "left").groupBy("filter_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_allowed")).withColumn("fell_back", F.col("n_allowed") == 0)
+    every = F.broadcast(seen.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("_all")))  # one row
+    met = f.join(seen, on, "left").groupBy("filter_id").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_allowed")).crossJoin(every)
+    fell = F.col("n_allowed") == 0
+    return met.select("filter_id", F.when(fell, F.col("_all")).otherwise(F.col("n_allowed")).alias("n_allowed"), fell.alias("fell_back"))
 
 
 def build_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:

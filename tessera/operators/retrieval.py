@@ -2,47 +2,81 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions import text as T
+
+K1, B, RRF_K, MMR_LAMBDA = 1.2, 0.75, 60, 0.5
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", level: str = T.PLAIN) -> DataFrame:
+    """key, term, tf, len: one tokenisation gives the terms and the length that they belong to."""
+    own = docs.select(key, T.tokens(F.col(text), level).alias("_t")).select(key, F.size("_t").cast("bigint").alias("len"), F.explode("_t").alias("term"))
+    return own.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
-K1, B, RRF_K = 1.2, 0.75, 60
 
+@dataclass
+class LexicalIndex:
+    """tf: doc_id, term, tf, len; lengths: doc_id, len of every document, those without terms among them; stats: n_docs, avgdl."""
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf: DataFrame
+    lengths: DataFrame
+    stats: DataFrame
+    level: str = T.PLAIN
 
+    @classmethod
+    def of(cls, docs: DataFrame, level: str = T.PLAIN) -> LexicalIndex:
+        lengths = docs.select("doc_id", F.coalesce(F.size(T.tokens(F.col("text"), level)), F.lit(0)).cast("bigint").alias("len"))
+        return cls(postings(docs, level=level), lengths, _stats(lengths), level)
 
-def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.size(tokens(F.col(text))).cast("bigint").alias("len"))
+    def stored(self, path: str) -> LexicalIndex:
+        """The same, written once and read by all that rank: later questions scan postings, not texts."""
+        spark = self.tf.sparkSession
+        self.tf.write.mode("overwrite").parquet(f"{path}/tf")
+        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        lengths = spark.read.schema(self.lengths.schema).parquet(f"{path}/lengths")
+        return LexicalIndex(spark.read.schema(self.tf.schema).parquet(f"{path}/tf"), lengths, _stats(lengths), self.level)
 
+    def terms(self) -> DataFrame:
+        """term, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
+        df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
+        return df.crossJoin(F.broadcast(self.stats)).select("term", "df", _idf().alias("idf"))
 
-def index(docs: DataFrame) -> DataFrame:
-    """term, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5)); N rides along from one aggregate row."""
-    n = F.broadcast(docs.agg(F.count("*").alias("n_docs")))  # one row
-    df = postings(docs).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.crossJoin(n).select("term", "df", idf.alias("idf"))
 
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.col("len").cast("double")), F.lit(0.0)).alias("avgdl"))  # one row
 
-def bm25(docs: DataFrame, questions: DataFrame, qid: str = "item_id", k: int = 10) -> DataFrame:
-    """qid, doc_id, score, rnk <= k. Repeated question tokens count repeatedly; ties go to the smaller doc_id.
 
-    Only postings of question terms reach the join: the semi join prunes them before anything is scored."""
-    qtf = postings(questions, qid).withColumnRenamed("tf", "qtf")
-    wanted = qtf.select("term").distinct()
-    tf = postings(docs).join(wanted, "term", "left_semi")
-    stats = F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col("text"))).cast("double")).alias("avgdl")))
+def _idf() -> Column:
+    return F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def bm25(index: LexicalIndex, questions: DataFrame, qid: str = "item_id", k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
+    """qid, doc_id, score, rnk <= k. Repeated question tokens count repeatedly; ties go to the smaller doc_id; documents that share
+    no term with a question have score 0 and follow by id.
+
+    Only postings of question terms reach the join: the semi join prunes them before anything is scored. allowed (doc_id): what may
+    be ranked; idf and lengths stay those of the whole corpus, and postings of other documents go before they are scored."""
+    qtf = postings(questions, qid, level=index.level).select(qid, "term", F.col("tf").alias("qtf"))
+    tf = index.tf.join(qtf.select("term").distinct(), "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    ids = index.lengths.select("doc_id")
+    if allowed is not None:
+        tf, ids = tf.join(allowed, "doc_id", "left_semi"), ids.join(allowed, "doc_id", "left_semi")
     one = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = (
-        qtf.join(df, "term").join(tf, "term").join(lengths(docs), "doc_id").crossJoin(stats)
-        .groupBy(qid, "doc_id").agg(F.round(F.sum(idf * one * F.col("qtf")), 6).alias("score"))
+        qtf.join(df, "term").join(tf, "term").crossJoin(F.broadcast(index.stats))
+        .groupBy(qid, "doc_id").agg(F.round(F.sum(_idf() * one * F.col("qtf")), 6).alias("score"))
     )
-    return top(scored, qid, "score", "doc_id", k)
+    best = top(scored, qid, "score", "doc_id", k)
+    # a question that met fewer than k: the least ids fill up, so 2 * k rows a question are enough
+    short = questions.select(qid).join(best.filter(F.col("rnk") == k).select(qid), qid, "left_anti")
+    fill = short.crossJoin(F.broadcast(ids.orderBy("doc_id").limit(2 * k))).join(best.select(qid, "doc_id"), [qid, "doc_id"], "left_anti")
+    return top(best.drop("rnk").unionByName(fill.withColumn("score", F.lit(0.0))), qid, "score", "doc_id", k)
 
 
 def top(scored: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
@@ -55,12 +89,87 @@ def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """qid, vec_id, cos, rnk: a stated query set (qid, q) against all vectors.
-
-    Without a hint the query set is broadcast only below Spark's size threshold; beyond it partitions meet in blocks."""
-    met = vectors.crossJoin(queries).filter("vec_id != qid")
-    return top(met.select("qid", "vec_id", F.round(inner(F.col("embedding"), F.col("q")), 6).alias("cos")), "qid", "cos", "vec_id", k)
+def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, panel: int = 2048) -> DataFrame:
+    """qid, vec_id, cos, rnk: a stated query set (qid, q) against all vectors, as matrix products of blocks and panels.
+
+    A block of vectors and a panel of queries are one row each, so what meets are rows of some MB; each product leaves k rows a query."""
+    import numpy as np
+    import pyarrow as pa
+
+    def packed(df: DataFrame, key: str, vector: str, size: int, names: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i in range(0, batch.num_rows, size):
+                    part = batch.slice(i, size)
+                    wide = max(part.column(1).value_lengths().to_pylist(), default=0)
+                    m = np.array([list(x) + [0.0] * (wide - len(x)) for x in part.column(1).to_pylist()], "float64").reshape(part.num_rows, wide)
+                    norm = np.sqrt((m * m).sum(1))
+                    m = m / np.where(norm > 0, norm, 1)[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("int64").tobytes()]), pa.array([wide], pa.int32()), pa.array([m.tobytes()])], [f"{names}_ids", f"{names}_w", f"{names}_m"])
+
+        return df.select(F.col(key).cast("bigint"), vector).filter(f"{key} is not null and {vector} is not null").mapInArrow(run, f"{names}_ids binary, {names}_w int, {names}_m binary")
+
+    def product(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, q = (np.frombuffer(r[f"{n}_m"]).reshape(-1, r[f"{n}_w"]) for n in "xq")
+                ids, asked = (np.frombuffer(r[f"{n}_ids"], "int64") for n in "xq")
+                wide = min(x.shape[1], q.shape[1])
+                cos = np.round(q[:, :wide] @ x[:, :wide].T, 6)
+                out = ([], [], [])
+                for row, own in zip(cos, asked):
+                    own_rows = np.flatnonzero(ids != own)
+                    # all that reach the k-th score, so that ties are settled by id
+                    if len(own_rows) > k:
+                        own_rows = own_rows[row[own_rows] >= np.partition(row[own_rows], -k)[-k]]
+                        own_rows = own_rows[np.lexsort((ids[own_rows], -row[own_rows]))[:k]]
+                    out[0].extend([own] * len(own_rows))
+                    out[1].extend(ids[own_rows])
+                    out[2].extend(row[own_rows])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["qid", "vec_id", "cos"])
+
+    met = packed(vectors, "vec_id", "embedding", block, "x").crossJoin(packed(queries, "qid", "q", panel, "q"))
+    return top(met.mapInArrow(product, "qid bigint, vec_id bigint, cos double"), "qid", "cos", "vec_id", k)
+
+
+def mmr(candidates: DataFrame, k: int = 10, lambda_: float = MMR_LAMBDA) -> DataFrame:
+    """qid, vec_id, pick (from 1): greedy choice of lambda * relevance - (1 - lambda) * greatest likeness to what is chosen.
+
+    candidates: qid, q, vec_id, embedding, few a question (a leg's top). The first pick is the most relevant; ties go to the smaller id."""
+    import numpy as np
+
+    def chosen(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(-1, keepdims=True)), 1e-12)
+        x, q = unit(np.array(group["embedding"].tolist(), "float64")), unit(np.array(group["q"].iloc[0], "float64"))
+        rel, left, near, picks = x @ q, list(range(len(x))), np.full(len(x), -np.inf), []
+        while left and len(picks) < k:
+            worth = rel[left] if not picks else lambda_ * rel[left] - (1 - lambda_) * near[left]
+            i = left.pop(int(np.argmax(np.round(worth, 9))))
+            picks.append(i)
+            near = np.maximum(near, x @ x[i])
+        return pd.DataFrame({"qid": group["qid"].iloc[0], "vec_id": group["vec_id"].to_numpy()[picks], "pick": range(1, len(picks) + 1)})
+
+    return candidates.groupBy("qid").applyInPandas(chosen, "qid bigint, vec_id bigint, pick int")
+
+
+def contained(passages: DataFrame, docs: DataFrame, words: int = 3) -> DataFrame:
+    """item_id, doc_id: documents whose text holds a passage (item_id, text), by anchors.
+
+    An anchor is `words` words of a passage after its first: between blanks inside it, so they stand whole in each text that holds it.
+    Texts and passages meet on anchors, then the texts that met are tested. Passages with fewer words meet all texts."""
+    split = lambda c: F.split(c, " ")
+    gram = lambda w, i: F.xxhash64(*[F.get(w, i + j) for j in range(words)])
+    p = passages.select("item_id", F.col("text").alias("passage")).filter("passage is not null").withColumn("_w", split("passage"))
+    long, short = p.filter(F.size("_w") >= words + 2), p.filter(F.size("_w") < words + 2)
+    anchors = long.select("item_id", "passage", gram(F.col("_w"), F.lit(1)).alias("_g"))
+    texts = docs.select("doc_id", "text").filter("text is not null")
+    spots = texts.select("doc_id", split("text").alias("_w")).filter(F.size("_w") >= words)
+    spots = spots.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_w") - words), lambda i: gram(F.col("_w"), i))).alias("_g"))
+    met = spots.join(anchors.select("item_id", "_g"), "_g").select("item_id", "doc_id").distinct().join(long.select("item_id", "passage"), "item_id")
+    tested = met.join(texts, "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id")
+    rest = texts.join(short, F.contains(texts["text"], short["passage"])).select("item_id", "doc_id")
+    return tested.unionByName(rest).distinct()
 
 
 def rrf(legs: DataFrame, qid: str = "item_id", k: int = 10) -> DataFrame:
@@ -79,16 +188,17 @@ def caps(ranked: DataFrame, qid: str, per_source: int, per_page: int) -> DataFra
 
 
 def metrics(ranked: DataFrame, gold: DataFrame, qid: str = "item_id", k: int = 10) -> DataFrame:
-    """recall, precision, mrr and ndcg at k of each question that has gold (qid, doc_id)."""
+    """recall, precision (of what was returned, k at most), mrr, ndcg and strict recall at k of each question that has gold (qid, doc_id)."""
     total = gold.groupBy(qid).agg(F.count("*").alias("n_gold"))
+    returned = ranked.filter(F.col("rnk") <= k).groupBy(qid).agg(F.count("*").alias("n_back"))
     hits = ranked.filter(F.col("rnk") <= k).join(gold, [qid, "doc_id"]).groupBy(qid).agg(
         F.count("*").alias("hits"), F.min("rnk").alias("best"), F.sum(F.lit(1.0) / F.log2(F.col("rnk") + 1.0)).alias("dcg")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return total.join(hits, qid, "left").select(
-        qid, F.round(zero(F.col("hits") / F.col("n_gold")), 6).alias("recall"), F.round(zero(F.col("hits") / F.lit(float(k))), 6).alias("precision"),
-        F.round(zero(1.0 / F.col("best")), 6).alias("mrr"), F.round(zero(F.col("dcg") / ideal), 6).alias("ndcg"),
+    return total.join(hits, qid, "left").join(returned, qid, "left").select(
+        qid, F.round(zero(F.col("hits") / F.col("n_gold")), 6).alias("recall"), F.round(zero(F.col("hits") / F.col("n_back")), 6).alias("precision"),
+        F.round(zero(1.0 / F.col("best")), 6).alias("mrr"), F.round(zero(F.col("dcg") / ideal), 6).alias("ndcg"), zero((F.col("hits") == F.col("n_gold")).cast("double")).alias("strict"),
     )
 
 

@@ -7,44 +7,34 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
-from tessera.plans import chunks, ledgers  # noqa: F401  they register their queries
-from tessera.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
+from tessera.plans import chunks, evaluation, ledgers, parsing, rows, texts  # noqa: F401  they register their queries
+from tessera.plans.registry import ORACLE_SQL, QUERIES, query, scratch, table  # noqa: F401
+from tessera.plans.sql import CLEAN, MARKED, TOK, tokens_sql
 
-CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ً-ْٰـ]', '', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10)||chr(10), 'g'))"""
-TOK = "regexp_extract_all(text, '[ء-ي]+|[A-Za-z0-9]+')"
 SCORED = f"""WITH tf AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({TOK}) term FROM documents) GROUP BY 1, 2),
 len AS (SELECT doc_id, len({TOK}) len FROM documents), st AS (SELECT count(*) n, avg(len::DOUBLE) avgdl FROM len),
 df AS (SELECT term, count(*) df FROM tf GROUP BY 1),
 qtf AS (SELECT item_id, term, count(*) qtf FROM (SELECT item_id, unnest({TOK}) term FROM benchmark) GROUP BY 1, 2),
 scored AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl)) * qtf), 6) score
   FROM qtf JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT rnk FROM scored)"""
-GOLD = "gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT rnk FROM (SELECT b.item_id, d.doc_id, coalesce(s.score, 0) score
+  FROM benchmark b CROSS JOIN documents d LEFT JOIN scored s ON s.item_id = b.item_id AND s.doc_id = d.doc_id))"""
+GOLD = "gold AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 METRICS = f"""{SCORED}, {GOLD}, tot AS (SELECT item_id, count(*) n_gold FROM gold GROUP BY 1),
 hits AS (SELECT item_id, count(*) hits, min(rnk) best, sum(1.0::DOUBLE / log2(rnk + 1.0)) dcg FROM ranked JOIN gold USING (item_id, doc_id) WHERE rnk <= 10 GROUP BY 1),
-met AS (SELECT item_id, round(coalesce(hits::DOUBLE / n_gold, 0), 6) recall, round(coalesce(hits / 10.0::DOUBLE, 0), 6) "precision", round(coalesce(1.0::DOUBLE / best, 0), 6) mrr,
-  round(coalesce(dcg / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0))), 0), 6) ndcg FROM tot LEFT JOIN hits USING (item_id))"""
+met AS (SELECT item_id, round(coalesce(hits::DOUBLE / n_gold, 0), 6) recall, round(coalesce(hits / least(10, (SELECT count(*) FROM documents))::DOUBLE, 0), 6) "precision", round(coalesce(1.0::DOUBLE / best, 0), 6) mrr,
+  round(coalesce(dcg / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0))), 0), 6) ndcg, CASE WHEN hits = n_gold THEN 1.0 ELSE 0.0 END::DOUBLE strict FROM tot LEFT JOIN hits USING (item_id))"""
 
 
 @query(f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", T.clean(T.nfkc(F.col("text"))).alias("cleaned"))
 
 
-@query("SELECT doc_id, length(text)::BIGINT n_before, length(regexp_replace(text, '[ً-ْٰـ]', '', 'g'))::BIGINT n_after FROM documents")
+@query(f"SELECT doc_id, length(text)::BIGINT n_before, {MARKED} stripped, length({MARKED})::BIGINT n_after FROM documents")
 def strip_marks(spark: SparkSession, d: str) -> DataFrame:
     n = lambda c: F.char_length(c).cast("bigint")
-    return table(spark, d, "documents").select("doc_id", n("text").alias("n_before"), n(T.strip_marks(F.col("text"))).alias("n_after"))
-
-
-@query(rf"""SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(regexp_replace(text, '[؀-ۿ]', '', 'g'))) / length(text)::DOUBLE END, 6) arabic_ratio,
- round(CASE WHEN length(text) = 0 THEN 0 ELSE (length(text) - length(regexp_replace(text, '[^a-zA-Z]', '', 'g'))) / length(text)::DOUBLE END, 6) other_ratio,
- len({TOK})::BIGINT n_tokens, CASE WHEN len({TOK}) < 20 THEN 'unknown' ELSE 'ok' END verdict FROM documents""")
-def quality(spark: SparkSession, d: str) -> DataFrame:
-    n = F.size(T.tokens(F.col("text"))).cast("bigint")
-    arabic = F.round(T.share(F.col("text"), T.ARABIC), 6)
-    return table(spark, d, "documents").select("doc_id", arabic.alias("arabic_ratio"), F.round(T.share(F.col("text"), "[^a-zA-Z]"), 6).alias("other_ratio"),
-                                               n.alias("n_tokens"), T.verdict(F.lit(0.0), n).alias("verdict"))
+    return table(spark, d, "documents").select("doc_id", n("text").alias("n_before"), T.strip_marks(F.col("text")).alias("stripped"), n(T.strip_marks(F.col("text"))).alias("n_after"))
 
 
 # Raw shares of the whole text; the patterns are the gate's own.
@@ -55,8 +45,8 @@ CASE WHEN n = 0 THEN 'empty' WHEN bad > 0 OR off > 0.01 THEN 'degraded' WHEN ar
 
 
 @query(f"WITH {ASSESSED} SELECT doc_id, arabic_ratio, off_script_ratio, fragment_ratio, replacement_chars, verdict FROM q")
-def quality_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The whole gate, with its four verdicts; `quality` gives two shares and the token count only."""
+def quality(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the whole text and the verdict of the gate."""
     return table(spark, d, "documents").select("doc_id", T.assessed(F.col("text")).alias("q")).select("doc_id", "q.*")
 
 
@@ -66,29 +56,36 @@ def tokenize_plain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(got).cast("bigint").alias("n_tokens"), F.size(F.array_distinct(got)).cast("bigint").alias("n_distinct"))
 
 
-@query(f"""SELECT token, count(*)::BIGINT df, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) ratio
+@query(f"""SELECT token, count(*)::BIGINT df, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) ratio, token IN ({", ".join(f"'{w}'" for w in T.STOPWORDS)}) stopword
 FROM (SELECT unnest(list_distinct({TOK})) token FROM documents) GROUP BY 1 ORDER BY df DESC, token LIMIT 100""")
 def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    n = F.broadcast(docs.agg(F.count("*").alias("n")))
-    df = docs.select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.crossJoin(n).select("token", "df", F.round(F.col("df") / F.col("n"), 6).alias("ratio")).orderBy(F.col("df").desc(), "token").limit(100)
+    df = lexical(spark, d).tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(lexical(spark, d).stats))
+    return df.select(F.col("term").alias("token"), "df", F.round(F.col("df") / F.col("n_docs"), 6).alias("ratio"), F.col("term").isin(*T.STOPWORDS).alias("stopword")).orderBy(F.col("df").desc(), "token").limit(100)
 
 
 @query(f"""WITH p AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({TOK}) term FROM documents)), n AS (SELECT count(*) n FROM documents)
 SELECT term, count(*)::BIGINT df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) idf FROM p, n GROUP BY 1""")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    return R.index(table(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical(spark, d).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def ranking(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), k=k)
+def lexical(spark: SparkSession, d: str, level: str = T.PLAIN) -> R.LexicalIndex:
+    """The stored index of the documents, built by the first query of an application that asks for it."""
+    return scratch(spark, ("lexical", d, level), lambda path: R.LexicalIndex.of(table(spark, d, "documents"), level).stored(path))
+
+
+def ranking(spark: SparkSession, d: str, k: int = 10, level: str = T.PLAIN) -> DataFrame:
+    return R.bm25(lexical(spark, d, level), table(spark, d, "benchmark"), k=k)
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark passage: the benchmark is a fixed, small set of items."""
-    b, docs = table(spark, d, "benchmark").withColumnRenamed("text", "passage"), table(spark, d, "documents")
-    return docs.join(F.broadcast(b), F.contains(docs["text"], b["passage"])).select("item_id", "doc_id")
+    """Documents that hold a benchmark passage, kept for the application's other queries."""
+    return scratch(spark, ("gold", d), lambda path: _stored(R.contained(table(spark, d, "benchmark"), table(spark, d, "documents")), path))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @query(f"{SCORED} SELECT item_id, doc_id, score, rnk FROM ranked WHERE rnk <= 10")
@@ -97,12 +94,18 @@ def bm25_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{SCORED}, f AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT rnk
-FROM scored JOIN documents USING (doc_id) WHERE lang = 'en') SELECT * FROM f WHERE rnk <= 10""")
+FROM ranked JOIN documents USING (doc_id) WHERE lang = 'en') SELECT * FROM f WHERE rnk <= 10""")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    """idf of the whole corpus; the filter applies to what is ranked."""
-    docs = table(spark, d, "documents")
-    scored = R.bm25(docs, table(spark, d, "benchmark"), k=2**31 - 1).drop("rnk")
-    return R.top(scored.join(docs.filter("lang = 'en'").select("doc_id"), "doc_id").select("item_id", "doc_id", "score"), "item_id", "score", "doc_id", 10)
+    """idf of the whole corpus; only documents that may be ranked are scored."""
+    allowed = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
+    return R.bm25(lexical(spark, d), table(spark, d, "benchmark"), allowed=allowed)
+
+
+@query(" UNION ALL ".join(f"SELECT '{level}' \"level\", * FROM ({SCORED.replace(TOK, tokens_sql('text', level))} SELECT item_id, doc_id, score, rnk FROM ranked WHERE rnk <= 10)" for level in (T.PLAIN, T.STOPPED, T.STRIPPED)))
+def bm25_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking at each level of the tokeniser."""
+    parts = [ranking(spark, d, level=level).select(F.lit(level).alias("level"), "item_id", "doc_id", "score", "rnk") for level in (T.PLAIN, T.STOPPED, T.STRIPPED)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"{METRICS} SELECT * FROM met")
@@ -115,14 +118,14 @@ def bm25_recall(spark: SparkSession, d: str) -> DataFrame:
     return R.metrics(ranking(spark, d), gold(spark, d)).select("item_id", "recall")
 
 
-@query(f"{METRICS} SELECT count(*)::BIGINT n, round(avg(recall), 6) recall, round(avg(\"precision\"), 6) \"precision\", round(avg(mrr), 6) mrr, round(avg(ndcg), 6) ndcg FROM met")
+@query(f"{METRICS} SELECT count(*)::BIGINT n, round(avg(recall), 6) recall, round(avg(\"precision\"), 6) \"precision\", round(avg(mrr), 6) mrr, round(avg(ndcg), 6) ndcg, round(avg(strict), 6) strict FROM met")
 def mean_metrics(spark: SparkSession, d: str) -> DataFrame:
-    names = ("recall", "precision", "mrr", "ndcg")
+    names = ("recall", "precision", "mrr", "ndcg", "strict")
     return R.metrics(ranking(spark, d), gold(spark, d)).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in names])
 
 
 KNN = """SELECT * FROM (SELECT qid, vec_id, cos, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, vec_id)::INT rnk FROM (
-SELECT a.vec_id qid, b.vec_id vec_id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) cos FROM embeddings a, embeddings b
+SELECT a.vec_id qid, b.vec_id vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) cos FROM embeddings a, embeddings b
 WHERE a.vec_id % 50 = 0 AND a.vec_id != b.vec_id {more})) WHERE rnk <= 10"""
 
 
@@ -150,8 +153,8 @@ fused AS (SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id O
 
 
 def sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    q = R.postings(table(spark, d, "benchmark"), "item_id").withColumnRenamed("tf", "qtf")
-    met = R.postings(table(spark, d, "documents")).join(q, "term")
+    q = R.postings(table(spark, d, "benchmark"), "item_id").select("item_id", "term", F.col("tf").alias("qtf"))
+    met = lexical(spark, d).tf.join(q, "term")
     scored = met.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.log1p("qtf") * F.log1p("tf")), 6).alias("s"))
     return R.top(scored, "item_id", "s", "doc_id", k)
 
@@ -211,29 +214,28 @@ def fit_budget(spark: SparkSession, d: str) -> DataFrame:
     return met.withColumn("used", F.sum("n_chars").over(w)).filter("used <= 16800").select("item_id", "doc_id")
 
 
-@query("SELECT source, count(*)::BIGINT pages, round(avg(length(text)), 6) chars_per_page, sum(length(text))::BIGINT chars FROM documents GROUP BY 1")
-def source_report(spark: SparkSession, d: str) -> DataFrame:
-    n = F.char_length("text")
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("pages"), F.round(F.avg(n), 6).alias("chars_per_page"), F.sum(n).cast("bigint").alias("chars"))
-
-
-@query(f"""WITH {ASSESSED} SELECT source, count(*)::BIGINT pages, sum(n)::BIGINT chars, round(avg(arabic_ratio), 6) mean_arabic_ratio, round(avg(off_script_ratio), 6) mean_off_script_ratio,
+@query(f"""WITH {ASSESSED} SELECT source, count(*)::BIGINT pages, sum(n)::BIGINT chars, (sum(n) // count(*))::BIGINT chars_per_page, round(avg(arabic_ratio), 6) mean_arabic_ratio, round(avg(off_script_ratio), 6) mean_off_script_ratio, round(avg(fragment_ratio), 6) mean_fragment_ratio,
 count(*) FILTER (verdict = 'degraded')::BIGINT degraded FROM q GROUP BY 1""")
-def source_quality(spark: SparkSession, d: str) -> DataFrame:
+def source_report(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("source", F.char_length(F.coalesce("text", F.lit(""))).alias("n"), T.assessed(F.col("text")).alias("q"))
     mean = lambda c: F.round(F.avg(f"q.{c}"), 6).alias(f"mean_{c}")
-    return rows.groupBy("source").agg(F.count("*").alias("pages"), F.sum("n").cast("bigint").alias("chars"), mean("arabic_ratio"), mean("off_script_ratio"),
+    return rows.groupBy("source").agg(F.count("*").alias("pages"), F.sum("n").cast("bigint").alias("chars"), F.floor(F.sum("n") / F.count("*")).alias("chars_per_page"),
+                                      mean("arabic_ratio"), mean("off_script_ratio"), mean("fragment_ratio"),
                                       F.count_if(F.col("q.verdict") == "degraded").alias("degraded"))
 
 
-@query("""SELECT lang, n, max(CASE WHEN r = n // 2 THEN n_chars END) median, max(CASE WHEN r = n * 9 // 10 THEN n_chars END) p90, max(n_chars) most FROM (
+@query("""SELECT lang, n, ((max(CASE WHEN r = (n - 1) // 2 THEN n_chars END) + max(CASE WHEN r = n // 2 THEN n_chars END)) // 2)::BIGINT median, max(CASE WHEN r = n * 9 // 10 THEN n_chars END) p90, max(n_chars) most FROM (
 SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - 1 r, count(*) OVER (PARTITION BY lang) n FROM documents) GROUP BY 1, 2""")
 def chunk_census(spark: SparkSession, d: str) -> DataFrame:
-    """Positional picks sorted[n // 2] and sorted[n * 9 // 10]."""
-    w = Window.partitionBy("lang")
-    rows = table(spark, d, "documents").select("lang", "n_chars", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda i: F.max(F.when(F.col("r") == i, F.col("n_chars")))
-    return rows.groupBy("lang", "n").agg(at(F.expr("n div 2")).alias("median"), at(F.expr("n * 9 div 10")).alias("p90"), F.max("n_chars").alias("most"))
+    """Median (the mean of the middle two, cut to a whole number) and the pick sorted[n * 9 // 10], from counts of each size.
+
+    Rows are counted by language and size first; the running sums then see one row for each size that occurs."""
+    sizes = table(spark, d, "documents").groupBy("lang", "n_chars").agg(F.count("*").alias("c"))
+    up = Window.partitionBy("lang").orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0)
+    run = sizes.withColumns({"hi": F.sum("c").over(up), "n": F.sum("c").over(Window.partitionBy("lang"))}).withColumn("lo", F.col("hi") - F.col("c"))
+    at = lambda i: F.max(F.when((F.col("lo") <= F.expr(i)) & (F.expr(i) < F.col("hi")), F.col("n_chars")))
+    middle = F.floor((at("(n - 1) div 2") + at("n div 2")) / 2)
+    return run.groupBy("lang", "n").agg(middle.alias("median"), at("n * 9 div 10").alias("p90"), F.max("n_chars").alias("most"))
 
 
 @query("SELECT doc_id, printf('%s_p%02d_%s', source, doc_id % 50, lang) chunk_id FROM documents")
@@ -241,15 +243,16 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.format_string("%s_p%02d_%s", "source", F.col("doc_id") % 50, "lang").alias("chunk_id"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]\s+|\n+'), lambda s: length(trim(s)) > 0))::BIGINT n_sentences FROM documents")
+@query(rf"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!؟]+'), lambda s: len(regexp_extract_all(s, '[^\s]+')) >= 3))::BIGINT n_sentences FROM documents")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("n_sentences"))
 
 
-@query("SELECT source, lang, count(*)::BIGINT n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) outline FROM documents GROUP BY 1, 2")
+@query("SELECT source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id)::INT place, doc_id FROM documents")
 def section_outline(spark: SparkSession, d: str) -> DataFrame:
-    ids = F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("outline"))
+    """Members of each section in order, a row each: no section has to fit into one value."""
+    place = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).cast("int")
+    return table(spark, d, "documents").select("source", "lang", place.alias("place"), "doc_id")
 
 
 @query("""SELECT doc_id, concat('source ', source, ', language ', lang) prefix, length(concat_ws(chr(10), concat('source ', source, ', language ', lang), text))::BIGINT text_len FROM documents""")
@@ -258,13 +261,6 @@ def context_template(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", prefix.alias("prefix"), F.char_length(F.concat_ws("\n", prefix, "text")).cast("bigint").alias("text_len"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN contains(text, '?') THEN 'question' WHEN len(regexp_extract_all(text, '[^ ]+')) <= 2 THEN 'short' ELSE 'pass' END decision
-FROM conversations WHERE role = 'user'""")
-def pre_gate(spark: SparkSession, d: str) -> DataFrame:
-    rule = F.when(F.char_length(F.trim("text")) == 0, "empty").when(F.contains("text", F.lit("?")), "question").when(F.regexp_count("text", F.lit("[^ ]+")) <= 2, "short").otherwise("pass")
-    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", rule.alias("decision"))
-
-
 @query("""SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) prev_role, lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT prev_len FROM conversations""")
 def prior_turn(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -291,16 +287,6 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.array(*cells).alias("x")).select(F.inline("x"))
 
 
-@query("""SELECT conv_id, turn, len(list_filter(cur, lambda x: NOT list_contains(prev, x)))::BIGINT n_added, len(list_filter(cur, lambda x: NOT list_contains(prev, x))) = 0 passed FROM (
-SELECT conv_id, turn, role, regexp_extract_all(text, '[0-9]+') cur, coalesce(lag(regexp_extract_all(text, '[0-9]+')) OVER (PARTITION BY conv_id ORDER BY turn), []) prev FROM conversations) WHERE role = 'assistant'""")
-def guard_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of an answer that the turn before does not have."""
-    w, cur = Window.partitionBy("conv_id").orderBy("turn"), F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", cur.alias("cur"), F.coalesce(F.lag(cur).over(w), F.array().cast("array<string>")).alias("prev"))
-    added = F.size(F.filter("cur", lambda x: ~F.array_contains("prev", x))).cast("bigint")
-    return rows.filter("role = 'assistant'").select("conv_id", "turn", added.alias("n_added"), (added == 0).alias("passed"))
-
-
 @query(f"WITH {GOLD} SELECT b.item_id, count(g.doc_id)::BIGINT n_docs FROM benchmark b LEFT JOIN gold g USING (item_id) GROUP BY 1")
 def evidence_containment(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").join(gold(spark, d), "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"))
@@ -327,22 +313,14 @@ def cache_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.format_string("%s_p%03d_300dpi", F.substring(F.sha2("text", 256), 1, 12), F.col("doc_id") % 50).alias("cache_key"))
 
 
-@query("""SELECT source, value, votes FROM (SELECT source, value, votes, row_number() OVER (PARTITION BY source ORDER BY votes DESC, first) r FROM (
-SELECT source, regexp_extract(text, '[0-9]+') value, count(*)::BIGINT votes, min(doc_id) first FROM documents WHERE regexp_matches(text, '[0-9]+') GROUP BY 1, 2)) WHERE r = 1""")
-def field_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Majority value of a field by source; ties go to the value seen first."""
-    rows = table(spark, d, "documents").filter(F.col("text").rlike("[0-9]+")).groupBy("source", F.regexp_extract("text", "[0-9]+", 0).alias("value")).agg(F.count("*").alias("votes"), F.min("doc_id").alias("first"))
-    best = F.max(F.struct("votes", (-F.col("first")).alias("early"), "value")).alias("m")
-    return rows.groupBy("source").agg(best).select("source", "m.value", "m.votes")
-
-
 @query("""SELECT source, value, votes FROM (SELECT source, value, votes, row_number() OVER (PARTITION BY source ORDER BY votes DESC, first) r FROM (
 SELECT source, value, count(value)::BIGINT votes, min({'doc': doc_id, 'pos': pos}) first FROM (SELECT source, doc_id, unnest(v) value, generate_subscripts(v, 1) pos FROM (
 SELECT source, doc_id, CASE WHEN len(v) = 0 THEN [NULL] ELSE v END v FROM (SELECT source, doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]+') v FROM documents))) GROUP BY 1, 2)) WHERE r = 1""")
-def field_vote_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every match counts; `field_vote` counts the first of each document only."""
+def field_vote(spark: SparkSession, d: str) -> DataFrame:
+    """Of all matches in a source the most frequent; ties go to the value seen first."""
     return R.votes(table(spark, d, "documents"), "[0-9]+")
 
+
 @query("""SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 2 = 0)""")
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +26,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: What queries of this driver stored for others, by application.
+_STORED: dict[tuple, Any] = {}
+
+
+def scratch(spark: SparkSession, key: tuple, build: Callable[[str], Any]) -> Any:
+    """build(path) once for an application and key; path is a new folder below spark.checkpoint.dir, which all executors share.
+
+    Only a local master may fall back to a temporary folder."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="tessera-")
+        _STORED[key] = build(f"{base}/{key[1]}-{uuid.uuid4().hex}")
+    return _STORED[key]
