@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,42 +14,70 @@ from tessera.functions import text as T
 K1, B, RRF_K, MMR_LAMBDA = 1.2, 0.75, 60, 0.5
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", level: str = T.PLAIN) -> DataFrame:
-    """key, term, tf, len: one tokenisation gives the terms and the length that they belong to."""
-    own = docs.select(key, T.tokens(F.col(text), level).alias("_t")).select(key, F.size("_t").cast("bigint").alias("len"), F.explode("_t").alias("term"))
-    return own.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+def counted(docs: DataFrame, key: str, text: str, level: str) -> DataFrame:
+    """key, len, terms, tfs: one tokenisation of each text, its terms counted where it stands, without a shuffle."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            bags = [Counter(t or ()) for t in batch.column("_t").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([sum(b.values()) for b in bags], pa.int64()), pa.array([list(b) for b in bags], pa.list_(pa.string())),
+                 pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))], [key, "len", "terms", "tfs"])
+
+    own = docs.select(key, T.tokens(F.col(text), level).alias("_t"))
+    return own.mapInArrow(run, f"{key} {own.schema[key].dataType.simpleString()}, len bigint, terms array<string>, tfs array<bigint>")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: rows are dealt anew only where a scan has fewer partitions than there are cores, as a single file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def postings(bags: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, tf, len of counted()'s rows."""
+    return bags.select(key, "len", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
 
 
 @dataclass
 class LexicalIndex:
-    """tf: doc_id, term, tf, len; lengths: doc_id, len of every document, those without terms among them; stats: n_docs, avgdl."""
+    """doc_id, len, terms and tfs of every document, a row each; those without terms too."""
 
-    tf: DataFrame
-    lengths: DataFrame
-    stats: DataFrame
+    docs: DataFrame
     level: str = T.PLAIN
+    kept: DataFrame | None = None  # term, df, where they are stored
 
     @classmethod
     def of(cls, docs: DataFrame, level: str = T.PLAIN) -> LexicalIndex:
-        lengths = docs.select("doc_id", F.coalesce(F.size(T.tokens(F.col("text"), level)), F.lit(0)).cast("bigint").alias("len"))
-        return cls(postings(docs, level=level), lengths, _stats(lengths), level)
+        return cls(counted(spread(docs.select("doc_id", "text")), "doc_id", "text", level), level)
 
     def stored(self, path: str) -> LexicalIndex:
-        """The same, written once and read by all that rank: later questions scan postings, not texts."""
-        spark = self.tf.sparkSession
-        self.tf.write.mode("overwrite").parquet(f"{path}/tf")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        lengths = spark.read.schema(self.lengths.schema).parquet(f"{path}/lengths")
-        return LexicalIndex(spark.read.schema(self.tf.schema).parquet(f"{path}/tf"), lengths, _stats(lengths), self.level)
+        """The same, written once and read by all that rank: later questions scan counted terms, not texts."""
+        spark = self.docs.sparkSession
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        own = LexicalIndex(spark.read.schema(self.docs.schema).parquet(f"{path}/docs"), self.level)
+        own.df.write.mode("overwrite").parquet(f"{path}/terms")
+        own.kept = spark.read.schema(own.df.schema).parquet(f"{path}/terms")
+        return own
+
+    @property
+    def df(self) -> DataFrame:
+        """term, df."""
+        return self.kept if self.kept is not None else self.tf.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def tf(self) -> DataFrame:
+        return postings(self.docs)
+
+    @property
+    def stats(self) -> DataFrame:
+        """n_docs, avgdl; one row."""
+        return self.docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.col("len").cast("double")), F.lit(0.0)).alias("avgdl"))
 
     def terms(self) -> DataFrame:
         """term, df, idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-        df = self.tf.groupBy("term").agg(F.count("*").alias("df"))
-        return df.crossJoin(F.broadcast(self.stats)).select("term", "df", _idf().alias("idf"))
-
-
-def _stats(lengths: DataFrame) -> DataFrame:
-    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg(F.col("len").cast("double")), F.lit(0.0)).alias("avgdl"))  # one row
+        return self.df.crossJoin(F.broadcast(self.stats)).select("term", "df", _idf().alias("idf"))
 
 
 def _idf() -> Column:
@@ -59,26 +88,80 @@ def bm25(index: LexicalIndex, questions: DataFrame, qid: str = "item_id", k: int
     """qid, doc_id, score, rnk <= k. Repeated question tokens count repeatedly; ties go to the smaller doc_id; documents that share
     no term with a question have score 0 and follow by id.
 
-    Only postings of question terms reach the join: the semi join prunes them before anything is scored. allowed (doc_id): what may
-    be ranked; idf and lengths stay those of the whole corpus, and postings of other documents go before they are scored."""
-    qtf = postings(questions, qid, level=index.level).select(qid, "term", F.col("tf").alias("qtf"))
-    tf = index.tf.join(qtf.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    ids = index.lengths.select("doc_id")
-    if allowed is not None:
-        tf, ids = tf.join(allowed, "doc_id", "left_semi"), ids.join(allowed, "doc_id", "left_semi")
-    one = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = (
-        qtf.join(df, "term").join(tf, "term").crossJoin(F.broadcast(index.stats))
-        .groupBy(qid, "doc_id").agg(F.round(F.sum(_idf() * one * F.col("qtf")), 6).alias("score"))
-    )
-    best = top(scored, qid, "score", "doc_id", k)
+    allowed (doc_id): what may be ranked; idf and lengths stay those of the whole corpus, other documents go before they are scored."""
+    qtf = postings(counted(questions, qid, "text", index.level), qid).select(qid, "term", F.col("tf").alias("qtf"))
+    asked = qtf.join(index.df, "term").crossJoin(F.broadcast(index.stats)).select(qid, "term", (_idf() * F.col("qtf")).alias("weight"), "avgdl")
+    docs = index.docs if allowed is None else index.docs.join(allowed, "doc_id", "left_semi")
+    best = products(docs, asked, qid, k)
     # a question that met fewer than k: the least ids fill up, so 2 * k rows a question are enough
     short = questions.select(qid).join(best.filter(F.col("rnk") == k).select(qid), qid, "left_anti")
-    fill = short.crossJoin(F.broadcast(ids.orderBy("doc_id").limit(2 * k))).join(best.select(qid, "doc_id"), [qid, "doc_id"], "left_anti")
+    fill = short.crossJoin(F.broadcast(docs.select("doc_id").orderBy("doc_id").limit(2 * k))).join(best.select(qid, "doc_id"), [qid, "doc_id"], "left_anti")
     return top(best.drop("rnk").unionByName(fill.withColumn("score", F.lit(0.0))), qid, "score", "doc_id", k)
 
 
+def products(docs: DataFrame, asked: DataFrame, qid: str, k: int, entries: int = 2_000_000) -> DataFrame:
+    """qid, doc_id, score, rnk <= k: sums of weight * saturated tf (with avgdl in asked) or weight * ln(1 + tf) over shared terms.
+
+    asked (qid, term, weight[, avgdl]) goes to the workers as blocks of a terms x questions matrix while it has at most `entries`
+    rows; each batch of documents then leaves k rows a question. Beyond that, terms meet in a join."""
+    saturated = "avgdl" in asked.columns
+    rows = asked.select(qid, "term", "weight", *(["avgdl"] if saturated else [])).limit(entries + 1).toPandas()
+    if len(rows) > entries:
+        one = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))) if saturated else F.log1p("tf")
+        met = asked.join(postings(docs), "term").groupBy(qid, "doc_id").agg(F.round(F.sum(F.col("weight") * one), 6).alias("score"))
+        return top(met, qid, "score", "doc_id", k)
+    avgdl = float(rows["avgdl"].iloc[0]) if saturated and len(rows) else 1.0
+    shared = docs.sparkSession.sparkContext.broadcast((rows[qid].to_numpy("int64"), rows["term"].tolist(), rows["weight"].to_numpy("float64")))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked_ids, terms, weights = shared.value
+        names, column = np.unique(asked_ids, return_inverse=True)
+        blocks, at = [], 0
+        while at < len(names):  # blocks of questions whose matrix stays under 32 MB
+            end = at
+            vocabulary: dict[str, int] = {}
+            order = []
+            while end < len(names) and (end == at or (len(vocabulary) + 1) * (end - at + 1) < 4_000_000) and end - at < 512:
+                mine = np.flatnonzero(column == end)
+                order.append(mine)
+                for i in mine:
+                    vocabulary.setdefault(terms[i], len(vocabulary))
+                end += 1
+            matrix = np.zeros((len(vocabulary), end - at))
+            for j, mine in enumerate(order):
+                for i in mine:
+                    matrix[vocabulary[terms[i]], j] += weights[i]
+            blocks.append((vocabulary, matrix, names[at:end]))
+            at = end
+        for batch in batches:
+            ids, length = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("len").to_numpy(zero_copy_only=False)
+            bags, tfs = batch.column("terms").to_pylist(), batch.column("tfs").to_pylist()
+            for vocabulary, matrix, own in blocks:
+                scores = np.zeros((len(ids), len(own)))
+                for d, (bag, tf) in enumerate(zip(bags, tfs)):
+                    met = [(vocabulary[t], n) for t, n in zip(bag, tf) if t in vocabulary]
+                    if met:
+                        idx, n = (np.array(x) for x in zip(*met))
+                        one = n * (K1 + 1) / (n + K1 * (1 - B + B * length[d] / avgdl)) if saturated else np.log1p(n)
+                        scores[d] = one @ matrix[idx]
+                scores = np.round(scores, 6)
+                out = ([], [], [])
+                for j, name in enumerate(own):
+                    found = np.flatnonzero(scores[:, j] > 0)
+                    if len(found) > k:
+                        found = found[scores[found, j] >= np.partition(scores[found, j], -k)[-k]]
+                        found = found[np.lexsort((ids[found], -scores[found, j]))[:k]]
+                    out[0].extend([name] * len(found))
+                    out[1].extend(ids[found])
+                    out[2].extend(scores[found, j])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], [qid, "doc_id", "score"])
+
+    return top(docs.select("doc_id", "len", "terms", "tfs").mapInArrow(run, f"{qid} bigint, doc_id bigint, score double"), qid, "score", "doc_id", k)
+
+
 def top(scored: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
     """The k best of each group; a group limit runs before the exchange."""
     w = Window.partitionBy(group).orderBy(F.col(score).desc(), key)

@@ -59,7 +59,7 @@ def tokenize_plain(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT token, count(*)::BIGINT df, round(count(*)::DOUBLE / (SELECT count(*) FROM documents), 6) ratio, token IN ({", ".join(f"'{w}'" for w in T.STOPWORDS)}) stopword
 FROM (SELECT unnest(list_distinct({TOK})) token FROM documents) GROUP BY 1 ORDER BY df DESC, token LIMIT 100""")
 def doc_frequency(spark: SparkSession, d: str) -> DataFrame:
-    df = lexical(spark, d).tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(lexical(spark, d).stats))
+    df = lexical(spark, d).df.crossJoin(F.broadcast(lexical(spark, d).stats))
     return df.select(F.col("term").alias("token"), "df", F.round(F.col("df") / F.col("n_docs"), 6).alias("ratio"), F.col("term").isin(*T.STOPWORDS).alias("stopword")).orderBy(F.col("df").desc(), "token").limit(100)
 
 
@@ -153,10 +153,8 @@ fused AS (SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id O
 
 
 def sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    q = R.postings(table(spark, d, "benchmark"), "item_id").select("item_id", "term", F.col("tf").alias("qtf"))
-    met = lexical(spark, d).tf.join(q, "term")
-    scored = met.groupBy("item_id", "doc_id").agg(F.round(F.sum(F.log1p("qtf") * F.log1p("tf")), 6).alias("s"))
-    return R.top(scored, "item_id", "s", "doc_id", k)
+    q = R.postings(R.counted(table(spark, d, "benchmark"), "item_id", "text", T.PLAIN), "item_id")
+    return R.products(lexical(spark, d).docs, q.select("item_id", "term", F.log1p("tf").alias("weight")), "item_id", k).withColumnRenamed("score", "s")
 
 
 @query(f"{LEGS} SELECT * FROM sp WHERE rnk <= 10")
