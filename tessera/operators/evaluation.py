@@ -140,3 +140,29 @@ def reading_lines(fragments: DataFrame, tolerance: float) -> DataFrame:
     # a line of a page holds few fragments
     parts = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("x1")).alias("x"), "fragment_id", "text"))), lambda s: s["text"])
     return rows.groupBy("page", "line").agg(F.array_join(parts, " ").alias("text"))
+
+
+def decided(recall: str, mrr: str, half: str, preferred: str = "a", other: str = "b") -> list[Column]:
+    """winner and basis from two differences (preferred minus other) and the half width of their intervals: measured only
+    where both intervals exclude zero on the same side; otherwise the preferred one, as metrics disagreed or tied."""
+    clear = (F.abs(recall) > F.col(half)) & (F.abs(mrr) > F.col(half))
+    agree = (F.col(recall) > 0) == (F.col(mrr) > 0)
+    winner = F.when(clear & agree & (F.col(recall) <= 0), other).otherwise(preferred)
+    return [winner.alias("winner"), F.when(clear & agree, "measurement").when(clear, "disagreed").otherwise("tie").alias("basis")]
+
+
+def calibrated(said: Column, label: Column) -> list[Column]:
+    """n, recall of the positive class (null without positives) and the share of cases not passed."""
+    return [
+        F.count("*").alias("n"), F.round(F.avg(F.when(label, said.cast("double"))), 6).alias("recall"),
+        F.round(F.avg((~said).cast("double")), 6).alias("block_rate"),
+    ]
+
+
+def result_rows(scores: DataFrame, question: str, arm: str, metrics: tuple[str, ...], required: int = 10) -> DataFrame:
+    """part, place, arm and a text for each metric: three places, or N/A where it was not judged."""
+    place = F.substring(question, 2, 20).cast("int")
+    shown = lambda m: F.coalesce(F.format_string("%.3f", F.round(F.max(F.when(F.col("metric") == m, F.col("score"))), 3)), F.lit("N/A"))
+    shown_or = lambda m: F.when(F.max(F.when(F.col("metric") == m, F.col("score"))).isNull(), "N/A").otherwise(shown(m)).alias(m)
+    rows = scores.groupBy(place.alias("place"), F.col(arm).alias("arm")).agg(*map(shown_or, metrics))
+    return rows.select(F.when(F.col("place") <= required, "required").otherwise("supplementary").alias("part"), "*")

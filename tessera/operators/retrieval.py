@@ -261,6 +261,16 @@ def rrf(legs: DataFrame, qid: str = "item_id", k: int = 10) -> DataFrame:
     return top(fused, qid, "rrf", "doc_id", k)
 
 
+def fuse_queries(ranked: DataFrame, qid: str, sub: str, k: int = 10) -> DataFrame:
+    """qid, doc_id, rnk, score and absolute from (qid, sub, doc_id, rnk, score): the rankings of a question's sub-questions fused
+    by rank. A question with one ranking keeps it, cut at k, and its scores stay absolute; fused ones are not."""
+    single = ranked.groupBy(qid).agg((F.min(sub) == F.max(sub)).alias("_one"))
+    rows = ranked.join(single, qid)
+    alone = rows.filter(F.col("_one") & (F.col("rnk") <= k)).select(qid, "doc_id", "rnk", "score", F.lit(True).alias("absolute"))
+    fused = rrf(rows.filter(~F.col("_one")), qid, k).select(qid, "doc_id", "rnk", F.col("rrf").alias("score"), F.lit(False).alias("absolute"))
+    return alone.unionByName(fused)
+
+
 def caps(ranked: DataFrame, qid: str, per_source: int, per_page: int) -> DataFrame:
     """Keeps of each question per_source rows of a source and per_page of a page, and ranks anew."""
     by_page = Window.partitionBy(qid, "source", "page").orderBy("rnk")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
-from tessera.plans import chunks, evaluation, ledgers, parsing, rows, texts  # noqa: F401  they register their queries
+from tessera.plans import chunks, evaluation, ledgers, parsing, rows, store, texts  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES, query, scratch, table  # noqa: F401
 from tessera.plans.sql import CLEAN, MARKED, TOK, tokens_sql
 
@@ -171,6 +171,22 @@ def rrf(spark: SparkSession, d: str) -> DataFrame:
     return fused(spark, d, 10)
 
 
+@query(f"""{SCORED}, r AS (SELECT item_id // 3 question, item_id, doc_id, rnk, score, count(DISTINCT item_id) OVER (PARTITION BY item_id // 3) subs FROM ranked WHERE rnk <= 10)
+SELECT question, doc_id, rnk, score, true absolute FROM r WHERE subs = 1 UNION ALL SELECT question, doc_id, n, s, false FROM (
+SELECT question, doc_id, s, row_number() OVER (PARTITION BY question ORDER BY s DESC, doc_id)::INT n FROM (SELECT question, doc_id, round(sum(1.0::DOUBLE / (60 + rnk)), 8) s FROM r WHERE subs > 1 GROUP BY 1, 2)) WHERE n <= 10""")
+def fuse_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Three passages are the sub-questions of one question; a question left with one keeps its ranking."""
+    rows = ranking(spark, d).withColumn("question", F.expr("item_id div 3"))
+    return R.fuse_queries(rows, "question", "item_id")
+
+
+@query(f"{SCORED} SELECT item_id, count(*)::BIGINT hits, array_to_string(list(doc_id ORDER BY doc_id), ' ') distractors FROM ranked WHERE rnk <= 10 AND doc_id % 7 = item_id % 7 GROUP BY 1")
+def distractor_hits(spark: SparkSession, d: str) -> DataFrame:
+    """A question's distractors among its ten answers, by id."""
+    hits = ranking(spark, d).filter("doc_id % 7 = item_id % 7").groupBy("item_id")
+    return hits.agg(F.count("*").alias("hits"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("distractors"))
+
+
 MODES = f"""{LEGS}, modes AS (SELECT 'bm25' "mode", item_id, doc_id, rnk FROM bm WHERE rnk <= 10 UNION ALL SELECT 'sparse', item_id, doc_id, rnk FROM sp WHERE rnk <= 10
 UNION ALL SELECT 'hybrid', item_id, doc_id, rnk FROM fused WHERE rnk <= 10)"""
 
