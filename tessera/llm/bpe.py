@@ -21,7 +21,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, sliced
+from .common import lean, share, sliced
 
 LONG, CACHED = 400, 48_000_000
 NONE = 1 << 60
@@ -222,7 +222,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", cached: int = CAC
                 [*batch.schema.names, "ids", "decoded"],
             )
 
-    return df.select(*kept).mapInArrow(run, ", ".join([*schema, "ids binary", "decoded string"]))
+    return df.select(*kept).mapInArrow(lean(run), ", ".join([*schema, "ids binary", "decoded string"]))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -80,6 +80,30 @@ def sliced(batches, text: str = "text", rows: int = 256, size: int = 1 << 20):
             yield batch.slice(a, b - a)
 
 
+def lean(run):
+    """The task function `run` over Arrow batches; at its end the worker, which lives on, returns what it no longer holds to the system."""
+
+    def own(batches):
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
+def give_back() -> None:
+    """Free pages of this process go back to the system, where its C library can do so."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

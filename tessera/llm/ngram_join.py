@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ranked, share, sliced
+from .common import cut, lean, ranked, share, sliced
 from .components import components
 
 WORDS, BOUND = 5, 80  # words of a shingle; per cent of the union
@@ -163,7 +163,7 @@ def _fresh_cells(docs: DataFrame, old, new) -> DataFrame:
             flat = np.concatenate([*cells, np.empty(0, "int64")])
             yield pa.RecordBatch.from_arrays([pa.array(flat)], ["h"])
 
-    return docs.select("text").mapInArrow(run, "h bigint")
+    return docs.select("text").mapInArrow(lean(run), "h bigint")
 
 
 def _order(docs: DataFrame):
@@ -208,7 +208,7 @@ def _rows(docs: DataFrame, order) -> DataFrame:
                 ["doc_id", "n", "class", "cells", "bits", "bare"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, class binary, cells array<bigint>, bits array<bigint>, bare string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n bigint, class binary, cells array<bigint>, bits array<bigint>, bare string")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
 
     def side(end: str, name: str) -> DataFrame:
         texts = docs.join(small(pairs, count), docs["node"] == pairs[end]).select("a", "b", "text")
-        return texts.mapInArrow(run, "a bigint, b bigint, own array<bigint>").withColumnRenamed("own", name)
+        return texts.mapInArrow(lean(run), "a bigint, b bigint, own array<bigint>").withColumnRenamed("own", name)
 
     common = F.size(F.array_intersect("x", "y"))
     reach = 100 * common >= BOUND * (F.size("x") + F.size("y") - common)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, text_of
+from .common import lean, share, text_of
 
 SAMPLE, BUCKETS, LABELLERS, LONGEST = 4000, 1 << 12, 8, 20_000
 
@@ -119,4 +119,4 @@ def score(df: DataFrame, weights, text: str = "text") -> DataFrame:
             out = [float(1 / (1 + np.exp(-np.clip(w[i] @ x, -30, 30)))) for i, x in made]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
 
-    return df.select(*kept).mapInArrow(run, ", ".join([*schema, "score double"]))
+    return df.select(*kept).mapInArrow(lean(run), ", ".join([*schema, "score double"]))

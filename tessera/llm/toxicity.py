@@ -26,7 +26,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import share, sliced
+from .common import lean, share, sliced
 
 POSITIVE, NEGATIVE, LONGEST = 2500, 5000, 20_000
 FOLDS, WIDTH, STRIDE, HIDDEN, ATTEND = 5, 24, 12, 8, 8
@@ -492,4 +492,4 @@ def score(df: DataFrame, model: Scorer, text: str = "text") -> DataFrame:
             flat = [float(x) for part in found for x in part]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flat, pa.float64())], [*batch.schema.names, "score"])
 
-    return df.select(*kept).mapInArrow(run, ", ".join([*schema, "score double"]))
+    return df.select(*kept).mapInArrow(lean(run), ", ".join([*schema, "score double"]))
