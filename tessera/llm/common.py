@@ -40,6 +40,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_clean(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+    """cut() of a plan that nothing else runs again: the files of its shuffles go once the table is written, so that the disk
+    holds those of one step at a time."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(key, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def share(spark: SparkSession, value):
     """value as a broadcast; callers prove its bound."""
     made = spark.sparkContext.broadcast(value)
@@ -80,6 +95,32 @@ def sliced(batches, text: str = "text", rows: int = 256, size: int = 1 << 20):
             yield batch.slice(a, b - a)
 
 
+def read_bytes(column):
+    """UTF-8 bytes of each text of an Arrow column as views of its buffer; null as none."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.empty(0, np.uint8)
+    for i in range(len(column)):
+        yield data[offsets[i] : offsets[i + 1]]
+
+
+def word_lcp(words):
+    """Leading bytes that each row of big-endian 8-byte digits shares with the row before it; 0 for the first."""
+    import numpy as np
+
+    out = np.zeros(len(words), np.int64)
+    if len(words) > 1:
+        x = words[1:] ^ words[:-1]
+        same = np.append(x == 0, np.zeros((len(x), 1), bool), axis=1)
+        at = np.argmin(same, axis=1)
+        digit = np.append(x, np.full((len(x), 1), (1 << 64) - 1, np.uint64), axis=1)[np.arange(len(x)), at]
+        out[1:] = at * 8 + sum((digit < np.uint64(1 << (8 * i))).astype(np.int64) for i in range(1, 8))
+    return out
+
+
 def lean(run):
     """The task function `run` over Arrow batches; at its end the worker, which lives on, returns what it no longer holds to the system."""
 
