@@ -52,6 +52,11 @@ SPACES = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}
 FOREIGN = rf"[^\x{{0}}-\x{{7F}}\x{{600}}-\x{{6FF}}\x{{750}}-\x{{77F}}{SPACES}\x{{2013}}\x{{2014}}\x{{2022}}\x{{2026}}\x{{AB}}\x{{BB}}\x{{201C}}\x{{201D}}\x{{2018}}\x{{2019}}\x{{B0}}\x{{B1}}\x{{D7}}\x{{F7}}\x{{A7}}\x{{B6}}]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_letters(text: Column) -> Column:
     """Letters that comparisons don't tell apart; never for what is stored."""
     return F.translate(text, SEATS, SEATS_AS)

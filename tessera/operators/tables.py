@@ -72,9 +72,9 @@ def line(cells: Column) -> Column:
     return F.array_join(cells, " | ")
 
 
-def grid_chunks(rows: DataFrame) -> DataFrame:
-    """table_id, first, last, text, chunk_type: grids of few rows whole, larger ones a chunk a row, the header with each."""
-    kinds = table_kinds(rows).filter("kind in ('grid', 'revision') and header_idx is not null")
+def grid_chunks(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """table_id, first, last, text, chunk_type: grids of few rows whole, larger ones a chunk a row, the header with each; known are table_kinds()."""
+    kinds = (table_kinds(rows) if known is None else known).filter("kind in ('grid', 'revision') and header_idx is not null")
     data = rows.filter(F.size("cells") > 0).join(kinds, "table_id").filter(F.col("idx") != F.col("header_idx"))
     type_ = F.when(F.col("kind") == "revision", "revision").when(F.col("n_rows") - 1 > WHOLE, "grid_row").otherwise("grid_table")
     counted = data.withColumn("_n", F.count("*").over(Window.partitionBy("table_id"))).withColumn("chunk_type", type_)
@@ -85,9 +85,9 @@ def grid_chunks(rows: DataFrame) -> DataFrame:
     return each.unionByName(whole.select("table_id", F.lit(0).alias("first"), (F.col("n_rows") - 1).cast("int").alias("last"), F.concat(line(F.col("header")), F.lit("\n"), "_b").alias("text"), "chunk_type"))
 
 
-def accounting_entries(rows: DataFrame) -> DataFrame:
-    """table_id, first, last, text: a new entry begins at a row that is no account line and follows one."""
-    kinds = table_kinds(rows).filter("kind = 'accounting'").select("table_id")
+def accounting_entries(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """table_id, first, last, text: a new entry begins at a row that is no account line and follows one; known are table_kinds()."""
+    kinds = (table_kinds(rows) if known is None else known).filter("kind = 'accounting'").select("table_id")
     account = (F.size("cells") > 1) | T.fold_letters(F.get("cells", F.lit(0))).rlike(ACCOUNT)
     w = Window.partitionBy("table_id").orderBy("idx")
     own = rows.join(kinds, "table_id").withColumn("_a", account)

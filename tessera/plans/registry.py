@@ -38,10 +38,22 @@ def scratch(spark: SparkSession, key: tuple, build: Callable[[str], Any]) -> Any
     Only a local master may fall back to a temporary folder."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _STORED:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="tessera-")
-        _STORED[key] = build(f"{base}/{key[1]}-{uuid.uuid4().hex}")
+        _STORED[key] = build(_new(spark, key[1]))
     return _STORED[key]
+
+
+def _new(spark: SparkSession, label: str) -> str:
+    """A new folder below spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: a plan that several branches read is worked out once, and a lost executor costs none of it."""
+    path = _new(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
