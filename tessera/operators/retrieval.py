@@ -15,7 +15,7 @@ K1, B, RRF_K, MMR_LAMBDA = 1.2, 0.75, 60, 0.5
 
 
 def counted(docs: DataFrame, key: str, text: str, level: str) -> DataFrame:
-    """key, len, terms, tfs: one tokenisation of each text, its terms counted where it stands, without a shuffle."""
+    """key, len, terms, tfs: one tokenisation of each text, its terms counted where it stands, without a shuffle; rows without a key are none."""
     import pyarrow as pa
 
     def run(batches):
@@ -25,7 +25,7 @@ def counted(docs: DataFrame, key: str, text: str, level: str) -> DataFrame:
                 [batch.column(0), pa.array([sum(b.values()) for b in bags], pa.int64()), pa.array([list(b) for b in bags], pa.list_(pa.string())),
                  pa.array([list(b.values()) for b in bags], pa.list_(pa.int64()))], [key, "len", "terms", "tfs"])
 
-    own = docs.select(key, T.tokens(F.col(text), level).alias("_t"))
+    own = docs.where(F.col(key).isNotNull()).select(key, T.tokens(F.col(text), level).alias("_t"))
     return own.mapInArrow(run, f"{key} {own.schema[key].dataType.simpleString()}, len bigint, terms array<string>, tfs array<bigint>")
 
 
@@ -94,7 +94,7 @@ def bm25(index: LexicalIndex, questions: DataFrame, qid: str = "item_id", k: int
     docs = index.docs if allowed is None else index.docs.join(allowed, "doc_id", "left_semi")
     best = products(docs, asked, qid, k)
     # a question that met fewer than k: the least ids fill up, so 2 * k rows a question are enough
-    short = questions.select(qid).join(best.filter(F.col("rnk") == k).select(qid), qid, "left_anti")
+    short = questions.select(qid).where(F.col(qid).isNotNull()).join(best.filter(F.col("rnk") == k).select(qid), qid, "left_anti")
     fill = short.crossJoin(F.broadcast(docs.select("doc_id").orderBy("doc_id").limit(2 * k))).join(best.select(qid, "doc_id"), [qid, "doc_id"], "left_anti")
     return top(best.drop("rnk").unionByName(fill.withColumn("score", F.lit(0.0))), qid, "score", "doc_id", k)
 
@@ -172,10 +172,16 @@ def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector is there and all its components are numbers."""
+    return vector.isNotNull() & F.forall(F.coalesce(vector, F.array().cast("array<double>")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, panel: int = 2048) -> DataFrame:
     """qid, vec_id, cos, rnk: a stated query set (qid, q) against all vectors, as matrix products of blocks and panels.
 
-    A block of vectors and a panel of queries are one row each, so what meets are rows of some MB; each product leaves k rows a query."""
+    A block of vectors and a panel of queries are one row each, so what meets are rows of some MB; each product leaves k rows a query.
+    Rows without an id or a vector, or with a null or non-finite component, take no part on either side."""
     import numpy as np
     import pyarrow as pa
 
@@ -190,7 +196,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096
                     m = m / np.where(norm > 0, norm, 1)[:, None]
                     yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("int64").tobytes()]), pa.array([wide], pa.int32()), pa.array([m.tobytes()])], [f"{names}_ids", f"{names}_w", f"{names}_m"])
 
-        return df.select(F.col(key).cast("bigint"), vector).filter(f"{key} is not null and {vector} is not null").mapInArrow(run, f"{names}_ids binary, {names}_w int, {names}_m binary")
+        return df.select(F.col(key).cast("bigint"), vector).filter(F.col(key).isNotNull() & finite(F.col(vector))).mapInArrow(run, f"{names}_ids binary, {names}_w int, {names}_m binary")
 
     def product(batches):
         for batch in batches:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tessera.operators import corpus as C
 from tessera.operators import passages as P
 from tessera.operators import tables as R
-from tessera.plans.registry import query, stored, table
+from tessera.plans.registry import ORACLE_SQL, query, stored, table
 from tessera.plans.rows import KINDS, LABEL, ROWS, TABLES, rows
 from tessera.plans.sql import fold
+from tessera.plans.texts import RULES
 
 #: What a page says, in SQL of both engines.
 TOP = {0: "'المو افقات'", 1: "'02/2026'", 2: "concat('3. إجراء ', CAST(o_custkey % 9 AS STRING))", 3: "concat('أولا: قسم ', CAST(o_custkey % 5 AS STRING))", 4: "''", 5: "concat('نص حر ', o_orderpriority)", 6: "' الاجراءات '"}
@@ -114,6 +115,11 @@ def chunk_corpus(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_corpus(pages(spark, d), own, stored(C.states(pages(spark, d), own), "states")).drop("extraction_quality")
 
 
+#: Procedures of all pages with nothing said between them.
+ORACLE_SQL["procedure_chunks"] = f"""WITH {ROWS}, {KINDS}, {TABLES}, se AS (SELECT '' source, 0 page, 0 pos, '' lvl, '' txt WHERE false), sb AS (SELECT '' source, 0 page WHERE false),
+{STREAM.replace("WHERE page > 2", "").replace(BREAK, "false")}, {RUNS} SELECT tno::BIGINT table_id, "first"::INT "first", "last"::INT "last", "text", chunk_type, unit, actor, path section_path FROM pr"""
+ORACLE_SQL["prose_chunks"] = f"""WITH sb AS (SELECT doc_id source, 9 page, {RULES} body FROM documents), {PIECES} SELECT source doc_id, i nth, "text" piece FROM pc"""
+
 #: What the gates count: with every seventh table's first chunk lost and every ninth's said twice, they have something to find.
 DAMAGED = "chunk_type = 'prose' OR table_no % 7 != 0 OR \"first\" > 1"
 

@@ -17,7 +17,7 @@ LISTED = """CASE doc_id % 6 WHEN 0 THEN '{"queries": ["a", " ", "b c", "d", "e",
 ASKED = """CASE doc_id % 6 WHEN 0 THEN '{"semantic_query": " q ", "filters": {"source": "src1", "page": 4, "issue_date_after": "2019"}}' WHEN 1 THEN '{"filters": {"source": "nowhere", "chunk_type": "en", "issue_date_before": "x1"}}' WHEN 2 THEN '{"semantic_query": 5, "filters": []}'
 WHEN 3 THEN 'oops' WHEN 4 THEN '{"semantic_query": "", "filters": {"chunk_type": "de", "issue_date_before": 2024}}' ELSE concat('{"semantic_query": "', lang, '"}') END"""
 JUDGED = """CASE doc_id % 5 WHEN 0 THEN '{"verdict": "correct", "entailed": true, "score": 0.5}' WHEN 1 THEN '{"verdict": "sure", "entailed": "no", "score": "0.25"}' WHEN 2 THEN 'broken' WHEN 3 THEN '{"verdict": "incorrect", "score": "n/a"}' ELSE '{"entailed": false}' END"""
-SOURCES, TYPES = tuple(f"src{i}" for i in range(8)), ("en", "de", "fr", "es")
+SOURCES, TYPES = tuple(f"src{i}" for i in range(20)), ("en", "de", "fr", "es")
 TECHNIQUES = "[" + ", ".join(f"'{t}'" for t in P.TECHNIQUES) + "]"
 
 
