@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
-from tessera.plans import chunks, corpus, entailment, evaluation, layout, ledgers, parsing, rows, store, techniques, texts  # noqa: F401  they register their queries
+from tessera.plans import chunks, corpus, entailment, evaluation, layout, ledgers, parsing, rows, store, texts  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES, query, scratch, table  # noqa: F401
 from tessera.plans.sql import CLEAN, MARKED, TOK, tokens_sql
 
@@ -339,3 +339,7 @@ def field_vote(spark: SparkSession, d: str) -> DataFrame:
 def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.join(e.filter("user_id % 2 = 0").select("event_id"), "event_id", "left_anti").select("event_id")
+
+
+# these read the index and the rankings above
+from tessera.plans import encoders, techniques  # noqa: E402, F401
