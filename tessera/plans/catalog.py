@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
-from tessera.plans import chunks, corpus, entailment, evaluation, layout, ledgers, parsing, rows, store, texts  # noqa: F401  they register their queries
+from tessera.plans import chunks, corpus, entailment, evaluation, golden as golden_sets, layout, ledgers, parsing, rows, store, texts  # noqa: F401  they register their queries
 from tessera.plans.registry import ORACLE_SQL, QUERIES, query, scratch, table  # noqa: F401
 from tessera.plans.sql import CLEAN, MARKED, TOK, tokens_sql
 
