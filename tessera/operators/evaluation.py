@@ -71,39 +71,54 @@ def pairs(runs: DataFrame, a: str, b: str, key: str, metric: str) -> DataFrame:
     return arm(a, "a").join(arm(b, "b"), key)
 
 
-def bootstrap(paired: DataFrame, by: str, key: str, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """by, n, diff, low, high: mean difference a - b and the bounds of its resampled means; a golden set's questions are few."""
+def bootstrap(paired: DataFrame, by: str, key: str, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = 0, entries: int = 1 << 22) -> DataFrame:
+    """by, n, diff, low, high: mean difference a - b and the bounds of its resampled means. A group holds one number a question;
+    resamples are drawn `entries` at a time, so memory grows with the questions, not with the resamples."""
     import numpy as np
 
     def interval(g: pd.DataFrame) -> pd.DataFrame:
         d = (g.sort_values(key)["a"] - g.sort_values(key)["b"]).to_numpy("float64")
-        rng = np.random.default_rng(seed)
-        means = d[rng.integers(0, len(d), (resamples, len(d)))].mean(1)
+        rng, step = np.random.default_rng(seed), max(1, entries // len(d))
+        means = np.concatenate([d[rng.integers(0, len(d), (min(step, resamples - i), len(d)))].mean(1) for i in range(0, resamples, step)])
         low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
         return pd.DataFrame({by: [g[by].iloc[0]], "n": [len(d)], "diff": [d.mean()], "low": [low], "high": [high]})
 
     return paired.groupBy(by).applyInPandas(interval, f"{by} string, n bigint, diff double, low double, high double")
 
 
-def crag_threshold(scores: DataFrame, key: str, score: str, step: float = 0.02) -> DataFrame:
-    """key, threshold: halfway to the next higher score (or step above), for every row; others_below counts lower ones."""
-    w = Window.orderBy(score)
-    ranked = scores.groupBy(score).agg(F.count("*").alias("_n")).withColumns({"_next": F.lead(score).over(w), "others_below": F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+def crag_threshold(scores: DataFrame, key: str, score: str, step: float = 0.02, parts: int = 1024) -> DataFrame:
+    """key, threshold: halfway to the next higher score (or step above), for every row; others_below counts lower ones.
+
+    Scores lie in `parts` equal stretches between the least and the greatest; windows run inside a stretch, and one over the
+    stretches' counts and least scores, a row each, tells what lies before and after."""
+    ends = F.broadcast(scores.agg(F.min(score).alias("_low"), F.max(score).alias("_high")))  # one row
+    at = F.coalesce(F.floor((F.col(score) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)) * parts), F.lit(0)).cast("int")
+    levels = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("_n")).crossJoin(ends).withColumn("_part", at).drop("_low", "_high")
+    over = Window.orderBy("_part")
+    sizes = levels.groupBy("_part").agg(F.sum("_n").alias("_all"), F.min(score).alias("_first"))
+    around = F.broadcast(sizes.select("_part", F.coalesce(F.sum("_all").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(over).alias("_after")))
+    w = Window.partitionBy("_part").orderBy(score)
+    below = F.col("_before") + F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = levels.join(around, "_part").withColumns({"_next": F.coalesce(F.lead(score).over(w), F.col("_after")), "others_below": below})
     level = (F.col(score) + F.coalesce("_next", F.col(score) + step)) / 2
     return scores.join(ranked.select(score, level.alias("threshold"), "others_below"), score).select(key, F.round("threshold", 6).alias("threshold"), "others_below")
 
 
 def stratified(rows: DataFrame, n: int) -> DataFrame:
-    """The first row (by seq) of each (type, source), in their order, then others by seq, n in all."""
-    first = F.row_number().over(Window.partitionBy("type", "source").orderBy("seq")) == 1
+    """The first row (by seq) of each (type, source), in their order, then others by seq, n in all. Rows with the least seq are found by aggregation."""
+    first = rows.groupBy("type", "source").agg(F.min("seq").alias("seq")).withColumn("_first", F.lit(True))
+    same = (F.col("f.seq") == F.col("r.seq")) & F.col("f.type").eqNullSafe(F.col("r.type")) & F.col("f.source").eqNullSafe(F.col("r.source"))
+    marked = rows.alias("r").join(first.alias("f"), same, "left").select("r.*", F.coalesce("f._first", F.lit(False)).alias("_first"))
     order = [F.col("_first").desc(), F.when(F.col("_first"), F.col("type")), F.when(F.col("_first"), F.col("source")), F.col("seq")]
-    return rows.withColumn("_first", first).orderBy(*order).limit(n).drop("_first")
+    return marked.orderBy(*order).limit(n).drop("_first")
 
 
 def chunks_on_page(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (slug, asked) with the chunks whose pages reach over it; an end of 0 or null is the start."""
+    """asked (slug, asked) with the chunks whose pages reach over it; an end of 0 or null is the start. A chunk goes to each page
+    that it reaches, so pages meet their own chunks."""
     end = F.coalesce(F.nullif("end_page", F.lit(0)), F.col("page"))
-    return asked.join(chunks, "slug").filter((F.col("page") <= F.col("asked")) & (F.col("asked") <= end))
+    pages = chunks.where(end >= F.col("page")).withColumn("asked", F.explode(F.sequence("page", end)))
+    return asked.join(pages, ["slug", "asked"])
 
 
 def union_box(boxes: Column) -> Column:
@@ -123,12 +138,15 @@ def bands(box: Column, n: Column) -> Column:
     return F.when(n < 1, F.array(box)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), cut))
 
 
-def claimed(fragments: DataFrame, rects: DataFrame) -> DataFrame:
-    """fragment_id, rect_id: each fragment whose centre lies in rectangles of its page goes to the first of them in order."""
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    f = fragments.select("page", "fragment_id", cx.alias("cx"), cy.alias("cy"))
+def claimed(fragments: DataFrame, rects: DataFrame, bin_size: float = 256.0) -> DataFrame:
+    """fragment_id, rect_id: each fragment whose centre lies in rectangles of its page goes to the first of them in order. Both meet in the bins that a rectangle touches."""
+    at = lambda c: F.floor(c / bin_size)
+    f = fragments.select("page", "fragment_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    f = f.withColumns({"_bx": at(F.col("cx")), "_by": at(F.col("cy"))})
+    binned = rects.where("rx0 <= rx1 and ry0 <= ry1").withColumn("_bx", F.explode(F.sequence(at(F.col("rx0")), at(F.col("rx1")))))
+    binned = binned.withColumn("_by", F.explode(F.sequence(at(F.col("ry0")), at(F.col("ry1")))))
     inside = F.col("cx").between(F.col("rx0"), F.col("rx1")) & F.col("cy").between(F.col("ry0"), F.col("ry1"))
-    return f.join(rects, "page").filter(inside).groupBy("fragment_id").agg(F.min("rect_id").alias("rect_id"))
+    return f.join(binned, ["page", "_bx", "_by"]).filter(inside).groupBy("fragment_id").agg(F.min("rect_id").alias("rect_id"))
 
 
 def reading_lines(fragments: DataFrame, tolerance: float) -> DataFrame:

@@ -42,7 +42,9 @@ def postings(bags: DataFrame, key: str = "doc_id") -> DataFrame:
 
 @dataclass
 class LexicalIndex:
-    """doc_id, len, terms and tfs of every document, a row each; those without terms too."""
+    """doc_id, len, terms, tfs and ids (64-bit hashes of the terms) of every document, a row each; those without terms too.
+
+    Rankings meet terms by hash: two of a billion terms share one with a chance of 3 in 100."""
 
     docs: DataFrame
     level: str = T.PLAIN
@@ -50,7 +52,7 @@ class LexicalIndex:
 
     @classmethod
     def of(cls, docs: DataFrame, level: str = T.PLAIN) -> LexicalIndex:
-        return cls(counted(spread(docs.select("doc_id", "text")), "doc_id", "text", level), level)
+        return cls(counted(spread(docs.select("doc_id", "text")), "doc_id", "text", level).withColumn("ids", F.transform("terms", lambda t: F.xxhash64(t))), level)
 
     def stored(self, path: str) -> LexicalIndex:
         """The same, written once and read by all that rank: later questions scan counted terms, not texts."""
@@ -102,64 +104,71 @@ def bm25(index: LexicalIndex, questions: DataFrame, qid: str = "item_id", k: int
 def products(docs: DataFrame, asked: DataFrame, qid: str, k: int, entries: int = 2_000_000) -> DataFrame:
     """qid, doc_id, score, rnk <= k: sums of weight * saturated tf (with avgdl in asked) or weight * ln(1 + tf) over shared terms.
 
-    asked (qid, term, weight[, avgdl]) goes to the workers as blocks of a terms x questions matrix while it has at most `entries`
-    rows; each batch of documents then leaves k rows a question. Beyond that, terms meet in a join."""
+    asked (qid, term, weight[, avgdl]) goes to the workers as numbers, at most `entries` rows of 32 bytes, and there becomes blocks of
+    a terms x questions matrix. A slice of documents becomes a matrix of its own, documents x terms of the block, and their
+    product leaves k rows a question. Beyond that many rows, terms meet in a join."""
     saturated = "avgdl" in asked.columns
-    rows = asked.select(qid, "term", "weight", *(["avgdl"] if saturated else [])).limit(entries + 1).toPandas()
+    rows = asked.select(qid, F.xxhash64("term").alias("id"), "weight", *(["avgdl"] if saturated else [])).limit(entries + 1).toPandas()
     if len(rows) > entries:
         one = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))) if saturated else F.log1p("tf")
         met = asked.join(postings(docs), "term").groupBy(qid, "doc_id").agg(F.round(F.sum(F.col("weight") * one), 6).alias("score"))
         return top(met, qid, "score", "doc_id", k)
     avgdl = float(rows["avgdl"].iloc[0]) if saturated and len(rows) else 1.0
-    shared = docs.sparkSession.sparkContext.broadcast((rows[qid].to_numpy("int64"), rows["term"].tolist(), rows["weight"].to_numpy("float64")))
+    rows = rows.sort_values(qid)
+    shared = docs.sparkSession.sparkContext.broadcast((rows[qid].to_numpy("int64"), rows["id"].to_numpy("int64"), rows["weight"].to_numpy("float64")))
+    cells = 4_000_000  # doubles of a block's matrix and of a slice's
+
+    def blocks(asked_ids, ids, weights):
+        """Vocabulary, matrix and questions of each block, cut where the matrix or its questions would grow too many."""
+        import numpy as np
+
+        names, starts = np.unique(asked_ids, return_index=True)
+        ends, at = np.append(starts[1:], len(asked_ids)), 0
+        while at < len(names):
+            width = max(1, min(512, len(names) - at))
+            while width > 1 and len(np.unique(ids[starts[at] : ends[at + width - 1]])) * width > cells:
+                width //= 2
+            part = slice(starts[at], ends[at + width - 1])
+            vocabulary, row = np.unique(ids[part], return_inverse=True)
+            matrix = np.zeros((len(vocabulary), width))
+            np.add.at(matrix, (row, np.searchsorted(names[at : at + width], asked_ids[part])), weights[part])
+            yield vocabulary, matrix, names[at : at + width]
+            at += width
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        asked_ids, terms, weights = shared.value
-        names, column = np.unique(asked_ids, return_inverse=True)
-        blocks, at = [], 0
-        while at < len(names):  # blocks of questions whose matrix stays under 32 MB
-            end = at
-            vocabulary: dict[str, int] = {}
-            order = []
-            while end < len(names) and (end == at or (len(vocabulary) + 1) * (end - at + 1) < 4_000_000) and end - at < 512:
-                mine = np.flatnonzero(column == end)
-                order.append(mine)
-                for i in mine:
-                    vocabulary.setdefault(terms[i], len(vocabulary))
-                end += 1
-            matrix = np.zeros((len(vocabulary), end - at))
-            for j, mine in enumerate(order):
-                for i in mine:
-                    matrix[vocabulary[terms[i]], j] += weights[i]
-            blocks.append((vocabulary, matrix, names[at:end]))
-            at = end
+        made = list(blocks(*shared.value))
         for batch in batches:
-            ids, length = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("len").to_numpy(zero_copy_only=False)
-            bags, tfs = batch.column("terms").to_pylist(), batch.column("tfs").to_pylist()
-            for vocabulary, matrix, own in blocks:
-                scores = np.zeros((len(ids), len(own)))
-                for d, (bag, tf) in enumerate(zip(bags, tfs)):
-                    met = [(vocabulary[t], n) for t, n in zip(bag, tf) if t in vocabulary]
-                    if met:
-                        idx, n = (np.array(x) for x in zip(*met))
-                        one = n * (K1 + 1) / (n + K1 * (1 - B + B * length[d] / avgdl)) if saturated else np.log1p(n)
-                        scores[d] = one @ matrix[idx]
-                scores = np.round(scores, 6)
-                out = ([], [], [])
-                for j, name in enumerate(own):
-                    found = np.flatnonzero(scores[:, j] > 0)
-                    if len(found) > k:
-                        found = found[scores[found, j] >= np.partition(scores[found, j], -k)[-k]]
-                        found = found[np.lexsort((ids[found], -scores[found, j]))[:k]]
-                    out[0].extend([name] * len(found))
-                    out[1].extend(ids[found])
-                    out[2].extend(scores[found, j])
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], [qid, "doc_id", "score"])
-
-    return top(docs.select("doc_id", "len", "terms", "tfs").mapInArrow(run, f"{qid} bigint, doc_id bigint, score double"), qid, "score", "doc_id", k)
+            docs_, length, bags, tfs = (batch.column(c) for c in ("doc_id", "len", "ids", "tfs"))
+            ids, length = docs_.to_numpy(zero_copy_only=False), length.to_numpy(zero_copy_only=False)
+            sizes = bags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, n = bags.flatten().to_numpy(zero_copy_only=False), tfs.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(ids)), sizes)
+            worth = n * (K1 + 1) / (n + K1 * (1 - B + B * length[row] / avgdl)) if saturated else np.log1p(n)
+            for vocabulary, matrix, own in made:
+                place = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+                hit = vocabulary[place] == flat
+                rows_, columns, values = row[hit], place[hit], worth[hit]
+                step = max(1, cells // len(vocabulary))
+                for low in range(0, len(ids), step):
+                    a, b = np.searchsorted(rows_, (low, low + step))
+                    slice_ids = ids[low : low + step]
+                    bag = np.zeros((len(slice_ids), len(vocabulary)))
+                    bag[rows_[a:b] - low, columns[a:b]] = values[a:b]
+                    scores = np.round(bag @ matrix, 6)
+                    out = ([], [], [])
+                    for j, name in enumerate(own):
+                        found = np.flatnonzero(scores[:, j] > 0)
+                        if len(found) > k:
+                            found = found[scores[found, j] >= np.partition(scores[found, j], -k)[-k]]
+                            found = found[np.lexsort((slice_ids[found], -scores[found, j]))[:k]]
+                        out[0].append(np.full(len(found), name)), out[1].append(slice_ids[found]), out[2].append(scores[found, j])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(t)) for o, t in zip(out, ("int64", "int64", "float64"))], [qid, "doc_id", "score"])
+
+    own = docs if "ids" in docs.columns else docs.withColumn("ids", F.transform("terms", lambda t: F.xxhash64(t)))
+    return top(own.select("doc_id", "len", "ids", "tfs").mapInArrow(run, f"{qid} bigint, doc_id bigint, score double"), qid, "score", "doc_id", k)
 
 
 def top(scored: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import retrieval as R
 from tessera.plans import chunks, corpus, entailment, evaluation, golden as golden_sets, layout, ledgers, parsing, rows, store, texts  # noqa: F401  they register their queries
-from tessera.plans.registry import ORACLE_SQL, QUERIES, query, scratch, table  # noqa: F401
+from tessera.plans.registry import ORACLE_SQL, QUERIES, query, scratch, stamp, table  # noqa: F401
 from tessera.plans.sql import CLEAN, MARKED, TOK, tokens_sql
 
 SCORED = f"""WITH tf AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest({TOK}) term FROM documents) GROUP BY 1, 2),
@@ -71,16 +71,26 @@ def bm25_index(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical(spark: SparkSession, d: str, level: str = T.PLAIN) -> R.LexicalIndex:
     """The stored index of the documents, built by the first query of an application that asks for it."""
-    return scratch(spark, ("lexical", d, level), lambda path: R.LexicalIndex.of(table(spark, d, "documents"), level).stored(path))
+    return scratch(spark, ("lexical", d, level, stamp(spark, f"{d}/documents.parquet")), lambda path: R.LexicalIndex.of(table(spark, d, "documents"), level).stored(path))
+
+
+#: Ranks that a leg keeps; what asks for fewer cuts the same leg.
+DEEP = 50
+
+
+def leg(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A ranking to DEEP, made by the first query of an application that asks for it."""
+    key = (name, d, stamp(spark, f"{d}/documents.parquet"), stamp(spark, f"{d}/benchmark.parquet"))
+    return scratch(spark, key, lambda path: _stored(build(), path))
 
 
 def ranking(spark: SparkSession, d: str, k: int = 10, level: str = T.PLAIN) -> DataFrame:
-    return R.bm25(lexical(spark, d, level), table(spark, d, "benchmark"), k=k)
+    return leg(spark, d, f"bm25-{level}", lambda: R.bm25(lexical(spark, d, level), table(spark, d, "benchmark"), k=DEEP)).where(F.col("rnk") <= k)
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a benchmark passage, kept for the application's other queries."""
-    return scratch(spark, ("gold", d), lambda path: _stored(R.contained(table(spark, d, "benchmark"), table(spark, d, "documents")), path))
+    return scratch(spark, ("gold", d, stamp(spark, f"{d}/documents.parquet"), stamp(spark, f"{d}/benchmark.parquet")), lambda path: _stored(R.contained(table(spark, d, "benchmark"), table(spark, d, "documents")), path))
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -153,8 +163,11 @@ fused AS (SELECT item_id, doc_id, rrf, row_number() OVER (PARTITION BY item_id O
 
 
 def sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    q = R.postings(R.counted(table(spark, d, "benchmark"), "item_id", "text", T.PLAIN), "item_id")
-    return R.products(lexical(spark, d).docs, q.select("item_id", "term", F.log1p("tf").alias("weight")), "item_id", k).withColumnRenamed("score", "s")
+    def build() -> DataFrame:
+        q = R.postings(R.counted(table(spark, d, "benchmark"), "item_id", "text", T.PLAIN), "item_id")
+        return R.products(lexical(spark, d).docs, q.select("item_id", "term", F.log1p("tf").alias("weight")), "item_id", DEEP).withColumnRenamed("score", "s")
+
+    return leg(spark, d, "sparse", build).where(F.col("rnk") <= k)
 
 
 @query(f"{LEGS} SELECT * FROM sp WHERE rnk <= 10")

@@ -28,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and latest change of a table's files: what is kept for a table goes by this, so that a table written anew is read anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return 0, 0
+    files = list(fs.listStatus(where)) if fs.getFileStatus(where).isDirectory() else [fs.getFileStatus(where)]
+    return sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
+
+
 #: What queries of this driver stored for others, by application.
 _STORED: dict[tuple, Any] = {}
 
