@@ -184,3 +184,34 @@ def result_rows(scores: DataFrame, question: str, arm: str, metrics: tuple[str,
     shown_or = lambda m: F.when(F.max(F.when(F.col("metric") == m, F.col("score"))).isNull(), "N/A").otherwise(shown(m)).alias(m)
     rows = scores.groupBy(place.alias("place"), F.col(arm).alias("arm")).agg(*map(shown_or, metrics))
     return rows.select(F.when(F.col("place") <= required, "required").otherwise("supplementary").alias("part"), "*")
+
+
+def harness_gates(owed: DataFrame, records: DataFrame, questions: DataFrame) -> DataFrame:
+    """gate, arm, qid: records (arm, qid, kind, n_chunks, ledger_failure) that are owed (arm, qid) and missing, errors, failed
+    ledgers, and runs of the basic arm that retrieved nothing for an answerable question (qid, answerable). Errors are told, but
+    fail nothing by themselves; their empty retrieval is not counted."""
+    of = lambda gate, df: df.select(F.lit(gate).alias("gate"), "arm", "qid")
+    empty = records.where("arm = 'basic' and kind != 'error' and n_chunks = 0").join(questions.where("answerable").select("qid"), "qid", "left_semi")
+    return (
+        of("missing", owed.join(records.select("arm", "qid"), ["arm", "qid"], "left_anti")).unionByName(of("error", records.where("kind = 'error'")))
+        .unionByName(of("ledger", records.where("ledger_failure is not null"))).unionByName(of("empty", empty))
+    )
+
+
+def agreement(rows: DataFrame, expected: str, given: str) -> DataFrame:
+    """One row: the share of rows whose given value is the expected one (null without rows), how many, and of how many."""
+    same = F.count_if(F.coalesce(F.col(expected) == F.col(given), F.lit(False)))
+    return rows.agg(F.round(same / F.nullif(F.count("*"), F.lit(0)), 6).alias("agreement"), same.alias("same"), F.count("*").alias("n"))
+
+
+def first_of(rows: DataFrame, value: str, *order: str) -> DataFrame:
+    """The first row of each value in the order of other columns, by aggregation; nulls are one value."""
+    rest = [c for c in rows.columns if c != value]
+    return rows.groupBy(value).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(value, "_r.*")
+
+
+def judged_runs(runs: DataFrame, judged: DataFrame, *keys: str) -> DataFrame:
+    """runs with their judgement by keys; a key judged more than once counts once, by its greatest row."""
+    rest = [c for c in judged.columns if c not in keys]
+    once = judged.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_j"))
+    return runs.join(once, list(keys), "left").select(*runs.columns, "_j.*")
