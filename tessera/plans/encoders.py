@@ -10,7 +10,7 @@ from tessera.operators import encoders as N
 from tessera.operators import retrieval as R
 from tessera.operators import store as S
 from tessera.plans import catalog  # whole by the time it imports this
-from tessera.plans.registry import _new, query, stored, table
+from tessera.plans.registry import new_folder, query, stored, table
 from tessera.plans.sql import TOK
 from tessera.sources.keyed import KeyedTable
 from tessera.streaming import events
@@ -62,7 +62,7 @@ def store_build(spark: SparkSession, d: str) -> DataFrame:
     size = F.size(T.tokens(F.col("text"))).cast("bigint")
     key = S.point_id(F.col("doc_id").cast("string"))
     rows = table(spark, d, "documents").select(key.alias("point"), "doc_id", size.alias("n_tokens"))
-    kept = KeyedTable(spark, _new(spark, "points"), "point", "point string, doc_id bigint, n_tokens bigint")
+    kept = KeyedTable(spark, new_folder(spark, "points"), "point", "point string, doc_id bigint, n_tokens bigint")
     changed = F.when(F.col("doc_id") % 10 == 0, -1).otherwise(F.col("n_tokens"))
     kept.upsert(rows.where("doc_id % 2 = 0").withColumn("n_tokens", changed))
     kept.upsert(rows.withColumn("n_tokens", changed))
@@ -76,7 +76,7 @@ def step_events(spark: SparkSession, d: str) -> DataFrame:
     """Steps that arrive in four files, out of order, told in order with running totals."""
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("int")
     rows = table(spark, d, "events").select(F.col("user_id").alias("session"), seq.alias("seq"), F.col("event_type").alias("step"), (F.col("event_id") % 100).alias("tokens"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    path = _new(spark, "steps")
+    path = new_folder(spark, "steps")
     schema = None
     for part in range(4):
         own = rows.where(F.col("event_id") % 4 == 3 - part).drop("event_id").coalesce(1)

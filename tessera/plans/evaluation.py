@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import evaluation as E
 from tessera.operators import retrieval as R
-from tessera.plans.registry import query, table
+from tessera.plans.registry import over, query, table
 from tessera.plans.sql import TOK
 
 NAMES = ", ".join(f"({i}, '{s}')" for i, s in enumerate((*E.STEPS, "TOTAL")))
@@ -20,8 +20,7 @@ w AS (SELECT s.step, place::INT place, calls IS NOT NULL executed, coalesce(call
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "events").createOrReplaceTempView("events")
-    return spark.sql(SPARK_CALL)
+    return over(spark, d, SPARK_CALL, "events")
 
 
 @query(f"WITH {LEDGER} SELECT * FROM w")

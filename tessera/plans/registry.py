@@ -24,6 +24,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def over(spark: SparkSession, d: str, sql: str, *names: str) -> DataFrame:
+    """sql with the tables that it names after FROM taken from d; no view of the session is touched."""
+    for n in names:
+        sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}")
+    return spark.sql(sql, **{n: table(spark, d, n) for n in names})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -48,11 +55,11 @@ def scratch(spark: SparkSession, key: tuple, build: Callable[[str], Any]) -> Any
     Only a local master may fall back to a temporary folder."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _STORED:
-        _STORED[key] = build(_new(spark, key[1]))
+        _STORED[key] = build(new_folder(spark, key[1]))
     return _STORED[key]
 
 
-def _new(spark: SparkSession, label: str) -> str:
+def new_folder(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -64,6 +71,6 @@ def _new(spark: SparkSession, label: str) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: a plan that several branches read is worked out once, and a lost executor costs none of it."""
-    path = _new(df.sparkSession, label)
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

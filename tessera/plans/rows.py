@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as R
-from tessera.plans.registry import query, table
+from tessera.plans.registry import over, query, table
 from tessera.plans.sql import fold
 
 CELLS = {
@@ -41,8 +41,7 @@ FROM (SELECT table_id, count(*) n_rows, count(*) FILTER (kind = 'entry_line') e,
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    lines = spark.sql(LINES)
+    lines = over(spark, d, LINES, "lineitem")
     return lines.select(
         F.concat(F.lit("m"), F.expr("l_orderkey div 8").cast("string")).alias("source"), (F.col("l_orderkey") % 8 + 1).cast("int").alias("page"),
         F.col("l_orderkey").alias("table_id"), "idx", F.expr(_cells("array(", ")", "STRING")).alias("cells"),

@@ -10,7 +10,7 @@ from tessera.operators import evaluation as E
 from tessera.operators import prefixes as P
 from tessera.operators import store as S
 from tessera.plans.evaluation import RUNS, runs
-from tessera.plans.registry import query, table
+from tessera.plans.registry import over, query, table
 from tessera.plans.sql import CLEAN
 
 CHUNK = "printf('%s_p%02d_%d', source, doc_id % 50, doc_id)"
@@ -156,8 +156,7 @@ _PREFIXED = f"SELECT doc_id, lang, CASE WHEN doc_id % 31 != 0 THEN source END ti
 @query(f"""SELECT doc_id, CASE WHEN coalesce(prefix, '') = '' THEN 'empty' WHEN contains(prefix, 'None') THEN 'None' WHEN title IS NULL THEN 'untitled' WHEN NOT contains(prefix, title) THEN 'manual'
 WHEN coalesce(lang, '') != '' AND NOT contains(prefix, lang) THEN 'section' WHEN NOT contains(prefix, 'صفحة') AND NOT contains(prefix, 'صفحات') THEN 'page' END reason FROM ({_PREFIXED})""")
 def template_gate(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "documents").createOrReplaceTempView("documents")
-    return spark.sql(_PREFIXED).select("doc_id", P.template_gate(F.col("prefix"), F.col("title"), F.col("lang")).alias("reason"))
+    return over(spark, d, _PREFIXED, "documents").select("doc_id", P.template_gate(F.col("prefix"), F.col("title"), F.col("lang")).alias("reason"))
 
 
 @query(f"""SELECT source, cut, sha256(CASE WHEN cut THEN substr(t, 1, greatest(allowed, 0)) ELSE t END) body_sha256 FROM (SELECT *, length(t) > allowed cut FROM (
@@ -190,8 +189,7 @@ MEASURED = """SELECT s_suppkey, s_nationkey, round(s_acctbal / 10000 - 0.2, 4) r
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "supplier").createOrReplaceTempView("supplier")
-    return spark.sql(MEASURED.replace("/ 10 ", "/ 10.0D ").replace("/ 10,", "/ 10.0D,"))
+    return over(spark, d, MEASURED.replace("/ 10 ", "/ 10.0D ").replace("/ 10,", "/ 10.0D,"), "supplier")
 
 
 _CLEAR = "(recall - half > 0 OR recall + half < 0) AND (mrr - half > 0 OR mrr + half < 0)"
