@@ -22,7 +22,7 @@ def best_sentence(question: Column, text: Column) -> Column:
     """The sentence of text that shares most distinct tokens with the question, of equals the first, on one line; null for a text without any."""
     pieces = F.filter(F.transform(F.split(text, "[.!؟]+"), T.squeezed), lambda s: s != "")
     shared = lambda s, asked: F.size(F.array_intersect(asked, T.tokens(s)))
-    return T.let(F.array_distinct(T.tokens(question)), lambda asked: F.element_at(F.array_sort(F.transform(pieces, lambda s, i: F.struct((-shared(s, asked)).alias("n"), i.alias("i"), s.alias("s")))), 1)["s"])
+    return T.let(F.array_distinct(T.tokens(question)), lambda asked: F.get(F.array_sort(F.transform(pieces, lambda s, i: F.struct((-shared(s, asked)).alias("n"), i.alias("i"), s.alias("s")))), F.lit(0))["s"])
 
 
 def synthesised(rows: DataFrame, questions: DataFrame) -> DataFrame:
