@@ -355,4 +355,4 @@ def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
 
 
 # these read the index and the rankings above
-from tessera.plans import answers, encoders, grid, techniques  # noqa: E402, F401
+from tessera.plans import answers, encoders, grid, techniques, variants  # noqa: E402, F401
