@@ -182,17 +182,17 @@ def kinds_of(rows: DataFrame) -> DataFrame:
     return kinds.select("table_id.*", "kind", "n_rows", "header", "header_idx")
 
 
-def states(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """The state after every line that sets or asks for it."""
-    return carried(stream(observe(pages), rows, kinds_of(rows)))
+def states(pages: DataFrame, rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """The state after every line that sets or asks for it; seen is observe(pages), for callers that stored it."""
+    return carried(stream(observe(pages) if seen is None else seen, rows, kinds_of(rows)))
 
 
-def chunk_corpus(pages: DataFrame, rows: DataFrame, state: DataFrame | None = None) -> DataFrame:
+def chunk_corpus(pages: DataFrame, rows: DataFrame, state: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
     """chunk_id, source, page, end_page, chunk_type, table_no, first, last, section_path, unit, actor, text, char_count,
     extraction_quality of every chunk: prose of a page before its tables, ids numbered by page and type in reading order.
-    Three branches read state; callers that stored states(pages, rows) give it."""
-    seen, kinds = observe(pages), kinds_of(rows)
-    state = states(pages, rows) if state is None else state
+    Several branches read observe(pages) and states(pages, rows); callers that stored them give them."""
+    seen, kinds = observe(pages) if seen is None else seen, kinds_of(rows)
+    state = states(pages, rows, seen) if state is None else state
     after = state.where(F.col("idx") == LAST).select("source", "page", "section_path")
     bodies = seen.where(~F.col("page").isin(*FURNITURE)).select("source", "page", F.posexplode(P.prose(F.col("body"))).alias("first", "text")).join(after, ["source", "page"])
     lost, no = F.lit(None).cast("string"), F.lit(None).cast("int")

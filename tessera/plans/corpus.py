@@ -87,6 +87,13 @@ def broken(spark: SparkSession, d: str) -> DataFrame:
     return rows(spark, d).withColumn("table_no", F.col("table_id")).withColumn("break_page", F.when(F.expr(BREAK), F.col("page") + 1)).drop("table_id")
 
 
+def built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and chunks; what several branches read is stored."""
+    said, own = pages(spark, d), stored(broken(spark, d), "rows")
+    seen = stored(C.observe(said), "seen")
+    return own, C.chunk_corpus(said, own, stored(C.states(said, own, seen), "states"), seen)
+
+
 @query(f"WITH {SAID} SELECT sb.source, sb.page, body, coalesce(len(e), 0)::INT n_events, coalesce(list_transform(e, lambda x: x.lvl || ':' || x.txt), []) told FROM sb LEFT JOIN (SELECT source, page, list({{'lvl': lvl, 'txt': txt}} ORDER BY pos) e FROM se GROUP BY ALL) USING (source, page)")
 def observe_prose(spark: SparkSession, d: str) -> DataFrame:
     """Titles on top of each page's prose, and what is left of it."""
@@ -104,15 +111,14 @@ def prose_pieces(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ROWS}, {KINDS}, {TABLES}, {SAID}, {STREAM} SELECT source, page, tno::BIGINT table_no, idx::INT idx, sub, line::INT line, path section_path, unit, actor, bound FROM st")
 def section_state(spark: SparkSession, d: str) -> DataFrame:
     """Section, unit and actor after every line that sets or asks for them."""
-    own = broken(spark, d)
-    return C.states(pages(spark, d), own).select("source", "page", F.col("table_no").cast("long").alias("table_no"), "idx", "sub", "line", "section_path", "unit", "actor", "bound")
+    own, seen = stored(broken(spark, d), "rows"), stored(C.observe(pages(spark, d)), "seen")
+    return C.states(pages(spark, d), own, seen).select("source", "page", F.col("table_no").cast("long").alias("table_no"), "idx", "sub", "line", "section_path", "unit", "actor", "bound")
 
 
 @query(f"WITH {ROWS}, {KINDS}, {TABLES}, {SAID}, {STREAM}, {PIECES}, {RUNS}, {PLAIN}, {ALL} SELECT * FROM ck")
 def chunk_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk of every document, prose and tables of all kinds."""
-    own = stored(broken(spark, d), "rows")
-    return C.chunk_corpus(pages(spark, d), own, stored(C.states(pages(spark, d), own), "states")).drop("extraction_quality")
+    return built(spark, d)[1].drop("extraction_quality")
 
 
 #: Procedures of all pages with nothing said between them.
@@ -130,7 +136,7 @@ SELECT * FROM (SELECT 'repeated_ids' gate, count(*) n FROM (SELECT chunk_id FROM
 UNION ALL SELECT 'overlapping', count(*) FROM co WHERE times > 1 UNION ALL SELECT 'dropped', count(*) FROM co WHERE times = 0 AND kind NOT IN ('heading', 'sub_heading', 'actor', 'grid')) WHERE n > 0""")
 def chunk_gates(spark: SparkSession, d: str) -> DataFrame:
     """The gates of a build over a damaged one."""
-    own = stored(broken(spark, d), "rows")
-    chunks = stored(C.chunk_corpus(pages(spark, d), own, stored(C.states(pages(spark, d), own), "states")), "chunks")
+    own, chunks = built(spark, d)
+    chunks = stored(chunks, "chunks")
     damaged = chunks.where(DAMAGED.replace('"', "`")).unionByName(chunks.where("table_no % 9 = 0 and table_no % 7 != 0"))
     return C.chunk_gates(own, damaged)
