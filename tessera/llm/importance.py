@@ -1,8 +1,9 @@
 """Importance resampling towards a target's distribution of hashed word n-grams.
 
-Texts become a sparse matrix of documents by buckets, stored in blocks of compressed rows (CSR) as a table. Column sums of the
-blocks give the corpus distribution, those of the target's blocks the target's; a bucket's gain is the rounded-down log ratio
-of both, smoothed by one; the product of each block with the gains gives weights. Ranks come from one global sort by weight
+Texts become a sparse matrix of documents by buckets, in blocks of compressed rows (CSR). Column sums of the blocks give the
+corpus distribution, those of the target's blocks the target's; a bucket's gain is the rounded-down log ratio of both, smoothed
+by one; the product of each block with the gains gives weights. Blocks are made anew for the product: stored, they were wide
+rows, of which a reader's batch held a whole partition. Ranks come from one global sort by weight
 plus a Gumbel value drawn from the id, so the draw is without replacement and alike in every run.
 
 Defined cases: a null or empty text has no words and no features (weight 0); too short documents get a score but no rank;
@@ -14,14 +15,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_clean, lean, ranked, read_bytes, share, sliced
 
-BLOCK = "doc_id array<bigint>, words array<int>, starts binary, steps binary, counts binary"
 #: Longer words are hashed one by one.
 LONG = 255
 
@@ -81,71 +83,49 @@ def gram_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc:
     return np.concatenate(crcs or [np.empty(0, np.uint32)]), np.concatenate(docs or [np.empty(0, np.int64)])
 
 
-def _blocks(buckets: int, most: int):
-    import pyarrow as pa
-
-    def run(batches):
-        lower, word = _classes()
-        shifts = _shifts()
-        for batch in sliced(batches, rows=1024):
-            parts = list(read_bytes(batch.column("text")))
-            ends = np.cumsum([len(p) + 1 for p in parts])
-            data = np.empty(int(ends[-1]), np.uint8)
-            for p, end in zip(parts, ends):
-                data[end - 1 - len(p) : end - 1], data[end - 1] = lower[p], 32
-            edge = np.flatnonzero(np.diff(word[data].astype(np.int8), prepend=0))
-            starts, lengths = edge[::2], edge[1::2] - edge[::2]
-            doc = np.searchsorted(ends, starts, "right")
-            crc, of = gram_hashes(data, starts, lengths, doc, shifts, most)
-            cells, counts = np.unique(of.astype(np.int64) * buckets + crc % np.uint32(buckets), return_counts=True)
-            row, column = cells // buckets, cells % buckets
-            pointers = np.searchsorted(row, np.arange(len(parts) + 1))
-            steps = np.diff(column, prepend=0)
-            first = pointers[:-1][pointers[:-1] < pointers[1:]]
-            steps[first] = column[first]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([np.bincount(doc, minlength=len(parts)).tolist()], pa.list_(pa.int32())),
-                    pa.array([pointers.astype("<i4").tobytes()], pa.binary()), pa.array([steps.astype("<u2" if buckets <= 1 << 16 else "<u4").tobytes()], pa.binary()),
-                    pa.array([counts.astype("<u4").tobytes()], pa.binary()),
-                ],
-                names=["doc_id", "words", "starts", "steps", "counts"],
-            )
-
-    return lean(run)
-
-
-def matrix(docs: DataFrame, buckets: int, most: int) -> DataFrame:
-    """The stored count matrix of docs(doc_id, text): a row of the table is a block of up to 1024 documents; columns of a
-    document's cells ascend and are kept as steps from cell to cell."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut_clean(base.mapInArrow(_blocks(buckets, most), BLOCK), "counts")
-
-
-def _cells(block: dict, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row pointers, columns and counts of a block."""
-    pointers = np.frombuffer(block["starts"], "<i4")
-    steps = np.frombuffer(block["steps"], "<u2" if buckets <= 1 << 16 else "<u4").astype(np.int64)
-    column = np.cumsum(steps)
-    before = np.concatenate([[0], column])[pointers[:-1]]
-    return pointers, column - np.repeat(before, np.diff(pointers)), np.frombuffer(block["counts"], "<u4").astype(np.int64)
-
-
-def column_sums(blocks: DataFrame, buckets: int) -> np.ndarray:
-    """Features in each bucket. A task adds its blocks up first; one number a bucket comes to the driver."""
-    import pyarrow as pa
+@dataclass
+class Block:
+    """Compressed rows of a slice of documents: where each one's cells begin, and column and count of every cell."""
+
+    doc_id: pa.Array
+    words: np.ndarray
+    starts: np.ndarray
+    column: np.ndarray
+    count: np.ndarray
+
+
+def blocks(batches, buckets: int, most: int):
+    """The count matrix of batches (doc_id, text), a block for a slice: at most 1024 documents, of about 1 MB of text or one longer
+    document. A block lives in its task only, so what a task holds depends neither on a partition nor on a table of blocks."""
+    lower, word = _classes()
+    shifts = _shifts()
+    for batch in sliced(batches, rows=1024):
+        parts = list(read_bytes(batch.column("text")))
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        data = np.empty(int(ends[-1]), np.uint8)
+        for p, end in zip(parts, ends):
+            data[end - 1 - len(p) : end - 1], data[end - 1] = lower[p], 32
+        edge = np.flatnonzero(np.diff(word[data].astype(np.int8), prepend=0))
+        starts, lengths = edge[::2], edge[1::2] - edge[::2]
+        doc = np.searchsorted(ends, starts, "right")
+        crc, of = gram_hashes(data, starts, lengths, doc, shifts, most)
+        cells, counts = np.unique(of.astype(np.int64) * buckets + crc % np.uint32(buckets), return_counts=True)
+        row, column = cells // buckets, cells % buckets
+        yield Block(batch.column("doc_id"), np.bincount(doc, minlength=len(parts)), np.searchsorted(row, np.arange(len(parts) + 1)), column, counts)
+
+
+def column_sums(docs: DataFrame, buckets: int, most: int) -> np.ndarray:
+    """Features of docs(doc_id, text) in each bucket. A task adds its blocks up first; one number a bucket comes to the driver."""
 
     def run(batches):
         total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            for block in batch.to_pylist():
-                _, column, count = _cells(block, buckets)
-                np.add.at(total, column, count)
+        for block in blocks(batches, buckets, most):
+            total += np.bincount(block.column, block.count, buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in blocks.select("starts", "steps", "counts").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(lean(run), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
@@ -155,32 +135,28 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((int(t) + 1) * (s_all + n) / ((int(s) + 1) * (t_all + n)))) for s, t in zip(corpus, target)], np.int64)
 
 
-def weigh(blocks: DataFrame, gain: np.ndarray) -> DataFrame:
+def weigh(docs: DataFrame, gain: np.ndarray, most: int) -> DataFrame:
     """doc_id, n_words, n_features, weight: each block times the gains, whose number is that of the buckets."""
-    import pyarrow as pa
-
-    shared, buckets = share(blocks.sparkSession, gain), len(gain)
+    shared, buckets = share(docs.sparkSession, gain), len(gain)
 
     def run(batches):
-        for batch in batches:
-            for block in batch.to_pylist():
-                pointers, column, count = _cells(block, buckets)
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (count * shared.value[column], count)]
-                weight, features = (s[pointers[1:]] - s[pointers[:-1]] for s in sums)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block["doc_id"], pa.int64()), pa.array(block["words"], pa.int64()), pa.array(features), pa.array(weight)],
-                    names=["doc_id", "n_words", "n_features", "weight"],
-                )
+        for block in blocks(batches, buckets, most):
+            sums = [np.concatenate([[0], np.cumsum(x)]) for x in (block.count * shared.value[block.column], block.count)]
+            weight, features = (s[block.starts[1:]] - s[block.starts[:-1]] for s in sums)
+            yield pa.RecordBatch.from_arrays(
+                [block.doc_id, pa.array(block.words.astype(np.int64)), pa.array(features.astype(np.int64)), pa.array(weight.astype(np.int64))],
+                names=["doc_id", "n_words", "n_features", "weight"],
+            )
 
-    return blocks.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
+    return docs.mapInArrow(lean(run), "doc_id long, n_words long, n_features long, weight long")
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words: int = 20, buckets: int = 10000, most: int = 3, seed: int = 42) -> DataFrame:
     """docs(doc_id, text) with n_words, n_features, weight, score and rank: of those with least_words words or more, `percent` of
     a hundred (rounded down) have ranks from 1 in descending order of scores; the others null. target(text) states the target."""
-    blocks = matrix(docs, buckets, most)
-    aims = matrix(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), buckets, most)
-    weighed = weigh(blocks, gains(column_sums(blocks, buckets), column_sums(aims, buckets)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    aims = target.select(F.lit(None).cast("long").alias("doc_id"), "text")
+    weighed = weigh(own, gains(column_sums(own, buckets, most), column_sums(aims, buckets, most)), most)
     drawn = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((drawn + F.lit(0.5)) / F.lit(4294967296.0))))
     scored = cut_clean(weighed.withColumn("score", F.col("weight") + noise), "scores")

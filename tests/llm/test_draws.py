@@ -7,9 +7,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import importance, negatives, suffix_dedup
+from tessera.llm import common, importance, negatives, suffix_dedup
 
 NEAR = "the committee met on tuesday to hear what had been said about the harbour and its old cranes "
 DOCS = [
@@ -158,3 +159,13 @@ def test_unusable_vectors(spark):
     rows = [(1, [1.0, None]), (2, None), (3, [float("nan")]), (4, [float("-inf")]), (5, [0.5]), (6, [])]
     df = spark.createDataFrame(rows, "id long, v array<float>")
     assert [r.id for r in df.where(negatives.usable(df.v)).collect()] == [5, 6]
+
+
+def test_importance_keeps_no_table_of_blocks(spark, docs):
+    """A reader's batch of wide rows holds a whole partition, so blocks live in their task, a slice of documents each."""
+    before = len(common._MADE)
+    importance.resample(docs, docs.select("text"), 50, 3).count()
+    assert [m.rsplit("/", 1)[1].split("-")[0] for m in common._MADE[before:] if isinstance(m, str)] == ["scores", "ranked"]
+    texts = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(["some words of a text " * 50] * 3000)], ["doc_id", "text"])
+    sizes = [len(b.doc_id) for b in importance.blocks([texts], 10000, 3)]
+    assert sum(sizes) == 3000 and max(sizes) == 999
