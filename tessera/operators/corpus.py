@@ -22,6 +22,8 @@ FURNITURE = (1, 2)
 SELF_NAMED = {"approval": "الموافقات", "revision": "جدول التعديلات"}
 BLANK = " \t\r\n\f\v"
 LAST = 2**31 - 1
+#: Lines of a page that are judged before it is known whether more must be.
+HEAD = 8
 KEY = ("page", "part", "table_no", "idx", "sub", "line")
 STATE = ("anchor", "heading", "sub_heading", "unit", "actor")
 
@@ -33,21 +35,30 @@ def stripped(c: Column) -> Column:
 def observed(text: Column) -> Column:
     """struct<events, body>: what the lines at the top of a page's prose set (pos, level, text), and the prose that is left.
 
-    Lines without a letter of the script are passed over; the first blank line, and the first that names nothing, end it."""
-    level = lambda s: (
-        F.when(s == "", "stop").when(~s.rlike("[؀-ۿ]"), "skip").when(B.anchor_for(s).isNotNull(), "anchor")
-        .when(B.number(s, B.HEADING).isNotNull(), "heading").when(B.is_sub_heading(s), "sub_heading").otherwise("stop")
-    )
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    told = F.transform(F.transform(lines, stripped), lambda s, i: F.struct(i.alias("pos"), level(s).alias("level"), F.coalesce(B.anchor_for(s), s).alias("text")))
+    Lines without a letter of the script are passed over; the first blank line, and the first that names nothing, end it. The
+    first HEAD lines are judged; the others only on a page where none of these ends it."""
+
+    def judged(lines: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            return T.let(F.struct(s.alias("s"), s.rlike("[؀-ۿ]").alias("own")), lambda x: T.let(F.when(x["own"], B.anchor_for(x["s"])), lambda anchor: F.struct(
+                i.alias("pos"),
+                F.when(x["s"] == "", "stop").when(~x["own"], "skip").when(anchor.isNotNull(), "anchor")
+                .when(B.number(x["s"], B.HEADING).isNotNull(), "heading").when(B.is_sub_heading(x["s"]), "sub_heading").otherwise("stop").alias("level"),
+                F.coalesce(anchor, x["s"]).alias("text"),
+            )))
 
-    def split(t: Column) -> Column:
-        return T.let(F.coalesce(F.get(F.filter(t["told"], lambda x: x["level"] == "stop"), F.lit(0))["pos"], F.size(t["told"])), lambda end: F.struct(
-            F.filter(F.slice(t["told"], F.lit(1), end), lambda x: x["level"] != "skip").alias("events"),
-            stripped(F.array_join(F.slice(t["lines"], end + 1, F.size(t["lines"])), "\n")).alias("body"),
+        return F.transform(lines, lambda s, i: one(stripped(s), i))
+
+    def split(lines: Column, told: Column) -> Column:
+        return T.let(F.coalesce(F.get(F.filter(told, lambda x: x["level"] == "stop"), F.lit(0))["pos"], F.size(lines)), lambda end: F.struct(
+            F.filter(F.slice(told, F.lit(1), end), lambda x: x["level"] != "skip").alias("events"),
+            stripped(F.array_join(F.slice(lines, end + 1, F.size(lines)), "\n")).alias("body"),
         ))
 
-    return T.let(F.struct(told.alias("told"), lines.alias("lines")), split)
+    def whole(lines: Column, head: Column) -> Column:
+        return T.let(F.when(F.exists(head, lambda x: x["level"] == "stop"), head).otherwise(judged(lines)), lambda told: split(lines, told))
+
+    return T.let(F.split(F.coalesce(text, F.lit("")), "\n"), lambda lines: T.let(judged(F.slice(lines, 1, HEAD)), lambda head: whole(lines, head)))
 
 
 def observe(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from tessera.functions import text as T
 
 MOST, LEAST = 1200, 40
 RULE = r"^\s*[-_]\s*[0-9]{1,2}\s"
+#: The line end before a line that RULE finds; its blanks are none that end a line.
+CUT = r"\n(?=[^\S\n]*[-_][^\S\n]*[0-9]{1,2}[^\S\n])"
 ROUTES = {"simple": "Direct", "basic_rag": "Basic RAG", "advanced_rag": "Advanced RAG"}
 
 
@@ -59,26 +61,26 @@ def route_shown(route: Column) -> Column:
 
 def segments(body: Column) -> Column:
     """A body cut before each line that opens a numbered rule; trimmed, none blank."""
-    # a rule's line gets a mark that no line holds, then the marks cut
-    marked = F.array_join(F.transform(F.split(body, "\n"), lambda x, i: F.when((i > 0) & x.rlike(RULE), F.concat(F.lit("\x00"), x)).otherwise(x)), "\n")
-    return F.filter(F.transform(F.split(marked, "\x00"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(body, CUT), lambda s: F.btrim(s, F.lit(" \t\n\r\f\v"))), lambda s: s != "")
 
 
 def packed(segment: Column, limit: int = MOST) -> Column:
-    """Whole lines put together up to limit characters, a line's end counted with each; a longer line stands alone."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+    """Whole lines put together up to limit characters, a line's end counted with each; a longer line stands alone.
+
+    One pass over the lines' sizes finds where pieces begin; each piece is put together once."""
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"))
 
     def step(a: Column, line: Column) -> Column:
-        size = F.char_length(line) + 1
-        full = a["now"].isNotNull() & (a["n"] + size > limit)
-        return F.struct(
-            F.when(full, F.array_append(a["done"], a["now"])).otherwise(a["done"]).alias("done"),
-            F.when(full | a["now"].isNull(), line).otherwise(F.concat(a["now"], F.lit("\n"), line)).alias("now"),
-            F.when(full, size).otherwise(a["n"] + size).alias("n"),
+        return F.when((line["i"] > 0) & (a["n"] + line["size"] <= limit), F.struct(a["starts"].alias("starts"), (a["n"] + line["size"]).alias("n"))).otherwise(
+            F.struct(F.array_append(a["starts"], line["i"]).alias("starts"), line["size"].alias("n"))
         )
 
-    many = F.aggregate(F.split(segment, "\n"), start, step, lambda a: F.array_append(a["done"], a["now"]))
-    return F.when(F.char_length(segment) <= limit, F.array(segment)).otherwise(many)
+    def pieces(lines: Column) -> Column:
+        sizes = F.transform(lines, lambda x, i: F.struct(i.alias("i"), (F.char_length(x) + 1).alias("size")))
+        piece = lambda starts: lambda s, j: F.array_join(F.slice(lines, s + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - s), "\n")
+        return T.let(F.aggregate(sizes, start, step, lambda a: a["starts"]), lambda starts: F.transform(starts, piece(starts)))
+
+    return F.when(F.char_length(segment) <= limit, F.array(segment)).otherwise(T.let(F.split(segment, "\n"), pieces))
 
 
 def prose(body: Column, limit: int = MOST, least: int = LEAST) -> Column:

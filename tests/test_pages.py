@@ -35,6 +35,19 @@ def test_titles_come_off_the_top(spark):
         assert ([f"{e.level}:{e.text}" for e in r.o.events], r.o.body) == texts[r.text]
 
 
+def test_titles_below_many_lines_passed_over(spark):
+    lines = ["02/2026"] * 12 + ["3. عنوان", "نص", "4. none"]
+    df = spark.createDataFrame([("\n".join(lines),), ("\n".join(lines[:12]),)], "text string").withColumn("o", C.observed(F.col("text")))
+    assert [([tuple(e) for e in r.o.events], r.o.body) for r in df.collect()] == [([(12, "heading", "3. عنوان")], "نص\n4. none"), ([], "")]
+
+
+def test_pages_are_dealt_over_all_cores(spark):
+    from tessera.plans import corpus as plans
+
+    pages = plans.pages(spark, "/root/testdata/sf0.001")
+    assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_chunks_by_hand(corpus):
     pages, rows = corpus
     chunks = C.chunk_corpus(pages, rows).collect()
