@@ -1,9 +1,11 @@
-"""Stand-ins for encoders, from built-in functions: vectors of hashed tokens, and weights of tokens by a hashed index.
+"""Stand-ins for encoders: vectors of hashed tokens, and weights of tokens by a hashed index.
 
 Null texts are empty; an empty text has the zero vector and no weights."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,18 @@ def token_number(token: Column) -> Column:
 
 
 def hashed(text: Column, width: int = WIDTH) -> Column:
-    """How many tokens of text fall into each of `width` buckets, at unit length."""
-    buckets = F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: (token_number(t) % width).cast("int"))
-    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint") * x))
-    return T.let(buckets, lambda b: T.let(counts(b), lambda c: T.let(norm(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))))
+    """How many tokens of text fall into each of `width` buckets, at unit length; each token is looked at once."""
+
+    @F.arrow_udf("array<double>")
+    def unit(buckets: pa.Array) -> pa.Array:
+        n = len(buckets)
+        sizes = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cells = np.repeat(np.arange(n), sizes) * width + buckets.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(cells, minlength=n * width).reshape(n, width)
+        norm = np.sqrt((counts * counts).sum(1).astype("float64"))[:, None]
+        return pa.ListArray.from_arrays(np.arange(n + 1, dtype="int32") * width, pa.array((counts / np.where(norm > 0, norm, 1)).ravel()))
+
+    return unit(F.transform(T.tokens(F.coalesce(text, F.lit(""))), lambda t: (token_number(t) % width).cast("int")))
 
 
 def sparse_encode(docs: DataFrame, key: str, level: str = T.PLAIN) -> DataFrame:

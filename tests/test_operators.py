@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -74,3 +75,9 @@ def test_every_match_votes_and_titles_are_whole(spark):
     texts = [f" The Bank \n\nits name\n {title}\n second  line ", "The Bank\nname", f"a\nb\n{title}", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", C.cover_title(F.col("text"), "Bank").alias("t")).orderBy("i")
     assert [r.t for r in df.collect()] == [f"{title} second line", None, None, None, None]
+
+
+def test_batches_are_worked_off_in_slices():
+    bags = pa.array([["a"] * n for n in (3, 0, 4, 50, 1, 0)], pa.list_(pa.string()))
+    parts = list(R.slices(pa.RecordBatch.from_arrays([bags], ["t"]), "t", 7))
+    assert [p.column("t").value_lengths().to_pylist() for p in parts] == [[3, 0, 4], [50], [1, 0]]
