@@ -29,15 +29,23 @@ SELECT {PLACE.replace("o_orderkey", "l_orderkey")}, idx * 8 + k AS fragment_id,
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS INT) AS idx FROM {{lineitem}}) AS l CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS n(k)) AS t"""
 
 
+def by_page(spark: SparkSession, d: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table's columns with source and page of its key, dealt by page once: what pages are made of lies together from here on."""
+    own = f"SELECT {PLACE.replace('o_orderkey', key)}, {', '.join((key, *columns))} FROM {{own}}"
+    return spark.sql(own, own=table(spark, d, name)).repartition("source", "page")
+
+
 def tables(spark: SparkSession, d: str) -> DataFrame:
-    return L.classified(spark.sql(TABLES_OF, orders=table(spark, d, "orders")), HEIGHT)
+    return L.classified(spark.sql(TABLES_OF, orders=table(spark, d, "orders")).repartition("source", "page"), HEIGHT)
 
 
 def parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fragments, cells and tables."""
+    """Fragments, cells and tables, all dealt by page: fragments are made of lines where these lie."""
     own = tables(spark, d)
     cells = spark.sql(CELLS_OF.replace('"row"', "row"), tables=own)
-    return spark.sql(FRAGMENTS_OF.replace('"text"', "text"), lineitem=table(spark, d, "lineitem")), cells, own
+    lines = by_page(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
+    said = FRAGMENTS_OF.replace('"text"', "text").replace(PLACE.replace("o_orderkey", "l_orderkey"), "source, page").replace("PARTITION BY l_orderkey", "PARTITION BY source, page, l_orderkey")
+    return spark.sql(said, lineitem=lines), cells, own
 
 
 TABLES = f"""ta AS ({TABLES_OF.format(orders="orders")}), tk AS (SELECT *, CASE WHEN row_count = 3 AND y1 < 0.12::DOUBLE * {HEIGHT}::DOUBLE THEN 'header' WHEN col_count <= 2 AND y1 - y0 > 0.6::DOUBLE * {HEIGHT}::DOUBLE THEN 'container' ELSE 'data' END kind FROM ta)"""
@@ -64,7 +72,8 @@ rw AS (SELECT source, page, table_no, (row_number() OVER (PARTITION BY source, p
 def claim_cells(spark: SparkSession, d: str) -> DataFrame:
     """Each fragment's cell: the first, tables from the top, that holds its centre."""
     fragments, cells, own = parts(spark, d)
-    return L.claim(fragments, L.pixel_rects(cells, own, SCALE), "_top", "table_no", "row", "col").select("source", "page", "fragment_id", "table_no", "row", "col")
+    all_ = L.seated(fragments, L.pixel_rects(cells, own, SCALE), "_top", "table_no", "row", "col")
+    return all_.where("_first is not null").select("source", "page", "fragment_id", *[F.col("_first")[c].alias(c) for c in ("table_no", "row", "col")])
 
 
 @query(f"WITH {TABLES}, {ROWS} SELECT * FROM rw")
@@ -78,8 +87,8 @@ SELECT source, page, restricted, coalesce("text", '') prose_text FROM (SELECT so
 def page_prose(spark: SparkSession, d: str) -> DataFrame:
     """What no table claims: the footer's mark and the prose."""
     fragments, cells, own = parts(spark, d)
-    _, claims = L.build_rows(fragments, cells, own, SCALE)
-    return L.page_texts(L.left_over(fragments, claims, HEIGHT, SCALE), SCALE)
+    _, all_ = L.build_rows(fragments, cells, own, SCALE)
+    return L.page_texts(L.left_over(all_, HEIGHT, SCALE), SCALE)
 
 
 #: Page by page in order; the tables that a page's boundary compares with are carried along.

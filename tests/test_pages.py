@@ -94,6 +94,15 @@ def test_claims_go_to_the_first_rectangle(spark):
         assert got == {1: 2, 2: 1, 3: 1, 4: 1, 5: 1, 8: 2}
 
 
+def test_claims_deal_nothing_anew(spark):
+    from tessera.plans import layout as plans
+
+    fragments, cells, own = plans.parts(spark, "/root/testdata/sf0.001")
+    df = L.seated(fragments, L.pixel_rects(cells, own, plans.SCALE), "_top", "table_no", "row", "col")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
 def test_reading_from_the_right(spark):
     rows = [(1, 10.0, 10.0, "left"), (2, 90.0, 12.0, "right"), (3, 50.0, 40.0, None), (4, 60.0, 40.0, "ﬁrst"), (5, None, 1.0, "lost"), (6, 10.0, 14.5, "chained")]
     df = spark.createDataFrame(rows, "fragment_id int, cx double, cy double, text string").withColumn("page", F.lit(1))
