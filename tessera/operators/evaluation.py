@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 # Steps in order, those of the short table, those without tokens, those that answer no question; prices per million tokens.
 STEPS = ("Router", "Rewriter", "Multi-Query", "Decomposition", "HyDE", "Self-Query", "Reranking", "Compression", "CRAG evaluator", "Final generation", "Grounding guard", "Presenter", "Contextualisation", "Evaluation judge")
 SPEC = ("Router", "Rewriter", "Decomposition", "HyDE", "Compression", "CRAG evaluator", "Final generation")
@@ -138,15 +140,86 @@ def bands(box: Column, n: Column) -> Column:
     return F.when(n < 1, F.array(box)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), cut))
 
 
-def claimed(fragments: DataFrame, rects: DataFrame, bin_size: float = 256.0) -> DataFrame:
-    """fragment_id, rect_id: each fragment whose centre lies in rectangles of its page goes to the first of them in order. Both meet in the bins that a rectangle touches."""
-    at = lambda c: F.floor(c / bin_size)
+#: About so many different sides of rectangles lie between two cuts of a page, and a side that so many rectangles share is a cut itself.
+SIDES, SHARED = 128, 32
+
+
+def cuts(rects: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """page, name (sorted values that cut the page) and name_steps (powers of two for a search in them): a share of the sides of
+    rectangles chosen by hash, and each side that many share. Pages of few rectangles have few or none."""
+    sides = rects.select("page", F.explode(F.array(low, high)).alias("_v")).groupBy("page", "_v").agg(F.count("*").alias("_n"))
+    chosen = sides.where((F.pmod(F.xxhash64("page", "_v"), F.lit(SIDES)) == 0) | (F.col("_n") >= SHARED))
+    found = chosen.groupBy("page").agg(F.array_sort(F.collect_list("_v")).alias(name))
+    steps = F.transform(F.sequence(F.floor(F.log2(F.size(name))), F.lit(0), F.lit(-1)), lambda i: F.pow(F.lit(2), i).cast("int"))
+    return found.select("page", name, steps.alias(f"{name}_steps"))
+
+
+def slab(value: Column, name: str) -> Column:
+    """The place of a value among the cuts of its page: 2 i + 1 on cut i, 2 i between cuts i - 1 and i."""
+    below = F.aggregate(f"{name}_steps", F.lit(0), lambda lo, s: F.when(F.get(F.col(name), lo + s - 1) < value, lo + s).otherwise(lo))
+    at = F.coalesce(below, F.lit(0))
+    return T.let(at, lambda i: i * 2 + F.coalesce(F.get(F.col(name), i) == value, F.lit(False)).cast("int"))
+
+
+def nodes(low: Column, high: Column, name: str) -> Column:
+    """array<struct<level, at>>: the slabs between two sides as at most two nodes a level of the binary tree over slabs, and at level -1
+    the slabs that a side runs through: values there are inside or not."""
+    first, last = F.when(low % 2 == 1, low).otherwise(low + 1), F.when(high % 2 == 1, high).otherwise(high - 1)
+    node = lambda level, at: F.struct(level.alias("level"), at.cast("int").alias("at"))
+
+    def of(level: Column) -> Column:
+        size = F.pow(F.lit(2), level)
+        a, b = F.ceil(first / size), F.floor((last + 1) / size)
+        return F.when(a < b, F.array(F.when(a % 2 == 1, node(level, a)), F.when(b % 2 == 1, node(level, b - 1))))
+
+    whole = F.flatten(F.filter(F.transform(levels(name), of), lambda x: x.isNotNull()))
+    through = F.array(F.when(low % 2 == 0, node(F.lit(-1), low)), F.when((high % 2 == 0) & (high != low), node(F.lit(-1), high)))
+    return F.array_compact(F.concat(whole, through))
+
+
+def levels(name: str) -> Column:
+    """Levels of the tree over a page's slabs."""
+    return F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(name), F.lit(0)) * 2 + 1)).cast("int"))
+
+
+def above(at: Column, name: str) -> Column:
+    """The nodes that hold a slab, and at level -1 the slab itself where sides may run through it."""
+    held = F.transform(levels(name), lambda level: F.struct(level.alias("level"), F.floor(at / F.pow(F.lit(2), level)).cast("int").alias("at")))
+    return F.array_compact(F.array_append(held, F.when(at % 2 == 0, F.struct(F.lit(-1).alias("level"), at.alias("at")))))
+
+
+def claimed(fragments: DataFrame, rects: DataFrame) -> DataFrame:
+    """fragment_id, rect_id: each fragment whose centre lies in rectangles of its page goes to the first of them in order.
+
+    Some sides cut a page into slabs both ways, and a cell is where two slabs meet. A rectangle covers cells whole, as few nodes of
+    two binary trees, where the first of a node's rectangles is all that counts; through the other cells one of its
+    sides runs. A cell with fragments asks the nodes above it for the first rectangle that covers it whole. Only
+    rectangles before that one whose sides run through the cell are tested against its fragments: some hundreds at most where
+    sides differ, so work grows with fragments and rectangles, not with their product. Cuts, some numbers for a hundred
+    rectangles, are broadcast."""
+    r = rects.where("page is not null and rx0 <= rx1 and ry0 <= ry1").select("page", "rect_id", "rx0", "rx1", "ry0", "ry1")
+    lines = F.broadcast(cuts(r, "rx0", "rx1", "_cx").join(cuts(r, "ry0", "ry1", "_cy"), "page", "full"))
+    none, cut_columns = F.array(), ("_cx", "_cx_steps", "_cy", "_cy_steps")
+    known = lambda df: df.join(lines, "page", "left").withColumns({c: F.coalesce(c, none.cast(lines.schema[c].dataType)) for c in cut_columns})
     f = fragments.select("page", "fragment_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    f = f.withColumns({"_bx": at(F.col("cx")), "_by": at(F.col("cy"))})
-    binned = rects.where("rx0 <= rx1 and ry0 <= ry1").withColumn("_bx", F.explode(F.sequence(at(F.col("rx0")), at(F.col("rx1")))))
-    binned = binned.withColumn("_by", F.explode(F.sequence(at(F.col("ry0")), at(F.col("ry1")))))
+    f = known(f.where("page is not null and cx is not null and cy is not null"))
+    f = f.withColumns({"_sx": slab(F.col("cx"), "_cx"), "_sy": slab(F.col("cy"), "_cy")})
+    cell = ["page", "_sx", "_sy"]
+    cells = known(f.select(*cell).distinct()).select(*cell, F.explode(above(F.col("_sx"), "_cx")).alias("_nx"), above(F.col("_sy"), "_cy").alias("_ny"))
+    cells = cells.select(*cell, "_nx", F.explode("_ny").alias("_ny"))
+    sides = known(r).withColumns({"_ax": slab(F.col("rx0"), "_cx"), "_bx": slab(F.col("rx1"), "_cx"), "_ay": slab(F.col("ry0"), "_cy"), "_by": slab(F.col("ry1"), "_cy")})
+    placed = sides.select(*r.columns, F.explode(nodes(F.col("_ax"), F.col("_bx"), "_cx")).alias("_nx"), nodes(F.col("_ay"), F.col("_by"), "_cy").alias("_ny"))
+    placed = placed.select(*r.columns, "_nx", F.explode("_ny").alias("_ny"))
+    node = ["page", "_nx", "_ny"]
+    through = (F.col("_nx.level") < 0) | (F.col("_ny.level") < 0)
+    covers = placed.where(~through).groupBy(*node).agg(F.min("rect_id").alias("_first"))
+    covered = cells.where(~through).join(covers, node).groupBy(*cell).agg(F.min("_first").alias("_first"))
+    maybe = cells.where(through).join(placed.where(through), node).select(*cell, *r.columns[1:]).join(covered, cell, "left")
+    maybe = maybe.where(F.col("_first").isNull() | (F.col("rect_id") < F.col("_first"))).drop("_first")
     inside = F.col("cx").between(F.col("rx0"), F.col("rx1")) & F.col("cy").between(F.col("ry0"), F.col("ry1"))
-    return f.join(binned, ["page", "_bx", "_by"]).filter(inside).groupBy("fragment_id").agg(F.min("rect_id").alias("rect_id"))
+    points = f.select(*cell, "fragment_id", "cx", "cy")
+    found = points.join(covered, cell).select("fragment_id", F.col("_first").alias("rect_id")).unionByName(points.join(maybe, cell).where(inside).select("fragment_id", "rect_id"))
+    return found.groupBy("fragment_id").agg(F.min("rect_id").alias("rect_id"))
 
 
 def reading_lines(fragments: DataFrame, tolerance: float) -> DataFrame:
