@@ -102,12 +102,20 @@ def carried(events: DataFrame) -> DataFrame:
     latch = events.where("prose and level = 'heading'").groupBy("source").agg(F.min(place).alias("_latch"))
     own = events.join(latch, "source", "left").withColumn("level", F.when((F.col("level") == "heading") & ~F.col("prose") & (F.col("_latch") < place), F.lit(None)).otherwise(F.col("level")))
     own = own.drop("_latch").withColumn("consumed", ~F.col("prose") & F.col("level").isin("heading", "sub_heading"))
-    last = lambda level, w: F.last(F.when(F.col("level") == level, F.col("set_text")), ignorenulls=True).over(w)
-    span = lambda *keys: Window.partitionBy("source", *keys).orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
-    page = span("page")
+    page = Window.partitionBy("source", "page").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
+    # one order of a page's lines for all windows: what a title or a unit cleared is told by the number of titles and units it was set under
     own = own.withColumn("_h", F.sum(F.col("level").isin("anchor", "heading").cast("int")).over(page)).na.fill(0, ["_h"])
-    own = own.withColumn("_u", F.sum((F.col("level") == "unit").cast("int")).over(span("page", "_h"))).na.fill(0, ["_u"])
-    own = own.withColumns({"_anchor": last("anchor", page), **{f"_{c}": last(c, span("page", "_h")) for c in ("heading", "sub_heading", "unit")}, "_actor": last("actor", span("page", "_h", "_u"))})
+    units = F.sum((F.col("level") == "unit").cast("int")).over(page)
+    own = own.withColumn("_n", units).na.fill(0, ["_n"])
+    set_ = lambda level: F.last(F.when((F.col("level") == level) & F.col("set_text").isNotNull(), F.struct("_h", "_n", "set_text")), ignorenulls=True).over(page)
+    # units before the last title
+    cleared = F.max(F.when(F.col("level").isin("anchor", "heading"), F.col("_n"))).over(page)
+    own = own.withColumns({"_cleared": cleared, **{f"_{s}": set_(s) for s in STATE}})
+    still = lambda s: F.when(F.col(f"_{s}._h") == F.col("_h"), F.col(f"_{s}.set_text"))
+    own = own.withColumns({
+        "_u": F.col("_n") - F.coalesce("_cleared", F.lit(0)), "_anchor": F.col("_anchor.set_text"), **{f"_{s}": still(s) for s in STATE[1:4]},
+        "_actor": F.when(F.col("_actor._n") == F.col("_n"), still("actor")),
+    }).drop("_n", "_cleared")
     # what a page leaves behind, a row a page
     left = own.groupBy("source", "page").agg(*[F.max_by(c, place).alias(c) for c in ("_h", "_u", *[f"_{s}" for s in STATE])])
     pages = lambda *keys: Window.partitionBy("source", *keys).orderBy("page")

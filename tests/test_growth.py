@@ -1,8 +1,12 @@
 """Steps whose cost must follow the size of their input: results by hand where cuts, levels and dealing meet."""
 
 import random
+from types import SimpleNamespace
 
+from tessera.operators import corpus as C
 from tessera.operators import evaluation as E
+from tessera.operators import tables as B
+from tessera.plans import registry
 
 
 def test_many_and_wide_rectangles_of_a_page(spark):
@@ -24,3 +28,33 @@ def test_many_and_wide_rectangles_of_a_page(spark):
     assert {r.fragment_id: r.rect_id for r in got.collect()} == want and want[5001] == 9001
     nothing = spark.createDataFrame([], "page int, rect_id int, rx0 double, rx1 double, ry0 double, ry1 double")
     assert E.claimed(fragments, nothing).isEmpty()
+
+
+def planned(df) -> list[str]:
+    return df._jdf.queryExecution().executedPlan().toString().splitlines()
+
+
+def test_state_of_pages_needs_one_order(spark):
+    """All windows over the lines of a page share one sort; a task held its lines three times."""
+    events = spark.createDataFrame([], "source string, page int, part int, table_no long, idx int, sub int, line int, level string, set_text string, prose boolean, kind string, cells array<string>, break_page int")
+    assert not any("Sort [" in x and "_h#" in x for x in planned(C.carried(events)))
+
+
+def test_state_of_rows_needs_one_order(spark):
+    rows = spark.createDataFrame([], "source string, page int, table_id long, idx int, cells array<string>")
+    assert sum("Sort [" in x for x in planned(B.with_sections(rows))) == 1
+
+
+def test_shuffles_of_stored_plans_follow_the_tables(spark):
+    """A stored plan has a partition for each share of its tables' rows; the session's number stays."""
+    key, was = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+
+    def write(path):
+        seen.append(int(spark.conf.get(key)))
+        spark.range(3).write.parquet(path)
+
+    Spy = SimpleNamespace(schema=spark.range(1).schema, sparkSession=spark, write=SimpleNamespace(parquet=write))
+    assert registry.stored(Spy, "spy", 45 * registry.SHARE - 1).count() == 3
+    assert registry.stored(Spy, "spy", 1).count() == 3
+    assert seen == [45, int(was)] and spark.conf.get(key) == was
