@@ -105,18 +105,19 @@ def with_sections(rows: DataFrame) -> DataFrame:
     first, second = F.get("cells", F.lit(0)), F.get("cells", F.lit(1))
     kind = row_kind(F.col("cells"))
     own = rows.withColumn("kind", kind).withColumn("_h", F.sum((F.col("kind") == "heading").cast("int")).over(w))
+    # one order of a document's rows for all windows: what a heading or a unit cleared is told by the numbers it was set under
     is_unit = (F.col("kind") == "actor") & (T.label_key(first) == folded(UNIT))
-    part = Window.partitionBy("source", "_h").orderBy("page", "table_id", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("_u", F.sum(is_unit.cast("int")).over(part))
-    within = Window.partitionBy("source", "_h", "_u").orderBy("page", "table_id", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda c, over: F.last(c, ignorenulls=True).over(over)
+    own = own.withColumn("_u", F.sum(is_unit.cast("int")).over(w))
     strip = lambda c: F.btrim(c, F.lit(" \t\r\n"))
-    state = own.withColumns({
-        "heading": last(F.when(F.col("kind") == "heading", strip(first)), part), "sub": last(F.when(F.col("kind") == "sub_heading", strip(first)), part),
-        "unit": last(F.when(is_unit, second), part), "actor": last(F.when((F.col("kind") == "actor") & ~is_unit, second), within),
+    set_ = lambda when, c: F.last(F.when(when & c.isNotNull(), F.struct("_h", "_u", c.alias("v"))), ignorenulls=True).over(w)
+    own = own.withColumns({
+        "_heading": set_(F.col("kind") == "heading", strip(first)), "_sub": set_(F.col("kind") == "sub_heading", strip(first)),
+        "_unit": set_(is_unit, second), "_actor": set_((F.col("kind") == "actor") & ~is_unit, second),
     })
+    still = lambda c: F.when(F.col(f"_{c}._h") == F.col("_h"), F.col(f"_{c}.v"))
+    state = own.withColumns({**{c: still(c) for c in ("heading", "sub", "unit")}, "actor": F.when(F.col("_actor._u").eqNullSafe(F.col("_u")), still("actor"))})
     path = F.concat_ws(" > ", "heading", "sub")
-    return state.withColumn("section_path", F.coalesce(F.nullif(path, F.lit("")), F.lit(UNCLASSIFIED))).drop("_h", "_u")
+    return state.withColumn("section_path", F.coalesce(F.nullif(path, F.lit("")), F.lit(UNCLASSIFIED))).drop("_h", "_u", "_heading", "_sub", "_unit", "_actor")
 
 
 def procedure_chunks(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import tables as R
-from tessera.plans.registry import over, query, table
+from tessera.plans.registry import over, query, stored, table
 from tessera.plans.sql import fold
 
 CELLS = {
@@ -41,7 +41,7 @@ FROM (SELECT table_id, count(*) n_rows, count(*) FILTER (kind = 'entry_line') e,
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    lines = over(spark, d, LINES, "lineitem")
+    lines = over(spark, d, LINES, "lineitem", key="l_orderkey")
     return lines.select(
         F.concat(F.lit("m"), F.expr("l_orderkey div 8").cast("string")).alias("source"), (F.col("l_orderkey") % 8 + 1).cast("int").alias("page"),
         F.col("l_orderkey").alias("table_id"), "idx", F.expr(_cells("array(", ")", "STRING")).alias("cells"),
@@ -91,13 +91,15 @@ v AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN trim(cells[1]) END IG
 last_value(CASE WHEN is_unit THEN cells[2] END IGNORE NULLS) OVER ({PLACE.format(more=", h")}) unit, last_value(CASE WHEN kind = 'actor' AND NOT is_unit THEN cells[2] END IGNORE NULLS) OVER ({PLACE.format(more=", h, u")}) actor FROM u)
 SELECT table_id, idx, coalesce(nullif(concat_ws(' > ', heading, sub), ''), '{R.UNCLASSIFIED}') section_path, unit, actor FROM v""")
 def section_path(spark: SparkSession, d: str) -> DataFrame:
-    return R.with_sections(rows(spark, d)).select("table_id", "idx", "section_path", "unit", "actor")
+    told = R.with_sections(rows(spark, d)).select("table_id", "idx", "section_path", "unit", "actor")
+    return stored(told, "sections", table(spark, d, "lineitem").count())
 
 
 @query()
 def procedure_chunks(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: pytest holds it against a plain walk down the rows."""
-    return R.procedure_chunks(rows(spark, d))
+    n = table(spark, d, "lineitem").count()
+    return stored(R.procedure_chunks(stored(rows(spark, d), "rows", n)), "procedures", n)
 
 
 @query(f"""WITH {ROWS}, {KINDS}, c AS (SELECT table_id, idx, count(*) times FROM (SELECT table_id, unnest(range("first", "last" + 1)) idx FROM (SELECT table_id, min(idx) "first", max(idx) "last" FROM r WHERE idx % 5 != 4 GROUP BY 1 UNION ALL SELECT table_id, 1, 1 FROM r WHERE idx = 1 AND table_id % 2 = 0)) GROUP BY 1, 2)
