@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, ngram_join, pii, toxicity
-from tessera.llm.common import cut, ranked, made, read, sweep
+from tessera.llm.common import cut, cut_clean, ranked, made, read, sweep
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 0.5
@@ -80,14 +80,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     part of a document has its first words. Documents without words are never trained on."""
     keys = ["doc_id", "source", "_tie"]
     slim = packed(docs, "doc_id", "text", "source")
-    # rows with equal id, source and text are told apart by a number, on both sides
+    # rows with equal id, source and text are told apart by a number, on both sides; only where there are such rows are texts sorted for it
+    tied = slim.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
+    alike = not tied.groupBy(*keys).count().filter("count > 1").isEmpty()
+    nth = lambda *by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order)) if alike else F.lit(1)
     turns = mixing.passes(mixing.mix(slim))
-    turns = turns.select(*keys, "size", "words", "position", F.row_number().over(Window.partitionBy(*keys, "pass").orderBy("begin")).alias("_nth"))
+    turns = turns.select(*keys, "size", "words", "position", nth(*keys, "pass", order="begin").alias("_nth"))
     turns = turns.withColumnsRenamed({k: f"_{k}_" for k in keys} | {"_nth": "_nth_"})
-    one = Window.partitionBy(*keys).orderBy(F.to_json("_row"))
-    rows = slim.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_nth", F.row_number().over(one))
+    rows = tied.withColumn("_nth", nth(*keys, order=F.to_json("_row")))
     on = [rows[k].eqNullSafe(turns[f"_{k}_"]) for k in keys] + [rows["_nth"] == turns["_nth_"]]
-    met = rows.join(turns, on)
+    # each text is dealt twice: to its turns, whose files go once they are written, and to its place
+    met = cut_clean(rows.join(turns, on), "met")
     first = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
     words = F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.col("words"), F.lit(0)).cast("int"))
     part = F.concat(first, F.array_join(words, ""))

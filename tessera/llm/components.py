@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut_clean as cut
 
 
 def components(edges: DataFrame, most: int = 200) -> DataFrame:

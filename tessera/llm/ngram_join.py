@@ -26,12 +26,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, ranked, share, sliced
+from .common import cut, cut_clean, lean, ranked, share, sliced
 from .components import components
 
 WORDS, BOUND = 5, 80  # words of a shingle; per cent of the union
 HOT, HINTS, ROUNDS = 24, 1 << 18, 2
 LANES = 8
+PARTS = 2  # of the pairs to be verified
 BROADCAST = 1_000_000  # rows of a few longs
 
 
@@ -176,7 +177,7 @@ def _order(docs: DataFrame):
     old, new = None, share(spark, Order(hot, times))
     for _ in range(ROUNDS):
         counts = _fresh_cells(docs, old, new).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
-        top = counts.orderBy(F.col("n").desc(), "h").limit(HINTS).toPandas()
+        top = cut_clean(counts.orderBy(F.col("n").desc(), "h").limit(HINTS), "hot").toPandas()
         if top.empty:
             break
         both = np.concatenate([hot, top["h"].to_numpy("int64")])
@@ -229,14 +230,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
         for batch, sets in _documents(batches):
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), _lists(sets)], ["a", "b", "own"])
 
-    def side(end: str, name: str) -> DataFrame:
-        texts = docs.join(small(pairs, count), docs["node"] == pairs[end]).select("a", "b", "text")
+    def side(part: DataFrame, end: str, name: str) -> DataFrame:
+        texts = docs.join(small(part, count), docs["node"] == part[end]).select("a", "b", "text")
         return texts.mapInArrow(lean(run), "a bigint, b bigint, own array<bigint>").withColumnRenamed("own", name)
 
     common = F.size(F.array_intersect("x", "y"))
     reach = 100 * common >= BOUND * (F.size("x") + F.size("y") - common)
-    # an id that stands for several texts links if any of them does
-    return cut(side("a", "x").join(side("b", "y"), ["a", "b"]).groupBy("a", "b").agg(F.max(reach).alias("link")), label)
+    # an id that stands for several texts links if any of them does; one part of the pairs after the other, so that the disk holds the
+    # sets of one
+    told = lambda part: cut_clean(side(part, "a", "x").join(side(part, "b", "y"), ["a", "b"]).groupBy("a", "b").agg(F.max(reach).alias("link")), label)
+    parts = [pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)) == i) for i in range(PARTS)] if count > PARTS else [pairs]
+    return reduce(lambda x, y: x.union(y), map(told, parts))
 
 
 def link(df: DataFrame) -> DataFrame:
@@ -259,7 +263,7 @@ def link(df: DataFrame) -> DataFrame:
     # the least doc_id of a class stands for it
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("node").alias("node"))
     member = rows.filter("class is not null").select("class", F.col("node").alias("member")).distinct()
-    same = cut(classes.join(member, "class").filter("node != member").select("node", "member", "class"), "same")
+    same = cut_clean(classes.join(member, "class").filter("node != member").select("node", "member", "class"), "same")
     copies = small(same.select("class", F.col("member").alias("node")), same.count())
     # rows without an id share their class's stand-in, so one row and one text of a class do
     texts, told = docs, rows.filter("class is not null and doc_id is not null")
@@ -269,7 +273,7 @@ def link(df: DataFrame) -> DataFrame:
     chosen = told.join(copies, ["class", "node"], "left_anti").select("node", "n", F.posexplode("cells").alias("at", "h"))
     line = Window.partitionBy("h").orderBy("n", "node")
     column = Window.partitionBy("h")
-    cells = cut(
+    cells = cut_clean(
         chosen.withColumns({"prev": F.lag("node").over(line), "prev_n": F.lag("n").over(line), "df": F.count("*").over(column)})
         .filter("df > 1"),
         "cells",
@@ -285,7 +289,7 @@ def link(df: DataFrame) -> DataFrame:
     votes = near.union(far).filter(fits & (F.col("to") != F.col("node"))).groupBy("node", "to", "kind", "n").agg(F.count("*").alias("c"))
     best = votes.filter(F.col("c") * 15 >= F.col("n")).groupBy("node", "kind").agg(F.max(F.struct("c", F.bitwise_not("to").alias("low"))).alias("m"))
     to = F.bitwise_not("m.low")
-    first = cut(best.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct(), "first")
+    first = cut_clean(best.select(F.least("node", to).alias("a"), F.greatest("node", to).alias("b")).distinct(), "first")
     tested = _verified(texts, first, "tested")
     made = components(tested.filter("link"))
     seen = cells.join(made, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("prev", "prev_n", "df")
@@ -295,7 +299,7 @@ def link(df: DataFrame) -> DataFrame:
     sketch = rows.filter("class is not null").groupBy("node", "n").agg(*[F.min(F.get("bits", F.lit(i))).alias(b) for i, b in enumerate(lanes)], F.min("class").alias("lo"), F.max("class").alias("hi"))
     # an id that stands for several texts has no sketch of its own: nulls discard nothing
     sketch = sketch.select("node", "n", *[F.when(F.col("lo") == F.col("hi"), F.col(b)).alias(b) for b in lanes])
-    open_ = cut(open_.join(sketch, ["node", "n"]), "open")
+    open_ = cut_clean(open_.join(sketch, ["node", "n"]), "open")
     kept = ("node", "n", "at", "component", *lanes)
     x = open_.select("h", *[F.col(c).alias(f"{c}_a") for c in kept])
     y = open_.select("h", *[F.col(c).alias(f"{c}_b") for c in kept])
@@ -314,7 +318,7 @@ def link(df: DataFrame) -> DataFrame:
     )
     can = F.col("c") + F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
     rest = met.filter(can * (100 + BOUND) >= BOUND * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    rest = cut(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
+    rest = cut_clean(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     more = _verified(texts, rest, "more")
     links = tested.filter("link").select("a", "b").union(more.filter("link").select("a", "b"))
     # a repeated id stands for all its texts; copies hang on their class's least id
