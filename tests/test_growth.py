@@ -5,6 +5,7 @@ from types import SimpleNamespace
 
 from tessera.operators import corpus as C
 from tessera.operators import evaluation as E
+from tessera.operators import retrieval as R
 from tessera.operators import tables as B
 from tessera.plans import registry
 
@@ -58,3 +59,12 @@ def test_shuffles_of_stored_plans_follow_the_tables(spark):
     assert registry.stored(Spy, "spy", 45 * registry.SHARE - 1).count() == 3
     assert registry.stored(Spy, "spy", 1).count() == 3
     assert seen == [45, int(was)] and spark.conf.get(key) == was
+
+
+def test_levels_of_an_index_from_its_plain_one(spark):
+    """Counted terms give the other levels: no text is tokenised again."""
+    texts = ["من الكتاب وكتاب كتاب the book book", "الكتاب والكتاب بالكتاب الي 12", "", None, "من في", "abc ABC abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = lambda x: {r.doc_id: (r.len, dict(zip(r.terms, r.tfs)), len(r.terms), dict(zip(r.terms, r.ids))) for r in x.docs.collect()}
+    for level in (R.T.STOPPED, R.T.STRIPPED):
+        assert told(R.LexicalIndex.of(docs).at(level)) == told(R.LexicalIndex.of(docs, level))
