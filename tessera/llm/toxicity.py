@@ -11,7 +11,7 @@ its highest window's. The network is trained on one window of each training docu
 finds out which window earned the label.
 
 Training uses at most POSITIVE + NEGATIVE labelled rows of the training folds, chosen by hash of the id, and of these skips
-texts above LONGEST characters; statistics come from half of them, the network from the other half, then the
+texts above LONGEST characters; a task of an executor trains, and the driver gets the model, whose size is fixed. Statistics come from half of them, the network from the other half, then the
 roles are swapped for the statistics only; every CHECKth document is left out of the network's training, and on these a logistic curve
 is fitted that makes a probability of a score. Scoring reads every text whole; a worker keeps the inputs of at most WORDS distinct words and
 starts over beyond, which costs time only. A null or empty text gets the score of a window without
@@ -21,6 +21,7 @@ words. Labels, language, source and id are no inputs. Rows with repeated ids are
 from __future__ import annotations
 
 import math
+import pickle
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -472,8 +473,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", mark: str = "
     some = lambda value, n: own.filter(F.col("_mark") == value).orderBy(*order).limit(n)
     chosen = F.broadcast(some(1, POSITIVE).union(some(0, NEGATIVE)))  # POSITIVE + NEGATIVE rows at most
     rows = docs.select(key, "text").join(chosen, key).filter(F.char_length(F.coalesce("text", F.lit(""))) <= LONGEST)
-    got = rows.select(key, F.coalesce("text", F.lit("")).alias("text"), "_mark").toPandas().sort_values([key, "text"], kind="stable")
-    return fit(got["text"].tolist(), [int(x) for x in got["_mark"]])
+    rows = rows.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text"), F.col("_mark").cast("int").alias("mark"))
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow as pa
+
+        parts = [batch.to_pandas() for batch in batches]
+        if parts:
+            got = pd.concat(parts).sort_values(["key", "text"], kind="stable")
+            model = fit(got["text"].tolist(), got["mark"].tolist())
+            made = pickle.dumps((model.inputs, model.network, model.steep, model.shift))
+            yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["model"])
+
+    # the sample is bounded, so one task holds it, and the driver the model only
+    made = rows.repartition(1).mapInArrow(lean(run), "model binary").collect()
+    return Scorer(*pickle.loads(made[0]["model"])) if made else fit([], [])
 
 
 def score(df: DataFrame, model: Scorer, text: str = "text") -> DataFrame:
