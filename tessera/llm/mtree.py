@@ -5,9 +5,10 @@ norm M: d^2 = |q|^2 + M^2 - 2 q.x, so the nearest have the highest scores. Equal
 smallest ids: no answer needs more.
 
 Objects go to the nearest of a bounded number of pivots, large clusters are split by hash, and each part of at most BLOCK objects becomes
-one M-tree: pages of PAGE entries, each entry with covering radius and distance to its parent. A search opens the entry with
-the least possible distance first. |d(q, parent) - d(entry, parent)| - radius bounds a distance from below without working it
-out, and so do d(q, entry) - radius. Every query first searches a tree of its own cluster; its k-th score is the
+one M-tree: pages of PAGE entries, each entry with covering radius and distance to its parent. A search opens the leaf with
+the least possible distance first, then those next to it, until a leaf lies beyond its reach. |d(q, parent) - d(entry, parent)| - radius
+bounds a distance from below without working it out, and so does d(q, entry) - radius. Up to MANY queries search together: all that
+open a page meet it as one matrix. Every query first searches a tree of its own cluster; its k-th score is the
 floor for all others. With a pivot p and the distance r of its cluster's furthest member, q.x is at most q.p + |q| r: queries are not
 sent to trees of clusters that lie below their floor.
 
@@ -20,14 +21,13 @@ id and vector count once. Columns besides id and vector are not used.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, share
 
-K, STEP, SCALE, BLOCK, PAGE, PIVOTS, PANEL = 5, 50, 256.0, 16_384, 48, 1024, 32_768
+K, STEP, SCALE, BLOCK, PAGE, PIVOTS, PANEL, MANY = 5, 50, 256.0, 16_384, 48, 1024, 32_768, 1024
+LOWEST = {"f": float("-inf"), "i": -(1 << 63)}  # below all scores
 
 
 class MTree:
@@ -45,7 +45,6 @@ class MTree:
         self.order = np.arange(len(objects))
         if len(objects):
             self.top = self.build(self.order.copy(), None)
-            self.lifted_in_order = self.lifted
 
     def away(self, idx, center):
         import numpy as np
@@ -91,52 +90,97 @@ class MTree:
                 self.nodes[at] += (centers, np.array([self.nodes[k][1] for k in kids]), np.array([self.nodes[k][2] for k in kids]))
         return self
 
-    def search(self, query, first_id, k: int, floor, whole_query=None):
-        """Up to k objects as (score, object), by score and then first_id, none below floor; whole_query: the query as int64."""
+    def search(self, queries, first_id, k: int, floor, whole=None):
+        """Of each query up to k objects, by score and then first_id, none below its floor, as arrays: query, score, object. whole: the
+        queries as int64 where products must be; floor is of the type of the scores."""
         import numpy as np
 
-        if not self.nodes:
-            return []
-        norm = float(query @ query)
-        lift = np.append(query, 0.0)
-        whole = norm + self.most
-        slack = 1e-6 + 1e-6 * np.sqrt(whole) * (self.exact is not None)  # doubles round beyond 2^53
-        best: list[tuple] = []  # worst first
-
-        def least() -> float:
-            return max(floor, best[0][0]) if len(best) == k else floor
+        parts = [self.some(queries[i : i + MANY], first_id, k, floor[i : i + MANY], None if whole is None else whole[i : i + MANY]) for i in range(0, len(queries), MANY)]
+        if not self.nodes or not parts:
+            return np.empty(0, "int64"), np.empty(0, floor.dtype), np.empty(0, "int64")
+        return tuple(np.concatenate(x) for x in zip(*[(q + i * MANY, s, m) for i, (q, s, m) in enumerate(parts)]))
 
-        def reach(score: float) -> float:
-            """The distance beyond which scores lie below score."""
-            return np.sqrt(max(whole - 2 * score, 0.0)) + slack if score > -np.inf else np.inf
+    def some(self, queries, first_id, k: int, floor, whole):
+        """search() of MANY queries at most: what they open together, they meet as one matrix."""
+        import numpy as np
 
-        center, radius = self.nodes[self.top][:2]
-        d = float(np.sqrt(((lift - center) ** 2).sum()))
-        todo = [(max(0.0, d - radius), self.top, d)]
+        n, lowest = len(queries), LOWEST[floor.dtype.kind]
+        lift = np.append(queries, np.zeros((n, 1)), 1)
+        own = (queries * queries).sum(1)
+        total = own + self.most
+        slack = 1e-6 + 1e-6 * np.sqrt(total)  # distances come from products
+        best, found = np.full((n, k), lowest, floor.dtype), np.full((n, k), -1)
+
+        def reach(rows):
+            """The distances beyond which scores lie below what a query has or asks for."""
+            least = np.maximum(floor[rows], best[rows, -1])
+            far = np.sqrt(np.maximum(total[rows] - 2 * np.where(least == lowest, 0, least).astype("float64"), 0.0)) + slack[rows]
+            return least, np.where(least == lowest, np.inf, far)
+
+        def away(rows, centers):
+            return np.sqrt(np.maximum(own[rows, None] + (centers * centers).sum(1) - 2 * (lift[rows] @ centers.T), 0.0))
+
+        # the leaves that each query can reach, and their least possible distances
+        bound, every = reach(np.arange(n))[1], np.arange(n)
+        leaves, spots = [], []
+        todo = [(self.top, every, away(every, self.nodes[self.top][0][None])[:, 0])] if self.nodes else []
         while todo:
-            low, at, d = heapq.heappop(todo)
-            bound = reach(least())
-            if low > bound:
-                break
+            at, rows, d = todo.pop()
             node = self.nodes[at]
-            if node[3] is not None:
-                _, _, _, kids, _, _, centers, radii, ups = node
-                maybe = np.flatnonzero(np.abs(d - ups) - radii <= bound)
-                diff = centers[maybe] - lift
-                away = np.sqrt((diff * diff).sum(1))
-                lows = np.maximum(away - radii[maybe], 0.0)
-                for j in np.flatnonzero(lows <= bound):
-                    heapq.heappush(todo, (float(lows[j]), int(kids[maybe[j]]), float(away[j])))
+            if node[3] is None:
+                leaves.append(at), spots.append((rows, np.maximum(d - node[1], 0.0)))
                 continue
-            members = node[4][np.abs(d - node[5]) <= bound]
-            scores = self.lifted[members, :-1] @ query if self.exact is None else self.exact[members] @ whole_query
-            for j in np.flatnonzero(scores >= least()):
-                entry = (scores[j].item(), -int(first_id[members[j]]), int(members[j]))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(s, m) for s, _, m in best if s >= floor]
+            _, _, _, kids, _, _, centers, radii, ups = node
+            maybe = np.abs(d[:, None] - ups) - radii <= bound[rows, None]
+            rows, some = rows[maybe.any(1)], np.flatnonzero(maybe.any(0))
+            d = away(rows, centers[some])
+            for j, c in enumerate(some):
+                near = d[:, j] - radii[c] <= bound[rows]
+                if near.any():
+                    todo.append((int(kids[c]), rows[near], d[near, j]))
+        low = np.full((n, len(leaves)), np.inf)
+        for i, (rows, least_away) in enumerate(spots):
+            low[rows, i] = least_away
+        order = low.argsort(1, kind="stable")
+        low = np.take_along_axis(low, order, 1)
+        # each query opens its nearest leaf, then as many of the next as so far, until one lies beyond its reach
+        rows, at, width = every, 0, 1
+        while at < len(leaves) and len(rows):
+            least, far = reach(rows)
+            part = low[rows, at : at + width]
+            open_ = (part <= far[:, None]) & (part < np.inf)
+            q, j = np.nonzero(open_)
+            self.meet(queries if whole is None else whole, [leaves, order[rows[q], at + j]], rows[q], least[q], first_id, best, found)
+            rows, at, width = rows[open_[:, -1]], at + width, max(1, at + width)
+        q, j = np.nonzero(found >= 0)
+        return q, best[q, j], found[q, j]
+
+    def meet(self, queries, opened, rows, least, first_id, best, found) -> None:
+        """Products of queries (rows) and the members of the leaves that they opened; those that count go into best and found."""
+        import numpy as np
+
+        leaves, leaf = opened
+        by = np.argsort(leaf, kind="stable")
+        leaf, rows, least = leaf[by], rows[by], least[by]
+        starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]]) if len(leaf) else []
+        objects, got = self.lifted[:, :-1] if self.exact is None else self.exact, []
+        for a, b in zip(starts, [*starts[1:], len(leaf)]):
+            members = self.nodes[leaves[leaf[a]]][4]
+            scores = queries[rows[a:b]] @ objects[members].T
+            q, j = np.nonzero(scores >= least[a:b, None])
+            got.append((rows[a:b][q], scores[q, j], members[j]))
+        if not got:
+            return
+        row, score, member = (np.concatenate(x) for x in zip(*got))
+        k, had = best.shape[1], np.unique(row)
+        row, score, member = np.r_[row, np.repeat(had, k)], np.r_[score, best[had].ravel()], np.r_[member, found[had].ravel()]
+        row, score, member = row[member >= 0], score[member >= 0], member[member >= 0]
+        by = np.lexsort((first_id[member], ~score if score.dtype.kind == "i" else -score, row))
+        row, score, member = row[by], score[by], member[by]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        nth = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        top = nth < k
+        best[row[top], nth[top]], found[row[top], nth[top]] = score[top], member[top]
 
 
 def vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -212,18 +256,17 @@ def top_k(df: DataFrame, k: int = K, step: int = STEP, key: str = "vec_id", vect
     queries = cut(queries.withColumn("panel", panel), "queries")
 
     def run(_, left, right):
-        x, ids = _matrix(left.column("v"), width), left.column("ids").to_pylist()
-        first = np.array([i[0] for i in ids], "int64")
-        tree = MTree(x, exact=_matrix(left.column("v"), width, "int64") if large else None).pack()
-        q, floor = _matrix(right.column("v"), width), right.column("floor").to_pylist()
-        whole = _matrix(right.column("v"), width, "int64") if large else [None] * len(q)
-        out = ([], [], [])
-        for obj, query, own, least in zip(right.column("obj").to_pylist(), q, whole, floor):
-            for score, member in tree.search(query, first, k + 1, float("-inf") if least is None else least, own):
-                out[0].append(obj)
-                out[1].append(int(score))
-                out[2].append(ids[member])
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], ["obj", "score", "ids"])
+        import pyarrow.compute as pc
+
+        kind = "int64" if large else "float64"
+        x, ids = _matrix(left.column("v"), width), left.column("ids").combine_chunks()
+        first = pc.list_element(ids, 0).to_numpy(zero_copy_only=False) if len(ids) else np.empty(0, "int64")
+        tree = MTree(x, exact=_matrix(left.column("v"), width, kind) if large else None).pack()
+        least = right.column("floor")
+        floor = np.where(least.is_null().to_numpy(), LOWEST[np.dtype(kind).kind], least.fill_null(0).to_numpy().astype(kind))
+        row, score, member = tree.search(_matrix(right.column("v"), width), first, k + 1, floor.astype(kind), _matrix(right.column("v"), width, kind) if large else None)
+        obj = right.column("obj").to_numpy()[row]
+        return pa.table([pa.array(obj, pa.int64()), pa.array(score.astype("int64")), ids.take(pa.array(member))], ["obj", "score", "ids"])
 
     def searched(asked_: DataFrame):
         """Each tree meets the queries sent to it, a panel of queries at a time."""
