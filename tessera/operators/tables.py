@@ -54,18 +54,32 @@ def row_kind(cells: Column) -> Column:
     return F.when(n <= 0, "continuation").when(n >= 3, "grid").when(n == 2, two).otherwise(one)
 
 
-def table_kinds(rows: DataFrame) -> DataFrame:
-    """table_id, kind, n_rows, header (the first row of three cells or more) and header_idx."""
-    keyed = rows.withColumn("_kind", row_kind(F.col("cells")))
+def _facts() -> dict[str, Column]:
+    """Aggregates over the rows of a table and their _kind, of which _told makes the table's."""
     wide = F.when(F.size("cells") >= 3, F.col("idx"))
-    facts = keyed.groupBy("table_id").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("_kind") == "entry_line").alias("_entries"), F.count_if(F.col("_kind") == "grid").alias("_grids"),
-        F.min_by("cells", wide).alias("header"), F.min(wide).alias("header_idx"),
-    )
+    return {
+        "n_rows": F.count("*"), "_entries": F.count_if(F.col("_kind") == "entry_line"), "_grids": F.count_if(F.col("_kind") == "grid"),
+        "header": F.min_by("cells", wide), "header_idx": F.min(wide),
+    }
+
+
+def _told() -> Column:
     key = F.transform("header", T.label_key)
     is_ = lambda names: F.coalesce(key == F.array(*[F.lit(folded(n)) for n in names]), F.lit(False))
-    kind = F.when(is_(APPROVAL), "approval").when(is_(REVISION), "revision").when(F.col("_entries") > 0, "accounting").when(F.col("_grids") * 2 > F.col("n_rows"), "grid").otherwise("procedure")
-    return facts.select("table_id", kind.alias("kind"), "n_rows", "header", "header_idx")
+    return F.when(is_(APPROVAL), "approval").when(is_(REVISION), "revision").when(F.col("_entries") > 0, "accounting").when(F.col("_grids") * 2 > F.col("n_rows"), "grid").otherwise("procedure")
+
+
+def table_kinds(rows: DataFrame) -> DataFrame:
+    """table_id, kind, n_rows, header (the first row of three cells or more) and header_idx."""
+    facts = rows.withColumn("_kind", row_kind(F.col("cells"))).groupBy("table_id").agg(*[c.alias(name) for name, c in _facts().items()])
+    return facts.select("table_id", _told().alias("kind"), "n_rows", "header", "header_idx")
+
+
+def with_kinds(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with what table_kinds() says of their table, as table_kind, n_rows, header and header_idx: rows that lie by keys already are not dealt anew."""
+    table = Window.partitionBy(*keys)
+    own = rows.withColumn("_kind", row_kind(F.col("cells"))).withColumns({name: c.over(table) for name, c in _facts().items()})
+    return own.withColumn("table_kind", _told()).drop("_kind", "_entries", "_grids")
 
 
 def line(cells: Column) -> Column:
@@ -75,26 +89,36 @@ def line(cells: Column) -> Column:
 def grid_chunks(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """table_id, first, last, text, chunk_type: grids of few rows whole, larger ones a chunk a row, the header with each; known are table_kinds()."""
     kinds = (table_kinds(rows) if known is None else known).filter("kind in ('grid', 'revision') and header_idx is not null")
-    data = rows.filter(F.size("cells") > 0).join(kinds, "table_id").filter(F.col("idx") != F.col("header_idx"))
+    return grids(rows.join(kinds, "table_id"), "table_id")
+
+
+def grids(rows: DataFrame, *keys: str) -> DataFrame:
+    """grid_chunks() of rows that have kind, n_rows, header and header_idx of their table, which keys tell."""
+    data = rows.filter("kind in ('grid', 'revision') and header_idx is not null").filter((F.size("cells") > 0) & (F.col("idx") != F.col("header_idx")))
     type_ = F.when(F.col("kind") == "revision", "revision").when(F.col("n_rows") - 1 > WHOLE, "grid_row").otherwise("grid_table")
-    counted = data.withColumn("_n", F.count("*").over(Window.partitionBy("table_id"))).withColumn("chunk_type", type_)
-    each = counted.filter(F.col("_n") > WHOLE).select("table_id", F.col("idx").alias("first"), F.col("idx").alias("last"), F.concat(line(F.col("header")), F.lit("\n"), line(F.col("cells"))).alias("text"), "chunk_type")
+    counted = data.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("chunk_type", type_)
+    each = counted.filter(F.col("_n") > WHOLE).select(*keys, F.col("idx").alias("first"), F.col("idx").alias("last"), F.concat(line(F.col("header")), F.lit("\n"), line(F.col("cells"))).alias("text"), "chunk_type")
     # at most WHOLE rows come together
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", line(F.col("cells")).alias("t")))), lambda x: x["t"]), "\n")
-    whole = counted.filter(F.col("_n") <= WHOLE).groupBy("table_id", "header", "n_rows", "chunk_type").agg(body.alias("_b"))
-    return each.unionByName(whole.select("table_id", F.lit(0).alias("first"), (F.col("n_rows") - 1).cast("int").alias("last"), F.concat(line(F.col("header")), F.lit("\n"), "_b").alias("text"), "chunk_type"))
+    whole = counted.filter(F.col("_n") <= WHOLE).groupBy(*keys, "header", "n_rows", "chunk_type").agg(body.alias("_b"))
+    return each.unionByName(whole.select(*keys, F.lit(0).alias("first"), (F.col("n_rows") - 1).cast("int").alias("last"), F.concat(line(F.col("header")), F.lit("\n"), "_b").alias("text"), "chunk_type"))
 
 
 def accounting_entries(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """table_id, first, last, text: a new entry begins at a row that is no account line and follows one; known are table_kinds()."""
     kinds = (table_kinds(rows) if known is None else known).filter("kind = 'accounting'").select("table_id")
+    return entries(rows.join(kinds, "table_id"), "table_id")
+
+
+def entries(rows: DataFrame, *keys: str) -> DataFrame:
+    """accounting_entries() of the rows of accounting tables, which keys tell."""
     account = (F.size("cells") > 1) | T.fold_letters(F.get("cells", F.lit(0))).rlike(ACCOUNT)
-    w = Window.partitionBy("table_id").orderBy("idx")
-    own = rows.join(kinds, "table_id").withColumn("_a", account)
+    w = Window.partitionBy(*keys).orderBy("idx")
+    own = rows.withColumn("_a", account)
     opens = (~F.col("_a") & F.coalesce(F.lag("_a").over(w), F.lit(False))).cast("int")
     parts = own.withColumn("_o", opens).withColumn("_e", F.sum("_o").over(w))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.array_join("cells", " ").alias("t")))), lambda x: x["t"]), "\n")
-    return parts.groupBy("table_id", "_e").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), text.alias("text")).drop("_e")
+    return parts.groupBy(*keys, "_e").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), text.alias("text")).drop("_e")
 
 
 def with_sections(rows: DataFrame) -> DataFrame:

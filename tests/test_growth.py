@@ -61,6 +61,31 @@ def test_shuffles_of_stored_plans_follow_the_tables(spark):
     assert seen == [45, int(was)] and spark.conf.get(key) == was
 
 
+def test_shuffle_files_of_stored_plans_go(spark):
+    """The disk held the shuffles of all stored steps of a query at once."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    held = lambda: sum(f.apply(i).length() for f in [files()] for i in range(f.size()))
+    was = held()
+    assert registry.stored(spark.range(200_000).selectExpr("id", "xxhash64(id) h").repartition(4, "id"), "gone").count() == 200_000
+    assert held() - was < 100_000
+
+
+def test_texts_of_chunks_are_not_dealt(spark):
+    """Chunks are numbered where the rows of their page lie; their texts were dealt again by page, by table and by type."""
+    pages = spark.createDataFrame([], "source string, page int, text string")
+    rows = spark.createDataFrame([], "source string, page int, table_no long, idx int, cells array<string>, break_page int")
+    assert not any("Exchange hashpartitioning" in x and "chunk_type#" in x for x in planned(C.chunk_corpus(pages, rows)))
+
+
+def test_rows_without_a_table_and_tables_without_events(spark):
+    """Rows that name no table are no table's; a page on which nothing is set hands on what it was given."""
+    pages = spark.createDataFrame([("a", 3, "3. عنوان\nx"), ("a", 4, None), ("a", 5, "")], "source string, page int, text string")
+    cells = [(3, None, 0, ["k", "l", "m"]), (5, 0, 0, ["k", "l", "m"]), (5, 0, 1, ["1", "2", "3"]), (5, None, 0, ["1", "one"]), (4, 7, 0, ["1", "one"])]
+    rows = spark.createDataFrame([("a", p, t, i, c, None) for p, t, i, c in cells], "source string, page int, table_no long, idx int, cells array<string>, break_page int")
+    got = sorted((r.chunk_id, r.table_no, r.section_path, r.text) for r in C.chunk_corpus(pages, rows).collect())
+    assert got == [("a_p04_reference_00", 7, "3. عنوان", "1. one"), ("a_p05_grid_table_00", 0, "3. عنوان", "k | l | m\n1 | 2 | 3")]
+
+
 def test_levels_of_an_index_from_its_plain_one(spark):
     """Counted terms give the other levels: no text is tokenised again."""
     texts = ["من الكتاب وكتاب كتاب the book book", "الكتاب والكتاب بالكتاب الي 12", "", None, "من في", "abc ABC abc"]
