@@ -139,11 +139,12 @@ def handed(events: DataFrame) -> DataFrame:
     """source, page, _latch and the state that earlier pages of the document left (c_anchor, c_heading and so on), a row for each page of a stream."""
     place = F.struct(*KEY)
     setting = events.where("level is not null").select("source", *KEY, "level", "set_text", "prose")
-    latch = setting.where("prose and level = 'heading'").groupBy("source").agg(F.min(place).alias("_latch"))
     # pages on which nothing is set stand in the order too
     types = {f.name: f.dataType for f in setting.schema}
     every = events.select(*PAGE).distinct().select(*[c if c in PAGE else F.lit(None).cast(types[c]).alias(c) for c in setting.columns])
-    own = inside(latched(setting.unionByName(every).join(latch, "source", "left")))
+    whole = Window.partitionBy("source").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    latch = F.min(F.when(F.col("prose") & (F.col("level") == "heading"), place)).over(whole)
+    own = inside(latched(setting.unionByName(every).withColumn("_latch", latch)))
     # what a page leaves behind, a row a page
     left = own.groupBy(*PAGE).agg(F.first("_latch").alias("_latch"), *[F.max_by(c, place).alias(c) for c in ("_h", "_u", *[f"_{s}" for s in STATE])])
     pages = lambda *keys: Window.partitionBy("source", *keys).orderBy("page")
@@ -210,7 +211,7 @@ def procedures(state: DataFrame) -> DataFrame:
     )
 
 
-def plain(rows: DataFrame, state: DataFrame) -> list[DataFrame]:
+def plain(rows: DataFrame, state: DataFrame) -> DataFrame:
     """Chunks of grids, entries and approvals under the path asked for before each table; pages of titles and empty tables give none.
 
     A kind's rows are dealt by page once, and so do the paths come, as a map of a page's tables."""
@@ -226,10 +227,9 @@ def plain(rows: DataFrame, state: DataFrame) -> list[DataFrame]:
     names = F.create_map(*[F.lit(x) for p in SELF_NAMED.items() for x in p])
     path = F.coalesce(F.try_element_at(names, F.col("chunk_type")), F.try_element_at("_paths", F.col("table_no")))
     lost = F.lit(None).cast("string")
-    return [
-        part.join(paths, list(PAGE)).where(F.map_contains_key("_paths", F.col("table_no"))).select(*keys, "chunk_type", "first", "last", "text", path.alias("section_path"), lost.alias("unit"), lost.alias("actor"))
-        for part in (B.grids(of("grid", "revision"), *keys), typed(B.entries(of("accounting"), *keys), "accounting_entry"), typed(approvals, "approval"))
-    ]
+    parts = B.grids(of("grid", "revision"), *keys).unionByName(typed(B.entries(of("accounting"), *keys), "accounting_entry")).unionByName(typed(approvals, "approval"))
+    own = parts.join(paths, list(PAGE)).where(F.map_contains_key("_paths", F.col("table_no")))
+    return own.select(*keys, "chunk_type", "first", "last", "text", path.alias("section_path"), lost.alias("unit"), lost.alias("actor"))
 
 
 def tabled(rows: DataFrame) -> DataFrame:
@@ -250,8 +250,7 @@ def chunk_parts(rows: DataFrame, state: DataFrame, seen: DataFrame) -> dict[str,
     bodies = seen.where(~F.col("page").isin(*FURNITURE)).select(*PAGE, F.posexplode(P.prose(F.col("body"))).alias("first", "text")).join(after, list(PAGE))
     lost, no = F.lit(None).cast("string"), F.lit(None).cast("int")
     prose = bodies.select(*PAGE, F.lit(-1).cast("long").alias("table_no"), no.alias("_end"), F.lit("prose").alias("chunk_type"), "first", no.alias("last"), "text", "section_path", lost.alias("unit"), lost.alias("actor"))
-    grids, entries, approvals = map(numbered, plain(rows, state))
-    return {"prose": numbered(prose), "plain": grids.unionByName(entries).unionByName(approvals), "procedures": numbered(procedures(state))}
+    return {"prose": numbered(prose), "plain": numbered(plain(rows, state)), "procedures": numbered(procedures(state))}
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
@@ -277,15 +276,16 @@ def chunk_corpus(pages: DataFrame, rows: DataFrame, state: DataFrame | None = No
 def chunk_gates(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     """gate, n of what the build got wrong: repeated ids, chunks without a path, blocks that bind nobody, rows in two chunks
     and content rows in none; no rows of a gate that found nothing."""
-    table = ("source", "page", "table_no")
     one = lambda gate, df: df.agg(F.count("*").alias("n")).select(F.lit(gate).alias("gate"), "n")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    spans = chunks.where("first is not null and table_no is not null").select(F.struct(*table).alias("table_id"), "first", "last")
-    content = rows.where(~F.col("page").isin(*FURNITURE)).select(F.struct(*table).alias("table_id"), "idx", "cells")
-    covered = B.row_coverage(content, spans)
+    spans = chunks.where("first is not null and table_no is not null").select(F.struct(*TABLE).alias("table_id"), "first", "last")
+    content = rows.where(~F.col("page").isin(*FURNITURE)).select(F.struct(*TABLE).alias("table_id"), "idx", "cells")
+    # both gates in one pass
+    covered = B.row_coverage(content, spans).agg(*[F.count_if(w).alias(g) for g, w in (("overlapping", F.col("times") > 1), ("dropped", F.col("times") == 0))])
+    covered = covered.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gate"), F.col(g).alias("n")) for g in ("overlapping", "dropped")])))
     found = (
         one("repeated_ids", chunks.groupBy("chunk_id").count().where("count > 1")).unionByName(one("no_path", chunks.where(empty("section_path"))))
         .unionByName(one("unbound", chunks.where((F.col("chunk_type") == "procedure_block") & empty("unit") & empty("actor"))))
-        .unionByName(one("overlapping", covered.where("times > 1"))).unionByName(one("dropped", covered.where("times = 0")))
+        .unionByName(covered)
     )
     return found.where("n > 0")

@@ -77,6 +77,15 @@ def test_texts_of_chunks_are_not_dealt(spark):
     assert not any("Exchange hashpartitioning" in x and "chunk_type#" in x for x in planned(C.chunk_corpus(pages, rows)))
 
 
+def test_gates_of_coverage_need_one_pass(spark):
+    """Rows were held against the spans of the chunks once for each of two gates."""
+    rows = spark.createDataFrame([], "source string, page int, table_no long, idx int, cells array<string>, break_page int")
+    chunks = spark.createDataFrame([], "chunk_id string, source string, page int, chunk_type string, table_no long, first int, last int, section_path string, unit string, actor string")
+    gates = C.chunk_gates(rows, chunks)
+    assert sum("Generate explode(sequence(" in x for x in planned(gates)) == 1
+    assert gates.collect() == []
+
+
 def test_rows_without_a_table_and_tables_without_events(spark):
     """Rows that name no table are no table's; a page on which nothing is set hands on what it was given."""
     pages = spark.createDataFrame([("a", 3, "3. عنوان\nx"), ("a", 4, None), ("a", 5, "")], "source string, page int, text string")
