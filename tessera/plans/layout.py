@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import layout as L
-from tessera.plans.registry import query, table
+from tessera.plans.registry import query, stored, table
 from tessera.plans.sql import CLEAN
 
 HEIGHT, WIDTH, SCALE = 800.0, 600.0, 2.0
@@ -111,9 +111,15 @@ def kept(rows: DataFrame, own: DataFrame) -> DataFrame:
     return own.where("kind = 'data'").join(rows.select(*keys).distinct(), keys, "left_semi")
 
 
+def lines(spark: SparkSession, d: str) -> int:
+    """Rows of tables and pages."""
+    return table(spark, d, "lineitem").count() + table(spark, d, "orders").count()
+
+
 def spanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of data tables, and where tables go on; rows are stored, as several branches read them and fragments are dear."""
     fragments, cells, own = parts(spark, d)
-    rows, _ = L.build_rows(fragments, cells, own, SCALE)
+    rows = stored(L.build_rows(fragments, cells, own, SCALE)[0], "built", lines(spark, d))
     data = kept(rows, own)
     pages = spark.sql(f"SELECT {PLACE} FROM {{orders}}", orders=table(spark, d, "orders"))
     return rows.join(data.select("source", "page", "table_no"), ["source", "page", "table_no"], "left_semi"), L.spans(pages, data, HEIGHT, WIDTH)
@@ -122,13 +128,13 @@ def spanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {TABLES}, {ROWS}, {SPANS} SELECT * FROM sc")
 def span_merge(spark: SparkSession, d: str) -> DataFrame:
     """Tables that go on from the page before, and where they began."""
-    return spanned(spark, d)[1]
+    return stored(spanned(spark, d)[1], "spans", lines(spark, d))
 
 
 @query(f"WITH {TABLES}, {ROWS}, {SPANS}, {MERGED} SELECT * FROM mm")
 def merged_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of tables over their pages, with the breaks."""
-    return L.merged_rows(*spanned(spark, d))
+    return stored(L.merged_rows(*spanned(spark, d)), "merged", lines(spark, d))
 
 
 #: Rows of header tables: labels, one of them misread, beside one value or two.

@@ -86,6 +86,34 @@ def test_gates_of_coverage_need_one_pass(spark):
     assert gates.collect() == []
 
 
+def test_rows_of_pages_are_built_once(spark, monkeypatch):
+    """Four branches of merged_rows each worked out the fragments; texts of cells were dealt again to be mended once."""
+    from tessera.plans import layout
+
+    seen, keep = [], layout.stored
+    monkeypatch.setattr(layout, "stored", lambda df, label, rows=0: seen.append((label, "\n".join(planned(df)))) or keep(df, label, rows))
+    assert layout.merged_rows(spark, "/root/testdata/sf0.001").count() > 0
+    plans = dict(seen)
+    assert "lineitem.parquet" not in plans["merged"] and plans["built"].count("Exchange hashpartitioning") <= 5
+
+
+def test_letters_that_need_no_composing(spark):
+    """Only texts with other characters go to Python; a group of fragments is composed as each of them is."""
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import layout as L
+
+    texts = ["abc نص ١٢", "ﬁrst", "e\u0301", "\u0301x", "ا\u0653", "\u0653", "ﻻ", "نـص", None, "", "q\u0307\u0323", "\u0323\u0307"]
+    own = spark.createDataFrame([(i // 4, i, float(i % 2), float(i // 2), t) for i, t in enumerate(texts)], "page int, fragment_id int, cx double, cy double, text string")
+    got = {r.page: r.text for r in L.reading(own, 0.5, "page").collect()}
+    nf = lambda t: unicodedata.normalize("NFKC", t or "")
+    assert got == {p: "\n".join(f"{nf(texts[i + 1])} {nf(texts[i])}" for i in (4 * p, 4 * p + 2)) for p in range(3)}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(R.T.COMPOSED).alias("wide"))
+    assert {r.t: r.wide for r in df.collect()} == {t: None if t is None else t in texts[1:7] + texts[10:] or t == "نـص" for t in texts}
+
+
 def test_rows_without_a_table_and_tables_without_events(spark):
     """Rows that name no table are no table's; a page on which nothing is set hands on what it was given."""
     pages = spark.createDataFrame([("a", 3, "3. عنوان\nx"), ("a", 4, None), ("a", 5, "")], "source string, page int, text string")
